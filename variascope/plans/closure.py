@@ -1,0 +1,42 @@
+"""Ancestor closure of a tree given as child/parent rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from variascope.plans.lineage import cut
+
+
+def ancestors(tree: DataFrame, *, child: str = "child", parent: str = "parent", rounds: int = 64) -> DataFrame:
+    """(node, ancestor, steps) with steps >= 1, built by doubling: log2(depth) joins instead of depth joins."""
+    reach = cut(
+        tree.where(F.col(parent).isNotNull()).select(
+            F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).cast("long").alias("steps")
+        )
+    )
+    size = 1
+    frontier = reach
+    for _ in range(rounds):
+        far = frontier.where(F.col("steps") == size)
+        onward = reach.select(
+            F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("steps").alias("_more")
+        )
+        added = far.join(onward, "ancestor").select(
+            "node", F.col("_up").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps")
+        )
+        added = cut(added)
+        if added.isEmpty():
+            return reach
+        reach = reach.unionByName(added)
+        frontier = added
+        size *= 2
+    raise RuntimeError("closure did not settle")
+
+
+def depths(closure: DataFrame, nodes: DataFrame, *, node: str = "node") -> DataFrame:
+    """(node, depth): number of ancestors, 0 for the root."""
+    counted = closure.groupBy("node").agg(F.count(F.lit(1)).alias("depth"))
+    return nodes.select(F.col(node).alias("node")).join(counted, "node", "left").select(
+        "node", F.coalesce("depth", F.lit(0).cast("long")).alias("depth")
+    )

@@ -1,0 +1,33 @@
+"""Reproducible integer draws: the same arithmetic in Spark and in SQL, no random state."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Fixed values of the draw rule.
+A, B, C, M, K = 7919, 104729, 12345, 2147483647, 48271
+
+
+def draw(trial: Column, number: Column, n: int | Column) -> Column:
+    """Integer in [0, n) for draw ``number`` of ``trial``."""
+    x = F.pmod(trial.cast("long") * A + number.cast("long") * B + C, F.lit(M))
+    y = F.pmod(x * x + x * K, F.lit(M))
+    return F.pmod(y, n if isinstance(n, Column) else F.lit(n).cast("long"))
+
+
+def trial_table(spark: SparkSession, trials: int, per_trial: int) -> DataFrame:
+    """(trial, draw) for every draw; the range is generated on the executors."""
+    ids = spark.range(trials * per_trial)
+    return ids.select(
+        F.floor(F.col("id") / per_trial).cast("long").alias("trial"), F.pmod("id", F.lit(per_trial)).alias("draw")
+    )
+
+
+SQL_DRAW = """((({x}) * ({x}) + 48271 * ({x})) % 2147483647) % ({n})"""
+
+
+def sql_draw(trial: str, number: str, n: str) -> str:
+    """The draw rule as SQL text."""
+    x = f"(({trial}) * 7919 + ({number}) * 104729 + 12345) % 2147483647"
+    return SQL_DRAW.format(x=x, n=n)

@@ -1,0 +1 @@
+"""Deliberately empty: every workload covered here is a finite batch of tables."""
