@@ -103,7 +103,7 @@ def islands(df: DataFrame, *, keys: Sequence[str], position: str, tile_width: in
     )
 
 
-def merge_intervals(
+def place_intervals(
     df: DataFrame,
     *,
     keys: Sequence[str],
@@ -112,10 +112,10 @@ def merge_intervals(
     overlap: int = 0,
     tile_width: int = 100_000,
 ) -> DataFrame:
-    """Label rows with the merged region they belong to (``region_start``), tiled along ``start``.
+    """One row per distinct (keys, start) with the start of the merged region it falls in.
 
-    A row joins the open region when ``max(previous ends) - overlap > start``. Returns one row per region:
-    keys, region_start, region_end, members.
+    A start joins the open region when ``max(previous ends) - overlap > start``. Columns: keys, start,
+    region_start, _e (largest end at that start), _n (rows at that start).
     """
     keys = list(keys)
     distinct_starts = df.groupBy(*keys, start).agg(F.max(end).alias("_e"), F.count(F.lit(1)).alias("_n"))
@@ -129,6 +129,20 @@ def merge_intervals(
     placed = running(
         opened, keys=keys, order=start, tile=tile, values={"region_start": ("max", "_open", True)}
     )
+    return placed.select(*keys, start, "region_start", "_e", "_n")
+
+
+def merge_intervals(
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    start: str,
+    end: str,
+    overlap: int = 0,
+    tile_width: int = 100_000,
+) -> DataFrame:
+    """Merged regions: keys, region_start, region_end, members."""
+    placed = place_intervals(df, keys=keys, start=start, end=end, overlap=overlap, tile_width=tile_width)
     return placed.groupBy(*keys, "region_start").agg(
         F.max("_e").alias("region_end"), F.sum("_n").alias("members")
     )
