@@ -158,3 +158,84 @@ def heap_tree(spark: SparkSession, sf: str) -> DataFrame:
 SQL_TREE = """tree AS (
   SELECT c_custkey + 1 AS child, CASE WHEN c_custkey > 0 THEN (c_custkey + 1) // 2 END AS parent,
     c_nationkey AS nation, c_acctbal AS weight, c_mktsegment AS segment FROM customer)"""
+
+
+N_NODE_SITES = 24
+
+
+def node_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Base (A, T, C, G or N) of every tree node at 24 sites, a fixed arithmetic rule of node and site."""
+    nodes = table(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("node"))
+    rows = nodes.withColumn("site", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_NODE_SITES - 1).cast("long"))))
+    pick = (F.floor(F.col("node") / (F.col("site") + 2)) * 7 + F.col("site") * 3 + F.floor(F.col("node") / 5)) % 23
+    return rows.select(
+        "node", "site", F.substring(F.lit("AAAAAATTTTTCCCCCCGGGGGN"), (pick + 1).cast("int"), F.lit(1)).alias("nt")
+    )
+
+
+SQL_NODE_CALLS = """node_calls AS (
+  SELECT node, site, substr('AAAAAATTTTTCCCCCCGGGGGN', CAST((node // (site + 2) * 7 + site * 3 + node // 5) % 23 + 1 AS BIGINT), 1) AS nt
+  FROM (SELECT c_custkey + 1 AS node FROM customer) CROSS JOIN (SELECT range AS site FROM range(24)))"""
+
+
+def contig_genes(spark: SparkSession, sf: str) -> DataFrame:
+    """Three overlapping genes on every document contig, scaled to its length; coding-strand sequences included."""
+    docs = sequences(spark, sf).withColumn("len", F.length("seq").cast("long"))
+    third, sixth, twelfth, quarter = (F.floor(F.col("len") / k) * 3 for k in (9, 6, 12, 4))
+    zero = F.lit(0).cast("long")
+    gene = F.explode(
+        F.array(
+            F.struct(F.lit(1).alias("k"), zero.alias("start"), sixth.alias("end"), F.lit(1).alias("strand"), F.lit("CDS").alias("type")),
+            F.struct(F.lit(2).alias("k"), twelfth.alias("start"), quarter.alias("end"), F.lit(-1).alias("strand"), F.lit("CDS").alias("type")),
+            F.struct(
+                F.lit(3).alias("k"), (third + sixth).alias("start"), F.col("len").alias("end"), F.lit(1).alias("strand"),
+                F.lit("ncRNA").alias("type"),
+            ),
+        )
+    )
+    rows = docs.select("doc_id", "seq", gene.alias("g")).select("doc_id", "seq", "g.*").where(F.col("end") > F.col("start"))
+    piece = F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return rows.select(
+        F.col("doc_id").alias("contig"),
+        (F.col("doc_id") * 10 + F.col("k")).alias("gene"),
+        "start",
+        "end",
+        "strand",
+        "type",
+        F.when(F.col("strand") == 1, piece).otherwise(F.reverse(F.translate(piece, "ATCG", "TAGC"))).alias("seq"),
+    )
+
+
+SQL_CONTIG_GENES = SQL_SEQUENCES + """,
+dl AS (SELECT doc_id, seq, CAST(length(seq) AS BIGINT) AS len FROM sequences),
+g0 AS (SELECT doc_id, seq, 1 AS k, 0 AS start, len // 6 * 3 AS "end", 1 AS strand, 'CDS' AS type FROM dl
+  UNION ALL SELECT doc_id, seq, 2, len // 12 * 3, len // 4 * 3, -1, 'CDS' FROM dl
+  UNION ALL SELECT doc_id, seq, 3, len // 9 * 3 + len // 6 * 3, len, 1, 'ncRNA' FROM dl),
+cg AS (SELECT doc_id AS contig, doc_id * 10 + k AS gene, start, "end", strand, type,
+  CASE WHEN strand = 1 THEN substr(seq, start + 1, "end" - start)
+       ELSE reverse(translate(substr(seq, start + 1, "end" - start), 'ATCG', 'TAGC')) END AS seq
+  FROM g0 WHERE "end" > start)"""
+
+
+def contig_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls on document contigs: contig = part key, position from the order key, one call per (site, sample)."""
+    docs = sequences(spark, sf).select(F.col("doc_id").alias("contig"), "seq")
+    li = table(spark, sf, "lineitem")
+    rows = li.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").join(
+        docs.where(F.length("seq") > 0), F.col("l_partkey") == F.col("contig")
+    )
+    pos = F.col("l_orderkey") * 37 % F.length("seq")
+    return (
+        rows.select(
+            "contig", pos.alias("p"), F.col("l_suppkey").alias("sample"), (F.col("l_linenumber") % 4).alias("call"),
+            (F.instr(F.lit("ATCG"), F.substring(F.col("seq"), (pos + 1).cast("int"), F.lit(1))) - 1).alias("ref"),
+        )
+        .groupBy("contig", "p", "sample", "ref")
+        .agg(F.min("call").alias("call"))
+    )
+
+
+SQL_CONTIG_CALLS = """cc AS (
+  SELECT contig, p, sample, CAST(instr('ATCG', substr(seq, p + 1, 1)) - 1 AS INTEGER) AS ref, min(call) AS call FROM (
+    SELECT l_partkey AS contig, l_orderkey * 37 % length(seq) AS p, l_suppkey AS sample, l_linenumber % 4 AS call, seq
+    FROM lineitem JOIN sequences ON doc_id = l_partkey WHERE length(seq) > 0) GROUP BY 1, 2, 3, 4)"""

@@ -17,7 +17,7 @@ def pos_to_contig(points: DataFrame, contigs: DataFrame, *, genome_length: int,
     """Global offset to contig and offset inside it; positions outside the genome are dropped (bounds check)."""
     inside = points.where((F.col("p") >= 0) & (F.col("p") < genome_length))
     return last_at_or_before(
-        inside, contigs.select("contig", "start"), point="p", anchor="start", upper=genome_length, width=width, how="inner"
+        inside, contigs.select("contig", "start"), point="p", anchor="start", width=width, how="inner"
     ).select(*points.columns, "contig", (F.col("p") - F.col("start")).alias("pos"))
 
 
@@ -53,7 +53,7 @@ def _gap_anchor(numbered: DataFrame, on) -> DataFrame:
 
 
 def site_to_genes(
-    sites: DataFrame, genes: DataFrame, *, on=(), upper: int = 2**40, width: int = 4096
+    sites: DataFrame, genes: DataFrame, *, on=(), width: int = 4096
 ) -> DataFrame:
     """Every gene over a position, else one row with ``gene_num`` = k + 0.5 after the k-th gene."""
     numbered = number_genes(genes, on=on)
@@ -64,7 +64,7 @@ def site_to_genes(
     inside = hits.where(F.col("gene_num").isNotNull()).withColumn("gene_num", F.col("gene_num").cast("double"))
     outside = hits.where(F.col("gene_num").isNull()).select(*sites.columns)
     gaps = last_at_or_before(
-        outside, _gap_anchor(numbered, on), point="p", anchor="_anchor", upper=upper, on=on, width=width
+        outside, _gap_anchor(numbered, on), point="p", anchor="_anchor", on=on, width=width
     )
     empty = [F.lit(None).cast(genes.schema[c].dataType).alias(c) for c in cols]
     return inside.select(*sites.columns, *cols, "gene_num").unionByName(
@@ -73,7 +73,7 @@ def site_to_genes(
 
 
 def site_to_one_gene(
-    sites: DataFrame, genes: DataFrame, *, on=(), upper: int = 2**40, width: int = 4096
+    sites: DataFrame, genes: DataFrame, *, on=(), width: int = 4096
 ) -> DataFrame:
     """One gene number per position: coding first, then the longest, then the first; a gap is numbered after the gene
     that covered its left neighbour (so a gap after a nested gene belongs to the enclosing gene)."""
@@ -95,7 +95,7 @@ def site_to_one_gene(
     )
     gaps = last_at_or_before(
         chosen.where(F.col("_best").isNull()).drop("_best"), _gap_anchor(numbered, on), point="p", anchor="_anchor",
-        upper=upper, on=on, width=width,
+        on=on, width=width,
     )
     return (
         chosen.where(F.col("_best").isNotNull())
@@ -107,7 +107,7 @@ def site_to_one_gene(
 
 
 def promoter_or_intergenic(
-    sites: DataFrame, genes: DataFrame, *, on=(), promoter: int = 250, upper: int = 2**40, width: int = 4096
+    sites: DataFrame, genes: DataFrame, *, on=(), promoter: int = 250, width: int = 4096
 ) -> DataFrame:
     """Intergenic positions with their neighbours, signed distances and class P or I.
 
@@ -123,7 +123,7 @@ def promoter_or_intergenic(
     free = interval_join(
         sites, genes, point="p", start="start", end="end", on=on, width=width, how="left_anti"
     )
-    rows = last_at_or_before(free, anchors, point="p", anchor="_anchor", upper=upper, on=on, width=width)
+    rows = last_at_or_before(free, anchors, point="p", anchor="_anchor", on=on, width=width)
     if on:
         rows = rows.join(first, list(on), "left")
     else:
@@ -154,7 +154,7 @@ def ordered_alternates(mutated: DataFrame, *, on=()) -> DataFrame:
 
 
 def annotate_snv(
-    sites: DataFrame, genes: DataFrame, *, on=(), promoter: int = 250, upper: int = 2**40, width: int = 4096
+    sites: DataFrame, genes: DataFrame, *, on=(), promoter: int = 250, width: int = 4096
 ) -> DataFrame:
     """One row per (site, overlapping gene), or one intergenic row per site.
 
@@ -208,7 +208,7 @@ def annotate_snv(
         F.when(full, F.transform("aa_alt", lambda x: F.coalesce(x != F.col("aa_anc"), F.lit(True)))).alias("nonsyn_rel_anc"),
     )
     outside = promoter_or_intergenic(
-        sites, genes, on=on, promoter=promoter, upper=upper, width=width
+        sites, genes, on=on, promoter=promoter, width=width
     )
     blank = {f.name: f.dataType for f in inside.schema.fields}
     fill = [
@@ -273,7 +273,7 @@ def repolarize(annotated: DataFrame) -> DataFrame:
 
 
 def annotate_indel(
-    indels: DataFrame, genes: DataFrame, *, on=(), promoter: int = 250, upper: int = 2**40, width: int = 4096
+    indels: DataFrame, genes: DataFrame, *, on=(), promoter: int = 250, width: int = 4096
 ) -> DataFrame:
     """Effect of each (site, reference string, alternate string) on every overlapped gene; P or I elsewhere.
 
@@ -319,7 +319,7 @@ def annotate_indel(
     )
     keys = [*on, "p", "ref", "alt"]
     free = indels.join(inside.select(*keys), keys, "left_anti")
-    outside = promoter_or_intergenic(free, genes, on=on, promoter=promoter, upper=upper, width=width)
+    outside = promoter_or_intergenic(free, genes, on=on, promoter=promoter, width=width)
     blank = {f.name: f.dataType for f in inside.schema.fields}
     fill = [
         F.lit(None).cast(blank[c]).alias(c)

@@ -89,20 +89,27 @@ def last_at_or_before(
     *,
     point: str,
     anchor: str,
-    upper: int,
     on: Sequence[str] = (),
     width: int = 4096,
     how: str = "left",
 ) -> DataFrame:
     """As-of join: the last anchor row with ``anchor <= point`` (anchors unique per key).
 
-    Anchors are annotation-sized, so one ``lead`` per key turns them into disjoint intervals that reach
-    to ``upper`` (exclusive) at the end; then the binned interval join does the work.
+    Anchors are annotation-sized, so one ``lead`` per key turns them into disjoint intervals for the binned join.
+    The last, open-ended anchor of a key is one row and is attached by key.
     """
-    following = Window.partitionBy(*on).orderBy(anchor) if on else Window.partitionBy(F.lit(1)).orderBy(anchor)
-    spans = anchors.withColumn(
-        "_until", F.coalesce(F.lead(anchor).over(following), F.lit(upper).cast("long"))
+    keys = list(on)
+    along = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(anchor)
+    spans = anchors.withColumn("_until", F.lead(anchor).over(along))
+    columns = [c for c in anchors.columns if c not in keys]
+    closed = spans.where(F.col("_until").isNotNull()).select(
+        *keys, "_until", F.col(anchor).alias("_from"), F.struct(*columns).alias("_hit")
     )
-    return interval_join(
-        points, spans, point=point, start=anchor, end="_until", on=on, width=width, how=how
-    ).drop("_until")
+    rows = interval_join(points, closed, point=point, start="_from", end="_until", on=keys, width=width, how="left")
+    tail = spans.where(F.col("_until").isNull()).select(*keys, F.struct(*columns).alias("_tail"))
+    rows = rows.join(tail, keys, "left") if keys else rows.withColumn("_tail", tail.scalar())
+    hit = F.coalesce("_hit", F.when(F.col(point) >= F.col("_tail")[anchor], F.col("_tail")))
+    rows = rows.withColumn("_got", hit)
+    if how == "inner":
+        rows = rows.where(F.col("_got").isNotNull())
+    return rows.select(*points.columns, *[F.col("_got")[c].alias(c) for c in columns])
