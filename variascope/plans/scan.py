@@ -146,3 +146,35 @@ def merge_intervals(
     return placed.groupBy(*keys, "region_start").agg(
         F.max("_e").alias("region_end"), F.sum("_n").alias("members")
     )
+
+
+def numbered(
+    df: DataFrame, *, keys: Sequence[str], order: Sequence[Column], tile: Column, name: str = "rn"
+) -> DataFrame:
+    """1-based row number inside ``keys`` along ``order``, built from tiles plus the count of earlier tiles.
+
+    ``tile`` must be non-decreasing in the first ordering column and constant for equal values of it.
+    """
+    keys = list(keys)
+    tiled = df.withColumn("_tile", tile).repartition(*[F.col(k) for k in keys], F.col("_tile"))
+    inside = tiled.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_tile").orderBy(*order)))
+    over_keys = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    before = over_keys.orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        tiled.groupBy(*keys, "_tile")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .select(*keys, "_tile", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    )
+    joined = inside.join(carry, [*keys, "_tile"])
+    return joined.select(*df.columns, (F.col("_rn") + F.col("_before")).cast("long").alias(name))
+
+
+def value_ranks(df: DataFrame, *, keys: Sequence[str], value: str, tile: Column | None = None) -> DataFrame:
+    """Histogram with ranks: (keys, value, n, below) where ``below`` counts the smaller values of the key.
+
+    Equal values are combined before the shuffle, so a value shared by very many rows is one row.
+    """
+    hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    tile = value_tiles(df, value) if tile is None else tile
+    ranked = running(hist, keys=keys, order=value, tile=tile, values={"below": ("sum", "n", False)})
+    return ranked.withColumn("below", F.coalesce("below", F.lit(0)).cast("long"))
