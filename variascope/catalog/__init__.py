@@ -6,7 +6,7 @@ import importlib
 
 from variascope.registry import QUERIES, SQL
 
-GROUPS = ("calls", "coverage", "annotate", "tree")
+GROUPS = ("calls", "coverage", "annotate", "tree", "taxa", "evolution")
 
 
 def load():

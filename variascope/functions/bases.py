@@ -58,13 +58,14 @@ def amino(codon: Column) -> Column:
     return F.when(known, F.substring(F.lit(CODE_AMINO), at, F.lit(1)))
 
 
+def triplets(seq: Column) -> Column:
+    """Whole codons in order. One linear pass: repeated ``substring`` would rescan the string for every codon."""
+    return F.regexp_extract_all(seq, F.lit("(?s)(.{3})"), F.lit(1))
+
+
 def translate(seq: Column) -> Column:
     """Protein of the whole codons of ``seq``; unknown codons become X."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(
-        F.transform(steps, lambda i: F.coalesce(amino(F.substring(seq, i * 3 + 1, F.lit(3))), F.lit("X"))), ""
-    )
+    return F.array_join(F.transform(triplets(seq), lambda c: F.coalesce(amino(c), F.lit("X"))), "")
 
 
 def ranked_counts(counts: Sequence[Column]) -> Column:

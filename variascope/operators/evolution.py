@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variascope.functions import tails
-from variascope.functions.bases import BASES, CODON_TO_AA
+from variascope.functions.bases import CODON_TO_AA, triplets
 from variascope.operators.annotate import site_to_one_gene
 from variascope.operators.tree import SUBSTITUTIONS
 from variascope.plans.draws import draw, trial_table
@@ -18,10 +18,8 @@ from variascope.plans.scan import value_ranks, value_tiles
 
 def codon_usage(genes: DataFrame, *, by: Sequence[str] = (), offset: str | None = None) -> DataFrame:
     """Count and share of each known codon, over all genes or per ``by``. Offset is in codons."""
-    begin = F.lit(0) if offset is None else F.col(offset) * 3
-    steps = F.floor((F.length("seq") - begin) / 3).cast("int")
-    index = F.when(steps > 0, F.sequence(F.lit(0), steps - 1))
-    codons = genes.select(*by, F.explode(F.transform(index, lambda i: F.substring(F.col("seq"), i * 3 + begin + 1, F.lit(3)))).alias("codon"))
+    seq = F.col("seq") if offset is None else F.substring(F.col("seq"), F.col(offset) * 3 + 1, F.length("seq"))
+    codons = genes.select(*by, F.explode(triplets(seq)).alias("codon"))
     counts = codons.where(F.col("codon").rlike("^[ATCG]{3}$")).groupBy(*by, "codon").agg(F.count(F.lit(1)).alias("n"))
     if by:
         totals = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
@@ -252,13 +250,17 @@ def combined_gene_counts(snvs: DataFrame, indels: DataFrame) -> DataFrame:
 
 def multi_hit_sizes(counts: DataFrame, null: DataFrame) -> DataFrame:
     """Genes with several events: how many per event count, with the simulated p of that count."""
-    sizes = counts.where("n_events > 1").groupBy("n_events").agg(F.count(F.lit(1)).alias("n_genes"))
-    hist = null.groupBy(F.col("n_genes").alias("sim")).agg(F.count(F.lit(1)).alias("k"))
+    sizes = counts.where("n_events > 1").groupBy(F.col("n_events").alias("v")).agg(F.count(F.lit(1)).alias("n_genes"))
+    hist = null.groupBy(F.col("n_genes").alias("v")).agg(F.count(F.lit(1)).alias("k"))
     total = null.agg(F.count(F.lit(1))).scalar()
-    below = sizes.join(hist, F.col("sim") < F.col("n_events"), "left").groupBy("n_events", "n_genes").agg(
-        F.coalesce(F.sum("k"), F.lit(0)).alias("below")
+    # One row per distinct count on both sides, so the closing window is small.
+    below = Window.partitionBy(F.lit(1)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        sizes.join(hist, "v", "full_outer")
+        .withColumn("below", F.coalesce(F.sum("k").over(below), F.lit(0)))
+        .where(F.col("n_genes").isNotNull())
+        .select(F.col("v").alias("n_events"), "n_genes", (1 - F.col("below") / total).alias("p_value"))
     )
-    return below.select("n_events", "n_genes", (1 - F.col("below") / total).alias("p_value"))
 
 
 def dnds_percentile(genes: DataFrame) -> DataFrame:
