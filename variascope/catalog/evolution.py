@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from variascope import bindings as b
@@ -23,6 +25,9 @@ ns AS (SELECT c.codon, f || t AS sub, count(*) AS bases, avg(CASE WHEN d.aa <> c
   FROM code c CROSS JOIN subs CROSS JOIN range(3) r(i) JOIN code d ON d.codon = substr(c.codon, 1, i) || t || substr(c.codon, i + 2)
   WHERE substr(c.codon, i + 1, 1) = f GROUP BY 1, 2)"""
 
+# The same tables under other names, without the sequences, to sit next to the annotation tables.
+SQL_CODONS2 = re.sub(r"\bcod(e?)\b(?! AS \(SELECT doc_id AS)", r"cod\g<1>2", SQL_CODONS.replace(SQL_SEQUENCES + ",", "")).replace("AS cod2on", "AS codon")
+
 
 def genes_as_sequences(spark, sf):
     return b.sequences(spark, sf)
@@ -95,8 +100,8 @@ POISSON_GE = "(1 - coalesce(list_sum(list_transform(range({k}), lambda i: exp(-{
 
 @query(
     "ev4_ns_binomial",
-    f"""WITH {SQL_ANNOTATED}, {SQL_CODONS.replace(SQL_SEQUENCES + ',', '').replace('code AS', 'code2 AS').replace('FROM code c', 'FROM code2 c').replace('JOIN code d', 'JOIN code2 d')},
-    u AS (SELECT doc_id, codon, count(*) AS n FROM cod GROUP BY 1, 2),
+    f"""WITH {SQL_ANNOTATED}, {SQL_CODONS2},
+    u AS (SELECT doc_id, codon, count(*) AS n FROM cod2 GROUP BY 1, 2),
     s AS (SELECT doc_id, sub, sum(n * bases * p_nonsyn) / sum(n * bases) AS p FROM ns JOIN u ON u.codon = ns.codon GROUP BY 1, 2),
     ex AS (SELECT doc_id, CASE WHEN count(*) = 12 THEN sum(p) / 12 END AS p_n FROM s GROUP BY 1),
     ob AS (SELECT contig AS doc_id, CAST(sum(length(type) - length(replace(type, 'N', ''))) AS BIGINT) AS a, CAST(sum(length(type) - length(replace(type, 'S', ''))) AS BIGINT) AS s FROM ann GROUP BY 1)
