@@ -136,6 +136,7 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
 
 def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
     """Two-sided exact p without ties: counts of subsets by U through the usual recurrence."""
+    n1, n2 = min(n1, n2), max(n1, n2)
     ways = [1] + [0] * (n1 * n2)
     for i in range(1, n1 + 1):
         for s in range(len(ways) - 1, n2 + i - 1, -1):

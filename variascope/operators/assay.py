@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from variascope.functions import tails
 from variascope.plans.lineage import cut
-from variascope.plans.scan import running, value_ranks, value_tiles
+from variascope.plans.scan import running, value_tiles
 
 
 def countable_dilution(
@@ -318,7 +318,7 @@ def mann_whitney(rows: DataFrame, *, strata: Sequence[str], group: str, value: s
     strata = list(strata)
     tile = value_tiles(rows, value, 32)
     keys = [*strata, group]
-    mine = value_ranks(rows, keys=keys, value=value, tile=tile)
+    mine = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     other = sizes.select(*strata, F.col(group).alias("g2"), F.col("size").alias("n2"))
     # Every value of a stratum, seen from every group: count at the value and below it.
@@ -348,12 +348,14 @@ def mann_whitney(rows: DataFrame, *, strata: Sequence[str], group: str, value: s
     # Continuity correction towards the mean; the upper U is at or above it, and p is capped at 1.
     shift = F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2.0) - 0.5
     z = F.when(sd > 0, F.greatest(shift, F.lit(0.0)) / sd)
-    small = (F.col("ties") == 0) & (F.least("n1", "n2") <= exact_limit) & (F.greatest("n1", "n2") <= 200)
+    small = (F.col("ties") == 0) & (F.least("n1", "n2") <= exact_limit)
     exact = tails.mann_whitney_exact_udf()(
         F.when(small, F.col("u")), F.when(small, F.col("n1").cast("double")), F.when(small, F.col("n2").cast("double"))
     )
     p = F.coalesce(exact, tails.normal_two_sided_udf()(z))
-    return out.withColumn("p", p).select(*strata, "g1", "g2", "n1", "n2", "u", "p").withColumn("stars", stars(F.col("p")))
+    return out.withColumn("z", z).withColumn("p", p).select(*strata, "g1", "g2", "n1", "n2", "u", "z", "p").withColumn(
+        "stars", stars(F.col("p"))
+    )
 
 
 def stars(p: Column) -> Column:
