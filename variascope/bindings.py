@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from variascope.operators.annotate import ref_base_at
+
 N_SITES = 40
 GENE_SPAN = 200_000
 
@@ -219,18 +221,16 @@ cg AS (SELECT doc_id AS contig, doc_id * 10 + k AS gene, start, "end", strand, t
 
 def contig_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Calls on document contigs: contig = part key, position from the order key, one call per (site, sample)."""
-    docs = sequences(spark, sf).select(F.col("doc_id").alias("contig"), "seq")
-    li = table(spark, sf, "lineitem")
-    rows = li.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").join(
-        docs.where(F.length("seq") > 0), F.col("l_partkey") == F.col("contig")
+    docs = sequences(spark, sf).select(F.col("doc_id").alias("contig"), "seq").where(F.length("seq") > 0)
+    sizes = docs.select("contig", F.length("seq").alias("len"))
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    points = li.join(sizes, F.col("l_partkey") == F.col("contig")).select(
+        "contig", (F.col("l_orderkey") * 37 % F.col("len")).alias("pos"), F.col("l_suppkey").alias("sample"),
+        (F.col("l_linenumber") % 4).alias("call"),
     )
-    pos = F.col("l_orderkey") * 37 % F.length("seq")
     return (
-        rows.select(
-            "contig", pos.alias("p"), F.col("l_suppkey").alias("sample"), (F.col("l_linenumber") % 4).alias("call"),
-            (F.instr(F.lit("ATCG"), F.substring(F.col("seq"), (pos + 1).cast("int"), F.lit(1))) - 1).alias("ref"),
-        )
-        .groupBy("contig", "p", "sample", "ref")
+        ref_base_at(points, docs)
+        .groupBy("contig", F.col("pos").alias("p"), "sample", "ref")
         .agg(F.min("call").alias("call"))
     )
 

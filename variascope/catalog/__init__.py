@@ -6,7 +6,7 @@ import importlib
 
 from variascope.registry import QUERIES, SQL
 
-GROUPS = ("calls", "coverage", "annotate", "tree", "taxa", "evolution", "series", "assay")
+GROUPS = ("sources", "calls", "coverage", "annotate", "tree", "taxa", "evolution", "series", "assay")
 
 
 def load():

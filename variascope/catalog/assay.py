@@ -123,9 +123,9 @@ def gr1(spark, sf):
     return r6(a.contaminated_wells(readings(spark, sf)), "rise")
 
 
-@query("gr2_blank_subtract", f"WITH {SQL_GROWTH} SELECT well, t, round(norm_od, 6) AS norm_od FROM nm")
+@query("gr2_blank_subtract", f"WITH {SQL_GROWTH} SELECT well, t, round(norm_od, 9) AS norm_od FROM nm")
 def gr2(spark, sf):
-    return r6(normalised(spark, sf).select("well", "t", "norm_od"), "norm_od")
+    return normalised(spark, sf).select("well", "t", R("norm_od", 9).alias("norm_od"))
 
 
 @query(

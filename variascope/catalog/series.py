@@ -256,12 +256,14 @@ PARENTS = [("1-URGENT", "root"), ("2-HIGH", "root"), ("3-MEDIUM", "1-URGENT"), (
 
 
 def month_shares(spark, sf):
+    """Monthly share of every priority (0 where a month has none) and the root at 1."""
     o = b.table(spark, sf, "orders")
     g = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1
-    rows = o.groupBy(g.alias("g"), F.col("o_orderpriority").alias("mutation")).agg(F.count(F.lit(1)).alias("k"))
-    total = rows.groupBy("g").agg(F.sum("k").alias("t"))
-    shares = rows.join(total, "g").select("mutation", "g", (F.col("k") / F.col("t")).alias("value"))
-    return shares.unionByName(total.select(F.lit("root").alias("mutation"), "g", F.lit(1.0).alias("value")))
+    names = [p for p, _ in PARENTS]
+    wide = o.groupBy(g.alias("g")).agg(
+        F.lit(1.0).alias("root"), *[(F.count_if(F.col("o_orderpriority") == p) / F.count(F.lit(1))).alias(p) for p in names]
+    )
+    return wide.unpivot(["g"], ["root", *[f"`{p}`" for p in names]], "mutation", "value").select("mutation", "g", "value")
 
 
 def nested(spark, sf):
@@ -269,17 +271,17 @@ def nested(spark, sf):
     return s.nested_share(month_shares(spark, sf), parents)
 
 
-@query(
-    "af6_nested_share",
-    """WITH r AS (SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS g, o_orderpriority AS p, count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1) AS v FROM orders GROUP BY 1, 2),
+SQL_NESTED = """WITH r AS (SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS g, o_orderpriority AS p, count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1) AS v FROM orders GROUP BY 1, 2),
     w AS (SELECT g, coalesce(max(v) FILTER (p = '1-URGENT'), 0) AS u, coalesce(max(v) FILTER (p = '2-HIGH'), 0) AS h, coalesce(max(v) FILTER (p = '3-MEDIUM'), 0) AS m, coalesce(max(v) FILTER (p = '4-NOT SPECIFIED'), 0) AS n,
       coalesce(max(v) FILTER (p = '5-LOW'), 0) AS l FROM r GROUP BY 1),
-    a AS (SELECT *, 1 / (greatest(1 - u - h, 0) + u + h) AS f1 FROM w), b AS (SELECT *, u * f1 AS us, h * f1 AS hs FROM a),
-    c AS (SELECT *, us / (greatest(us - m - n, 0) + m + n) AS f2 FROM b), d AS (SELECT *, m * f2 AS ms, n * f2 AS ns FROM c), e AS (SELECT *, ms / (greatest(ms - l, 0) + l) AS f3 FROM d)
+    a AS (SELECT *, coalesce(1 / nullif(greatest(1 - u - h, 0) + u + h, 0), 0) AS f1 FROM w), b AS (SELECT *, u * f1 AS us, h * f1 AS hs FROM a),
+    c AS (SELECT *, coalesce(us / nullif(greatest(us - m - n, 0) + m + n, 0), 0) AS f2 FROM b), d AS (SELECT *, m * f2 AS ms, n * f2 AS ns FROM c), e AS (SELECT *, coalesce(ms / nullif(greatest(ms - l, 0) + l, 0), 0) AS f3 FROM d)
     SELECT 'root' AS mutation, CAST(g AS INTEGER) AS g, round(greatest(1 - u - h, 0) * f1, 6) AS share FROM e UNION ALL SELECT '1-URGENT', CAST(g AS INTEGER), round(greatest(us - m - n, 0) * f2, 6) FROM e
     UNION ALL SELECT '2-HIGH', CAST(g AS INTEGER), round(hs, 6) FROM e UNION ALL SELECT '3-MEDIUM', CAST(g AS INTEGER), round(greatest(ms - l, 0) * f3, 6) FROM e
-    UNION ALL SELECT '4-NOT SPECIFIED', CAST(g AS INTEGER), round(ns, 6) FROM e UNION ALL SELECT '5-LOW', CAST(g AS INTEGER), round(l * f3, 6) FROM e""",
-)
+    UNION ALL SELECT '4-NOT SPECIFIED', CAST(g AS INTEGER), round(ns, 6) FROM e UNION ALL SELECT '5-LOW', CAST(g AS INTEGER), round(l * f3, 6) FROM e"""
+
+
+@query("af6_nested_share", SQL_NESTED)
 def af6(spark, sf):
     return nested(spark, sf).select("mutation", "g", R("share", 6).alias("share"))
 
@@ -303,8 +305,11 @@ def af8_counts(spark, sf):
     return s.count_table(s.allele_freq(calls(spark, sf)))
 
 
-@query("af8_population_table")
+@query(
+    "af8_population_table",
+    f'SELECT mutation AS "Identity", CAST(g AS DOUBLE) AS "Generation", share AS "Population" FROM ({SQL_NESTED})',
+)
 def af8_population(spark, sf):
     shares = nested(spark, sf)
     times = shares.select("g", F.col("g").cast("double").alias("x")).distinct()
-    return s.population_table(shares, times)
+    return s.population_table(shares, times).withColumn("Population", R("Population", 6))

@@ -346,20 +346,40 @@ def find_gene(genes: DataFrame, contigs: DataFrame, text: str, *, edge: int = 0)
     )
 
 
-def extract_gene_seq(genes: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Coding-strand sequence of each gene from its contig sequence."""
+def reference_chunks(contigs: DataFrame, *, width: int = 1000) -> DataFrame:
+    """(contig, k, piece): the sequence in pieces of ``width`` bases, cut in one linear pass.
+
+    Taking a base out of a whole contig walks the contig for every base; a piece is short and joins by equality.
+    """
+    pieces = F.regexp_extract_all(F.col("seq"), F.lit(f"(?s)(.{{1,{width}}})"), F.lit(1))
+    return contigs.select("contig", F.posexplode(pieces).alias("k", "piece"))
+
+
+def extract_gene_seq(genes: DataFrame, contigs: DataFrame, *, width: int = 1000) -> DataFrame:
+    """Coding-strand sequence of each gene, put together from the reference pieces it touches."""
+    keys = ["contig", "start", "end", "strand"]
+    places = genes.select(*keys).distinct()
+    spans = places.withColumn(
+        "k", F.explode(F.sequence(F.floor(F.col("start") / width).cast("int"), F.floor((F.col("end") - 1) / width).cast("int")))
+    )
+    joined = spans.join(reference_chunks(contigs, width=width), ["contig", "k"]).groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda s: s["piece"]), "").alias("_t")
+    )
     piece = F.substring(
-        F.col("contig_seq"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")
+        F.col("_t"), (F.col("start") % width + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")
     )
-    return genes.join(contigs.select("contig", F.col("seq").alias("contig_seq")), "contig").withColumn(
-        "seq", F.when(F.col("strand") == -1, revcomp(piece)).otherwise(piece)
-    ).drop("contig_seq")
+    cut = joined.select(*keys, F.when(F.col("strand") == -1, revcomp(piece)).otherwise(piece).alias("seq"))
+    rows = genes.drop("seq") if "seq" in genes.columns else genes
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    cond = same[0] & same[1] & same[2] & same[3]
+    return rows.alias("g").join(cut.alias("s"), cond).select("g.*", "s.seq")
 
 
-def ref_base_at(points: DataFrame, contigs: DataFrame) -> DataFrame:
+def ref_base_at(points: DataFrame, contigs: DataFrame, *, width: int = 1000) -> DataFrame:
     """Reference base and its call index at (contig, pos)."""
-    base = F.upper(F.substring(F.col("seq"), (F.col("pos") + 1).cast("int"), F.lit(1)))
-    return points.join(contigs.select("contig", "seq"), "contig").select(
+    base = F.upper(F.substring(F.col("piece"), (F.col("pos") % width + 1).cast("int"), F.lit(1)))
+    keyed = points.withColumn("k", F.floor(F.col("pos") / width).cast("int"))
+    return keyed.join(reference_chunks(contigs, width=width), ["contig", "k"]).select(
         *points.columns, base.alias("base"), nt_index(base).alias("ref")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,19 +56,26 @@ def cut_adapter(seq: Column, qual: Column, adapter: str = ADAPTER) -> tuple[Colu
 
 def quality_end(qual: Column, *, min_quality: int = 20, offset: int = 33) -> Column:
     """Length to keep from the 5' end: windows of a tenth of the read slide until one averages below the limit (or is
-    the last); the read ends at the first low base of that window."""
-    scores = F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - offset)
-    n = F.length(qual)
-    w = F.greatest(F.floor(n / 10).cast("int"), F.lit(1))
-    w = F.when(n < 10, n).otherwise(w)
-    starts = F.sequence(F.lit(0), n - w)
-
-    def mean(i: Column) -> Column:
-        return F.aggregate(F.slice(scores, i + 1, w), F.lit(0), lambda a, x: a + x) / w
-
-    bad = F.coalesce(F.get(F.filter(starts, lambda i: mean(i) < min_quality), F.lit(0)), n - w)
-    low = F.filter(F.sequence(bad, bad + w - 1), lambda j: F.get(scores, j) < min_quality)
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.get(low, F.lit(0)), n))
+    the last); the read ends at the first low base of that window. Linear in the read through prefix sums."""
+
+    @F.pandas_udf("int")
+    def run(quals: pd.Series) -> pd.Series:
+        out = []
+        for q in quals:
+            scores = np.frombuffer((q or "").encode("latin-1"), dtype=np.uint8).astype(np.int64) - offset
+            n = len(scores)
+            if n == 0:
+                out.append(0)
+                continue
+            w = n if n < 10 else n // 10
+            sums = np.concatenate(([0], np.cumsum(scores)))
+            bad = np.flatnonzero(sums[w:] - sums[:-w] < min_quality * w)
+            at = int(bad[0]) if len(bad) else n - w
+            low = np.flatnonzero(scores[at : at + w] < min_quality)
+            out.append(at + int(low[0]) if len(low) else n)
+        return pd.Series(out, dtype="int32")
+
+    return run(qual)
 
 
 def trim_reads(
