@@ -45,16 +45,16 @@ def deletion_filter(
     salt: int = 8,
 ) -> DataFrame:
     """Keep runs with a low mean z, some sample with real coverage there, and an own median of exactly 0."""
+    keys = ["sample", "start", "end"]
     own = interval_join(z, candidates, point="p", start="start", end="end", on=["sample"], width=width)
-    low = own.groupBy("sample", "start", "end").agg(F.avg("z").alias("mean_z")).where(F.col("mean_z") < max_mean_z)
-    medians = region_medians(cov, low, width=width, salt=salt)
-    best = medians.groupBy("start", "end").agg(F.max("median").alias("best")).where(F.col("best") > min_best_median)
-    return (
-        low.join(best, ["start", "end"])
-        .join(medians, ["start", "end", "sample"], "left")
-        .where(F.coalesce("median", F.lit(0.0)) == 0)
-        .select("sample", "start", "end", "mean_z")
-    )
+    low = own.groupBy(*keys).agg(F.avg("z").alias("mean_z")).where(F.col("mean_z") < max_mean_z)
+    # The own median is 0 exactly when more than half of the positions are uncovered: a count, checked first.
+    wet = interval_join(cov.where("cov > 0"), low, point="p", start="start", end="end", on=["sample"], width=width)
+    wet = wet.groupBy(*keys).agg(F.count(F.lit(1)).alias("_wet"))
+    length = F.col("end") - F.col("start")
+    empty = low.join(wet, keys, "left").where(2 * (length - F.coalesce("_wet", F.lit(0))) > length)
+    best = region_medians(cov, empty, width=width, salt=salt).groupBy("start", "end").agg(F.max("median").alias("best"))
+    return empty.join(best.where(F.col("best") > min_best_median), ["start", "end"], "left_semi").select(*keys, "mean_z")
 
 
 def amplification_filter(
