@@ -1,6 +1,6 @@
 """Times queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]`` and prints one JSON line.
 
-Headline queries run once to warm up and then three times (median). Results go to the ``noop`` sink.
+Headline queries run once to warm up and then twice (median). Results go to the ``noop`` sink.
 ``python bench.py all`` times every registered query once instead.
 """
 
@@ -55,7 +55,7 @@ def main() -> None:
     seconds: dict[str, float] = {}
     for name in names:
         runs = []
-        for _ in range(1 if everything else 4):
+        for _ in range(1 if everything else 3):
             begin = time.perf_counter()
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - begin)

@@ -9,6 +9,7 @@ from variascope.bindings import N_HOURS, SQL_CELLS, SQL_COVERAGE, SQL_GENES, SQL
 from variascope.operators import coverage as v
 from variascope.operators import segments as g
 from variascope.plans.grid import dense_grid
+from variascope.plans.lineage import cut
 from variascope.registry import query
 
 R = F.round
@@ -244,8 +245,8 @@ def mg1_below(spark, sf):
 
 def z_and_gaps(spark, sf):
     cov = b.coverage(spark, sf)
-    z = v.double_zscore(cov, users(spark, sf), N_HOURS)
-    return cov, z
+    # The normalised matrix is used several times: computed once and stored, like a written table.
+    return cov, cut(v.double_zscore(cov, users(spark, sf), N_HOURS))
 
 
 SQL_ZRUNS = SQL_Z + """,

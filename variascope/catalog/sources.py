@@ -475,7 +475,7 @@ def pileup(spark, sf):
     lists = rows.groupBy("sample", "p").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     text = lambda f, sep="": F.array_join(F.transform("xs", lambda x: x[f]), sep)
     return lists.select(
-        "sample", F.lit("c").alias("chrom"), "p", F.substring(F.lit("ATCG"), (F.col("p") % 4 + 1).cast("int"), F.lit(1)).alias("ref"), F.size("xs").alias("depth"),
+        "sample", F.concat(F.lit("c"), F.col("sample") % 3).alias("chrom"), "p", F.substring(F.lit("ATCG"), (F.col("p") % 4 + 1).cast("int"), F.lit(1)).alias("ref"), F.size("xs").alias("depth"),
         text("s").alias("bases"), text("bq").alias("bq"), text("mq").alias("mq"), text("td", ",").alias("tails"),
     )
 

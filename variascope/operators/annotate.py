@@ -161,15 +161,23 @@ def annotate_snv(
     sites: on, p, ref, anc (0..3 or NULL), alts (array of calls). genes: on, gene, start, end, strand, type, seq.
     Types per alternate: N or S in coding genes, U without a full codon, R in other genes; P or I outside genes.
     """
-    hits = interval_join(sites, genes, point="p", start="start", end="end", on=on, width=width)
+    # Sequences stay out of the interval join: a hit later meets only the short piece that holds its codon.
+    hits = interval_join(sites, genes.drop("seq"), point="p", start="start", end="end", on=on, width=width)
     plus = F.col("strand") == 1
     nt_pos = F.when(plus, F.col("p") - F.col("start") + 1).otherwise(F.col("end") - F.col("p")).cast("int")
     rows = hits.withColumn("nt_pos", nt_pos)
     aa_pos = F.floor((F.col("nt_pos") - 1) / 3).cast("int") + 1
     rows = rows.withColumn("aa_pos", aa_pos).withColumn("_ncn", F.col("nt_pos") - (F.col("aa_pos") - 1) * 3)
+    size = 33
+    pieces = genes.where("type = 'CDS'").select(
+        *on, "gene", F.posexplode(F.regexp_extract_all(F.col("seq"), F.lit(f"(?s)(.{{1,{3 * size}}})"), F.lit(1))).alias("_k", "_piece")
+    )
+    rows = rows.withColumn("_k", F.floor((F.col("aa_pos") - 1) / size).cast("int")).join(pieces, [*on, "gene", "_k"], "left")
+    at = (F.col("aa_pos") - 1) % size * 3 + 1
+    rows = rows.withColumn("_codon", F.substring(F.col("_piece"), at, F.lit(3)))
     coding = F.col("type") == "CDS"
-    full = coding & (F.length("seq") >= F.col("aa_pos") * 3) & F.col("ref").isNotNull()
-    codon = F.substring(F.col("seq"), F.col("aa_pos") * 3 - 2, F.lit(3))
+    codon = F.col("_codon")
+    full = coding & (F.length(codon) == 3) & F.col("ref").isNotNull()
 
     def variant(base: Column) -> Column:
         letter = F.when(plus, base).otherwise(complement(base))
@@ -178,7 +186,7 @@ def annotate_snv(
         )
 
     rows = rows.withColumn(
-        "codons", F.when(full, F.array(*[variant(F.lit(x)) for x in BASES])).otherwise(F.array().cast("array<string>"))
+        "codons", F.when(F.coalesce(full, F.lit(False)), F.array(*[variant(F.lit(x)) for x in BASES])).otherwise(F.array().cast("array<string>"))
     )
     rows = rows.withColumn("aa", F.transform("codons", amino))
     ref_aa = F.get("aa", F.col("ref"))
@@ -207,9 +215,7 @@ def annotate_snv(
         F.when(full, F.transform("aa_alt", lambda x: x != F.col("aa_ref"))).alias("nonsyn_rel_ref"),
         F.when(full, F.transform("aa_alt", lambda x: F.coalesce(x != F.col("aa_anc"), F.lit(True)))).alias("nonsyn_rel_anc"),
     )
-    outside = promoter_or_intergenic(
-        sites, genes, on=on, promoter=promoter, width=width
-    )
+    outside = promoter_or_intergenic(sites, genes.drop("seq"), on=on, promoter=promoter, width=width)
     blank = {f.name: f.dataType for f in inside.schema.fields}
     fill = [
         F.lit(None).cast(blank[c]).alias(c)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from variascope.plans.grid import dense_grid
 from variascope.plans.intervals import interval_join
+from variascope.plans.lineage import cut
 from variascope.plans.scan import islands, merge_intervals, place_intervals
 
 
@@ -52,7 +53,8 @@ def deletion_filter(
     wet = interval_join(cov.where("cov > 0"), low, point="p", start="start", end="end", on=["sample"], width=width)
     wet = wet.groupBy(*keys).agg(F.count(F.lit(1)).alias("_wet"))
     length = F.col("end") - F.col("start")
-    empty = low.join(wet, keys, "left").where(2 * (length - F.coalesce("_wet", F.lit(0))) > length)
+    # Region-sized and needed twice, so its lineage ends here.
+    empty = cut(low.join(wet, keys, "left").where(2 * (length - F.coalesce("_wet", F.lit(0))) > length))
     best = region_medians(cov, empty, width=width, salt=salt).groupBy("start", "end").agg(F.max("median").alias("best"))
     return empty.join(best.where(F.col("best") > min_best_median), ["start", "end"], "left_semi").select(*keys, "mean_z")
 
