@@ -180,9 +180,9 @@ SQL_NODE_CALLS = """node_calls AS (
   FROM (SELECT c_custkey + 1 AS node FROM customer) CROSS JOIN (SELECT range AS site FROM range(24)))"""
 
 
-def contig_genes(spark: SparkSession, sf: str) -> DataFrame:
+def contig_genes(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
     """Three overlapping genes on every document contig, scaled to its length; coding-strand sequences included."""
-    docs = sequences(spark, sf).withColumn("len", F.length("seq").cast("long"))
+    docs = (sequences(spark, sf) if docs is None else docs).withColumn("len", F.length("seq").cast("long"))
     third, sixth, twelfth, quarter = (F.floor(F.col("len") / k) * 3 for k in (9, 6, 12, 4))
     zero = F.lit(0).cast("long")
     gene = F.explode(
@@ -219,9 +219,10 @@ cg AS (SELECT doc_id AS contig, doc_id * 10 + k AS gene, start, "end", strand, t
   FROM g0 WHERE "end" > start)"""
 
 
-def contig_calls(spark: SparkSession, sf: str) -> DataFrame:
+def contig_calls(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
     """Calls on document contigs: contig = part key, position from the order key, one call per (site, sample)."""
-    docs = sequences(spark, sf).select(F.col("doc_id").alias("contig"), "seq").where(F.length("seq") > 0)
+    docs = sequences(spark, sf) if docs is None else docs
+    docs = docs.select(F.col("doc_id").alias("contig"), "seq").where(F.length("seq") > 0)
     sizes = docs.select("contig", F.length("seq").alias("len"))
     li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
     points = li.join(sizes, F.col("l_partkey") == F.col("contig")).select(

@@ -17,6 +17,7 @@ from variascope.bindings import (
 from variascope.functions.bases import nt
 from variascope.operators import annotate as a
 from variascope.operators import recombination as rc
+from variascope.plans.lineage import cut
 from variascope.registry import query
 from variascope.sources.fasta import contig_index
 
@@ -93,16 +94,18 @@ def an5(spark, sf):
     return a.promoter_or_intergenic(b.sites(spark, sf), b.genes(spark, sf), promoter=50, width=512)
 
 
-def contig_sites(spark, sf):
-    mutated = b.contig_calls(spark, sf).where(F.col("call") != F.col("ref"))
-    alts = a.ordered_alternates(mutated, on=["contig"])
-    refs = mutated.select("contig", "p", "ref").distinct()
+def contig_sites(spark, sf, docs):
+    mutated = b.contig_calls(spark, sf, docs).where(F.col("call") != F.col("ref"))
     anc = F.when(F.col("p") % 7 != 0, (F.col("p") % 4).cast("int"))
-    return alts.join(refs, ["contig", "p"]).withColumn("anc", anc)
+    return a.ordered_alternates(mutated, on=["contig", "ref"]).withColumn("anc", anc)
 
 
 def annotated(spark, sf):
-    return a.annotate_snv(contig_sites(spark, sf), b.contig_genes(spark, sf), on=["contig"], promoter=60, width=2048)
+    # Contig sequences feed the calls and the genes: derived once and stored, like the reference they stand for.
+    docs = cut(b.sequences(spark, sf))
+    return a.annotate_snv(
+        contig_sites(spark, sf, docs), b.contig_genes(spark, sf, docs), on=["contig"], promoter=60, width=2048
+    )
 
 
 # Codon and amino acid of every call, spelled independently of the operator.
