@@ -9,11 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, set from ``spark.checkpoint.dir`` when it is not set yet."""
+    """The checkpoint folder of the session, which all executors share (``spark.checkpoint.dir``).
+
+    Only a local master, as in tests, gets a scratch folder when none is set; on a cluster this raises, since
+    a folder of one machine would lose data between nodes.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -23,9 +31,6 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder named by ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a scratch folder.
-    """
+    """Reliable checkpoint of ``df`` in the shared folder named by ``spark.checkpoint.dir``."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
