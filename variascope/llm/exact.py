@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variascope.llm import bloom
-from variascope.plans.lineage import scratch
+from variascope.llm.io import written
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
 
@@ -37,14 +37,13 @@ def points(text: str) -> Column:
 
 def _prints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Written table (_row, _key, _print, _points) of all rows."""
-    path = f"{scratch(docs.sparkSession)}/prints"
-    docs.select(
+    rows = docs.select(
         F.monotonically_increasing_id().alias("_row"),
         F.col(key).alias("_key"),
         F.unhex(fingerprint(text)).alias("_print"),
         points(text).alias("_points"),
-    ).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    )
+    return written(rows, "prints")
 
 
 _BEST = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_row").alias("r")))
@@ -67,7 +66,8 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
         F.lower(F.hex("_print")).alias("text_sha256"),
     )
     maybe = flagged.where("_maybe").select("_row", "_key", "_print", "_points")
-    best = maybe.groupBy("_print").agg(_BEST.alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    # a written table, so that both sides of the join are plain exchanges and a skewed one can be split
+    best = written(maybe.groupBy("_print").agg(_BEST.alias("_best"), F.count(F.lit(1)).alias("group_size")), "best")
     more = maybe.join(best, "_print").select(
         F.col("_key").alias(key),
         F.col("_best.k").alias("keep_id"),

@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from variascope.llm import bloom
+from variascope.llm.io import written
 from variascope.llm.words import NOT_SPACE, lists, lower, map_columns, mix, ngrams, pack, slices, word_hashes, words
 from variascope.plans.components import components
-from variascope.plans.lineage import scratch
 
 _SMALL = 24
 
@@ -103,16 +103,8 @@ def sketches(docs: DataFrame, *, key: str, text: str, size: int, pieces: int) ->
         n, sig, prints = (np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (np.zeros(0, np.int64), np.zeros((0, 2 * pieces), np.int64), np.zeros((0, 2), np.int64))
         return [pa.array(n, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists(pa.array(sig.ravel()), np.full(len(n), 2 * pieces))]
 
-    path = f"{scratch(docs.sparkSession)}/sketches"
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    map_columns(rows, "_text", make, added, ["_id"]).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{scratch(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return written(map_columns(rows, "_text", make, added, ["_id"]), "sketches")
 
 
 def candidates(classes: DataFrame, pieces: int) -> tuple[DataFrame, DataFrame]:
@@ -136,13 +128,19 @@ def candidates(classes: DataFrame, pieces: int) -> tuple[DataFrame, DataFrame]:
     return two.unionByName(star).distinct(), members.select("key", "_id", "n")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, *, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+def paired(pairs: DataFrame, docs: DataFrame, *, key: str, text: str) -> DataFrame:
+    """(a, b, ta, tb): the pairs with both texts. Only texts of ids in ``pairs`` (by Bloom filter) are shuffled."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     bits = bloom.bits_for(ids.count())
-    texts = bloom.flag(docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), "_id", bloom.present(ids, "_id", bits), bits, "_maybe")
-    texts = texts.where("_maybe").select("_id", "_text").join(ids, "_id", "left_semi").dropDuplicates(["_id"])
+    texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    texts = bloom.flag(texts, "_id", bloom.present(ids, "_id", bits), bits, "_maybe").where("_maybe").select("_id", "_text")
+    texts = texts.join(ids, "_id", "left_semi").dropDuplicates(["_id"])
     both = pairs.join(texts.withColumnsRenamed({"_id": "a", "_text": "ta"}), "a").join(texts.withColumnsRenamed({"_id": "b", "_text": "tb"}), "b")
+    return both.select("a", "b", "ta", "tb")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, *, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
 
     def run(batches):
         for batch in batches:
@@ -159,7 +157,7 @@ def verified(pairs: DataFrame, docs: DataFrame, *, key: str, text: str, size: in
 
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, schema)
+    return paired(pairs, docs, key=key, text=text).mapInArrow(run, schema)
 
 
 def plausible(pairs: DataFrame, percent: int) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variascope.plans.lineage import scratch
+from variascope.llm.io import written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -165,9 +165,7 @@ def spans(docs: DataFrame, *, key: str, text: str) -> DataFrame:
         return _let(base, both).alias(kind)
 
     columns = [F.col("_key"), F.pmod(F.xxhash64("_key"), F.lit(4)).cast("int").alias("_fold"), *map(column, KINDS)]
-    path = f"{scratch(docs.sparkSession)}/spans"
-    ready.select(*columns).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return written(ready.select(*columns), "spans")
 
 
 def boost(counts: dict[int, tuple[float, float]], rounds: int = 24, rate: float = 0.4, l2: float = 1.0):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variascope.plans.lineage import scratch
+from variascope.llm.io import written
 
 _SCALE = (1 << 31) - 1
 
@@ -83,9 +83,7 @@ def measured(docs: DataFrame, *, key: str, text: str, dims: list[str]) -> tuple[
         low, high = ends[f"{n}_min"], ends[f"{n}_max"]
         scaled = F.lit(0.0) if low is None or high <= low else (F.col(n) - F.lit(low)) / F.lit(high - low) * F.lit(float(_SCALE))
         rows = rows.withColumn(n, F.coalesce(F.floor(scaled), F.lit(0)).cast("long") * F.lit(1 << 32) + tie)
-    path = f"{scratch(docs.sparkSession)}/measured"
-    rows.write.parquet(path)
-    return docs.sparkSession.read.parquet(path), list(values)
+    return written(rows, "measured"), list(values)
 
 
 def _pick(values: list, at: Column) -> Column:

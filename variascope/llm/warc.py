@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variascope.llm import bloom
+from variascope.llm.io import written
 from variascope.plans.lineage import scratch
 
 INDEX = "archive string, offset long, length long, url string, digest string, page_id {id}, record_type string"
@@ -95,17 +96,16 @@ def planned(pages: DataFrame, *, key: str, url: str, html: str, least: int) -> D
         F.col(key).alias("_id"), F.col(url).alias("_url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("_html")
     )
     rows = rows.withColumn("_digest", F.sha1("_html")).withColumn("_bytes", F.octet_length("_html").cast("long"))
-    path = f"{scratch(pages.sparkSession)}/digests"
-    rows.select("_id", "_digest", "_bytes").write.parquet(path)
-    narrow = pages.sparkSession.read.parquet(path)
+    narrow = written(rows.select("_id", "_digest", "_bytes"), "digests")
     bits = bloom.bits_for(narrow.count())
     words = bloom.repeated(narrow, "_digest", bits)
     maybe = bloom.flag(narrow.where(F.col("_bytes") >= least), "_digest", words, bits, "_maybe").where("_maybe")
     best = maybe.groupBy("_digest", "_bytes").agg(F.max("_id").alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    best = written(best.drop("_n"), "best")
     flagged = bloom.flag(rows, "_digest", words, bits, "_maybe").withColumn("_maybe", F.col("_maybe") & (F.col("_bytes") >= least))
     kind = pages.schema[key].dataType
     once = flagged.where(~F.col("_maybe")).select("_id", "_url", "_html", "_digest", F.lit(None).cast(kind).alias("_refers"))
-    more = flagged.where("_maybe").join(best.drop("_n"), ["_digest", "_bytes"], "left")
+    more = flagged.where("_maybe").join(best, ["_digest", "_bytes"], "left")
     refers = F.when(~F.col("_best").eqNullSafe(F.col("_id")), F.col("_best"))
     return once.unionByName(more.select("_id", "_url", "_html", "_digest", refers.alias("_refers")))
 
