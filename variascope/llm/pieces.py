@@ -290,7 +290,8 @@ def encode(
 def decode(rows: DataFrame, *, ids: str = "ids", text: str = "text", model: str = MODEL) -> DataFrame:
     """``rows`` plus the text that the ids spell."""
     shared = rows.sparkSession.sparkContext.broadcast(model_bytes(model))
-    kept = [c for c in rows.columns if c != text]
+    names = rows.columns
+    kept = [c for c in names if c != text]
 
     def run(batches):
         pieces = load(shared.value, 0.0)
@@ -303,7 +304,7 @@ def decode(rows: DataFrame, *, ids: str = "ids", text: str = "text", model: str
             made = made.cast(pa.string())
             if column.null_count:
                 made = pc.if_else(column.is_null(), pa.scalar(None, pa.string()), made)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k, c in enumerate(rows.columns) if c != text), made], [*kept, text])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k, c in enumerate(names) if c != text), made], [*kept, text])
 
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(text, T.StringType())])
     return rows.mapInArrow(run, schema)
