@@ -1,12 +1,12 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
-Tokens are runs of word characters and runs of punctuation, case kept; features are the tokens and pairs of
-neighbours (a token followed by itself is one feature for all tokens), hashed to ``2 ** bits`` slots. A document's value in a slot is 1 / sqrt(number of its slots) when the
+Tokens are runs of word characters and runs of punctuation, case kept; features are the tokens, pairs of neighbours
+(a token followed by itself is one feature for all tokens) and pairs of token shapes, hashed to ``2 ** bits`` slots. A document's value in a slot is 1 / (number of its slots) ** 0.35 when the
 feature occurs, so a score is one sparse dot product per document whatever its length.
 
 Training: up to ``sample`` labelled documents (the documented bound; the smallest hashes of the row key), dealt by
-hash to ``shards`` groups. Each group runs FTRL-Proximal over ``epochs`` passes in one task; the models are averaged.
-A group holds sample / shards documents, so its task is bounded by the parameter, not by the data. The model has at
+hash to groups of about ``group``. Each group runs FTRL-Proximal over ``epochs`` passes in one task; the models are averaged.
+A task holds one group, so it is bounded by the parameter, not by the data. The model has at
 most ``2 ** bits`` non-zero weights and is broadcast.
 
 Defined cases: null and empty texts have the bias as their only feature and get its score; labels without a
@@ -23,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from variascope.llm.words import SLICE, map_columns, mix, ngrams, pack, ragged, slices, word_hashes
+from variascope.llm.io import written
+from variascope.llm.words import SLICE, map_columns, mix, ngrams, pack, slices, word_hashes
 
 _WORD, _PUNCT = 1, 2
+#: Power of the number of features by which a document's values are scaled down.
+_DAMP = 0.35
 #: One feature for any token that follows itself.
 _TWICE = np.uint64(0x5851F42D4C957F2D)
 _KIND = np.array(
@@ -34,6 +37,19 @@ _KIND = np.array(
 )
 
 
+def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """A code per token: single punctuation by itself, longer runs, words in capitals, words with digits, other words."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    bounds = np.stack([starts, ends], axis=1).ravel()
+    count = lambda flag: np.add.reduceat(np.append(flag, False).astype(np.int32), bounds)[::2]
+    capitals, digits = count((data >= 0x41) & (data <= 0x5A)), count((data >= 0x30) & (data <= 0x39))
+    length = ends - starts
+    word = kind[starts] == _WORD
+    code = np.where(length > 1, 256, data[starts].astype(np.int64))
+    return np.where(word, np.where(digits > 0, 257, np.where((capitals > 1) & (2 * capitals > length), 258, 259)), code).astype(np.uint64)
+
+
 def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, slots per row): the distinct feature slots of each row; slot 0 is the bias of every row."""
     kind = _KIND[data]
@@ -49,10 +65,12 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     rows = len(offsets) - 1
     n = np.diff(first)
     owner = np.repeat(np.arange(rows), n)
+    shape = shapes(data, starts, ends, kind)
     pairs = np.where(tokens[1:] == tokens[:-1], _TWICE, ngrams(tokens, 2))
+    looks = ngrams(shape, 2)
     inside = owner[1:] == owner[:-1]
-    slots = np.concatenate([tokens, mix(pairs[inside]), np.zeros(rows, np.uint64)]) >> np.uint64(64 - bits)
-    owners = np.concatenate([owner, owner[1:][inside], np.arange(rows)])
+    slots = np.concatenate([tokens, mix(pairs[inside]), mix(looks[inside]), np.zeros(rows, np.uint64)]) >> np.uint64(64 - bits)
+    owners = np.concatenate([owner, owner[1:][inside], owner[1:][inside], np.arange(rows)])
     key = np.sort((owners.astype(np.uint64) << np.uint64(bits)) | slots)
     key = key[np.append(True, key[1:] != key[:-1])]
     return (key & np.uint64((1 << bits) - 1)).astype(np.int64), np.bincount((key >> np.uint64(bits)).astype(np.int64), minlength=rows)
@@ -68,7 +86,7 @@ def train_rows(rows, bits: int, epochs: int, alpha: float, beta: float, l1: floa
 
     for _ in range(epochs):
         for at, label in rows:
-            x = 1 / np.sqrt(len(at))
+            x = len(at) ** -_DAMP
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w.sum() * x, -35, 35)))
             g = (p - label) * x
@@ -89,7 +107,7 @@ def fit(
     label: str = "quality",
     learn: Column | None = None,
     sample: int = 16_000,
-    shards: int = 4,
+    group: int = 4_000,
     bits: int = 20,
     epochs: int = 5,
     alpha: float = 4.0,
@@ -104,6 +122,8 @@ def fit(
     chosen = (
         rows.groupBy(key).agg(F.min(label).cast("double").alias("_label")).orderBy(F.xxhash64(key), key).limit(sample)
     )
+    chosen = written(chosen, "sample")
+    shards = max(1, round(chosen.count() / group))
     texts = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     joined = texts.join(F.broadcast(chosen), key).select(
         "_text", "_label", F.pmod(F.xxhash64(key), F.lit(shards)).alias("_shard"), F.xxhash64(key, F.lit(1)).alias("_order")
@@ -120,9 +140,9 @@ def fit(
 
     ready = map_columns(joined, "_text", make, T.StructType([T.StructField("_slots", T.BinaryType())]), ["_label", "_shard", "_order"])
 
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_order", kind="stable")
-        pairs = [(np.frombuffer(s, np.int32).astype(np.int64), y) for s, y in zip(group["_slots"], group["_label"])]
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_order", kind="stable")
+        pairs = [(np.frombuffer(s, np.int32).astype(np.int64), y) for s, y in zip(rows["_slots"], rows["_label"])]
         at, w = train_rows(pairs, bits, epochs, alpha, beta, l1, l2)
         return pd.DataFrame({"slot": at, "weight": w})
 
@@ -140,7 +160,7 @@ def scores(column: pa.Array, model: np.ndarray) -> np.ndarray:
     for i, j in slices(offsets, SLICE):
         at, many = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
         ends = np.cumsum(many)
-        out[i:j] = np.add.reduceat(model[at], ends - many) / np.sqrt(many)
+        out[i:j] = np.add.reduceat(model[at], ends - many) * many.astype(float) ** -_DAMP
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
