@@ -32,7 +32,7 @@ HEADLINE = (
     "tx1_top_k",
     "as5_n50_l50",
     "ev3_expected_pn",
-    "ev6_mc_gene_null",
+    "ev9_gene_tail_p",
     "af1_allele_freq",
     "pu1_pileup_counts",
     "rd3_dedup_fragments",

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from variascope.operators.annotate import ref_base_at
 
 N_SITES = 40
-GENE_SPAN = 200_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -102,12 +101,23 @@ SQL_GENES = """genes AS (
 
 
 def sites(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct variant positions."""
-    li = table(spark, sf, "lineitem")
-    return li.select((F.col("l_orderkey") * 37 % GENE_SPAN).alias("p")).distinct()
+    """Distinct variant positions, spread over the span of the genes."""
+    span = genes(spark, sf).agg(F.max("end")).scalar()
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * SITE_STEP % span).alias("p")).distinct()
+
+
+SITE_STEP = 39_916_801
+SQL_SPAN = "(SELECT max(p_partkey * 100 + p_size * 3) FROM part)"
+SQL_SITES = f"sites AS (SELECT DISTINCT l_orderkey * {SITE_STEP} % {SQL_SPAN} AS p FROM lineitem)"
+
+
+def genome_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct variant positions on a genome that is a little longer than all contigs together."""
+    length = table(spark, sf, "documents").agg(F.sum("n_chars") + 1000).scalar()
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * SITE_STEP % length).alias("p")).distinct()
 
 
-SQL_SITES = "sites AS (SELECT DISTINCT l_orderkey * 37 % 200000 AS p FROM lineitem)"
+SQL_GENOME_SITES = f"sites AS (SELECT DISTINCT l_orderkey * {SITE_STEP} % (SELECT CAST(sum(n_chars) AS BIGINT) + 1000 FROM documents) AS p FROM lineitem)"
 
 
 def order_intervals(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from variascope import bindings as b
 from variascope.bindings import (
-    GENE_SPAN,
     SQL_CONTIG_CALLS,
     SQL_CONTIG_GENES,
     SQL_GENES,
+    SQL_GENOME_SITES,
     SQL_INTERVALS,
     SQL_SEQUENCES,
     SQL_SITES,
@@ -37,11 +37,10 @@ SQL_CONTIGS = """contigs AS (SELECT doc_id AS contig, n_chars AS len,
 
 @query(
     "an1_pos_to_contig",
-    f"""WITH {SQL_SITES}, {SQL_CONTIGS} SELECT p, contig, p - start AS pos FROM sites ASOF JOIN contigs ON p >= start
-    WHERE p < 200000""",
+    f"""WITH {SQL_GENOME_SITES}, {SQL_CONTIGS} SELECT p, contig, p - start AS pos FROM sites JOIN contigs ON p >= start AND p < start + len""",
 )
 def an1(spark, sf):
-    return a.pos_to_contig(b.sites(spark, sf), doc_contigs(spark, sf), genome_length=GENE_SPAN, width=512)
+    return a.pos_to_contig(b.genome_sites(spark, sf), doc_contigs(spark, sf))
 
 
 @query(
@@ -411,9 +410,9 @@ def rc5(spark, sf):
 @query(
     "rc5_depth_shares",
     f"""WITH {SQL_SWEEP}, k AS (SELECT n AS n_active, count(*) AS bases FROM act GROUP BY 1)
-    SELECT n_active, bases, round(n_active / 1500.0, 6) AS share_samples, round(sum(bases) OVER (ORDER BY n_active DESC) * 1.0 / sum(bases) OVER (), 6) AS cum_share FROM k""",
+    SELECT n_active, bases, round(n_active * 1.0 / (SELECT count(DISTINCT sample) FROM iv), 6) AS share_samples, round(sum(bases) OVER (ORDER BY n_active DESC) * 1.0 / sum(bases) OVER (), 6) AS cum_share FROM k""",
 )
 def rc5_shares(spark, sf):
-    segments = rc.depth_segments(b.order_intervals(spark, sf), tile_width=365)
-    out = rc.depth_shares(segments, n_samples=1500)
+    intervals = b.order_intervals(spark, sf)
+    out = rc.depth_shares(rc.depth_segments(intervals, tile_width=365), n_samples=intervals.agg(F.count_distinct("sample")).scalar())
     return out.select("n_active", "bases", R("share_samples", 6).alias("share_samples"), R("cum_share", 6).alias("cum_share"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from variascope import bindings as b
-from variascope.bindings import N_HOURS, SQL_CELLS, SQL_COVERAGE, SQL_GENES, SQL_INTERVALS
+from variascope.bindings import N_HOURS, SITE_STEP, SQL_CELLS, SQL_COVERAGE, SQL_GENES, SQL_INTERVALS, SQL_SPAN
 from variascope.operators import coverage as v
 from variascope.operators import segments as g
 from variascope.plans.grid import dense_grid
@@ -375,7 +375,7 @@ def mg6(spark, sf):
     "mg7_region_metadata",
     f"""WITH {SQL_GENES}, regions AS (SELECT p_size AS region, p_size % 2 AS type, min(p_partkey) * 100 AS start, min(p_partkey) * 100 + 6000 AS "end" FROM part GROUP BY p_size),
     cand AS (SELECT DISTINCT l_suppkey % 50 AS sample, l_linenumber % 2 AS type, l_partkey * 100 AS start, l_partkey * 100 + 2000 AS "end" FROM lineitem),
-    snv AS (SELECT DISTINCT o_orderkey * 37 % 200000 AS p FROM orders),
+    snv AS (SELECT DISTINCT o_orderkey * {SITE_STEP} % {SQL_SPAN} AS p FROM orders),
     ind AS (SELECT c_custkey * 131 AS start, c_custkey * 131 + c_nationkey AS "end", 'i' || c_custkey AS label FROM customer),
     g AS (SELECT region, string_agg(CAST(gene AS VARCHAR), '; ' ORDER BY genes.start) AS genes, string_agg(product, '; ' ORDER BY genes.start) AS products
       FROM regions r JOIN genes ON genes.start >= r.start AND genes.start < r."end" AND genes."end" <= r."end" GROUP BY 1),
@@ -399,7 +399,7 @@ def mg7(spark, sf):
         (F.col("l_partkey") * 100).alias("start"),
         (F.col("l_partkey") * 100 + 2000).alias("end"),
     ).distinct()
-    p = F.col("o_orderkey") * 37 % 200000
+    p = F.col("o_orderkey") * SITE_STEP % b.genes(spark, sf).agg(F.max("end")).scalar()
     snvs = b.table(spark, sf, "orders").select(p.alias("p")).distinct().withColumn("label", F.concat(F.lit("s"), F.col("p")))
     indels = b.table(spark, sf, "customer").select(
         (F.col("c_custkey") * 131).alias("start"),

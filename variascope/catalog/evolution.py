@@ -7,10 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from variascope import bindings as b
-from variascope.bindings import GENE_SPAN, SQL_GENES, SQL_SEQUENCES
+from variascope.bindings import SQL_SEQUENCES
 from variascope.catalog.annotate import SQL_ANNOTATED, annotated
 from variascope.operators import evolution as e
-from variascope.plans.draws import sql_draw
 from variascope.registry import query
 
 R = F.round
@@ -140,79 +139,16 @@ def ev5(spark, sf):
     return tally(spark, sf).withColumn("density", R("density", 6))
 
 
-TRIALS, PER_TRIAL, GENIC = 40, 100, 60
-SQL_DRAWN = f"""drawn AS (SELECT t.range AS trial, d.range AS draw, {sql_draw('t.range', 'd.range', str(GENE_SPAN))} AS p FROM range({TRIALS}) t, range({{n}}) d)"""
-
-
-SQL_NULL = f"""{SQL_GENES}, {SQL_DRAWN.format(n=10 * PER_TRIAL)}, h AS (SELECT trial, draw, gene, type, "end" - start AS len,
-      row_number() OVER (PARTITION BY trial, draw ORDER BY type = 'CDS' DESC, "end" - start DESC, start) AS rk FROM drawn JOIN genes ON p >= start AND p < "end"),
-    k AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY draw) AS rn FROM h WHERE rk = 1 AND type = 'CDS'),
-    g AS (SELECT trial, gene, len, count(*) AS k FROM k WHERE rn <= {GENIC} GROUP BY 1, 2, 3),
-    nul AS (SELECT t.range AS trial, count(*) FILTER (k * 1.0 / len >= 0.001 AND k >= 2) AS n_genes, count(*) FILTER (k * 1.0 / len > 0.001 AND k >= 1) AS ge1,
-      count(*) FILTER (k * 1.0 / len > 0.001 AND k >= 2) AS ge2, count(*) FILTER (k * 1.0 / len > 0.001 AND k >= 3) AS ge3 FROM range({TRIALS}) t LEFT JOIN g ON g.trial = t.range GROUP BY 1)"""
-
-
-@query("ev6_mc_gene_null", f"WITH {SQL_NULL} SELECT * FROM nul")
-def ev6(spark, sf):
-    return gene_null(spark, sf)
-
-
-def gene_null(spark, sf):
-    return e.mc_gene_null(
-        b.genes(spark, sf), genome_length=GENE_SPAN, trials=TRIALS, n_genome=PER_TRIAL, n_genic=GENIC, track=3, width=512
-    )
-
-
-@query(
-    "ev6_null_p_value",
-    f"""WITH {SQL_NULL}, {SQL_TALLY}, o AS (SELECT count(*) AS obs FROM tally WHERE n_events >= 3 AND density >= 0.1)
-    SELECT 1 - count(*) FILTER (n_genes < obs) / count(*) AS p_value, count(*) AS trials, round(avg(n_genes), 6) AS mean FROM nul, o""",
-)
-def ev6_p(spark, sf):
-    out = e.null_p_value(gene_null(spark, sf), tally(spark, sf).agg(F.count_if("candidate")).scalar())
-    return out.withColumn("mean", R("mean", 6))
-
-
-@query(
-    "ev6_cumulative_null",
-    f"""WITH {SQL_NULL}, s AS (SELECT sum(ge1) AS a, sum(ge2) AS b, sum(ge3) AS c FROM nul)
-    SELECT 1 AS m, 1.0::DOUBLE AS p_ge FROM s UNION ALL SELECT 2, round(1 - a / (a + b + c), 6) FROM s UNION ALL SELECT 3, round(1 - (a + b) / (a + b + c), 6) FROM s""",
-)
-def ev6_cumulative(spark, sf):
-    return e.cumulative_null(gene_null(spark, sf), track=3).withColumn("p_ge", R("p_ge", 6))
-
-
-@query(
-    "ev7_mc_repeat_null",
-    f"""WITH n AS (SELECT count(*) AS n FROM orders), drawn AS (SELECT t.range AS trial, {sql_draw('t.range', 'd.range', '(SELECT count(*) FROM orders)')} AS p FROM range({TRIALS}) t, range(500) d),
-    r AS (SELECT trial, p FROM drawn GROUP BY 1, 2 HAVING count(*) > 1) SELECT t.range AS trial, count(p) AS n_repeat FROM range({TRIALS}) t LEFT JOIN r ON r.trial = t.range GROUP BY 1""",
-)
-def ev7(spark, sf):
-    return e.mc_repeat_null(spark, genome_length=b.table(spark, sf, "orders").count(), trials=TRIALS, n=500)
-
-
-@query(
-    "ev8_mc_region_null",
-    f"""WITH {SQL_GENES}, {SQL_DRAWN.format(n=PER_TRIAL)}, c AS (SELECT trial, draw, EXISTS (SELECT 1 FROM genes WHERE type = 'CDS' AND p >= start AND p < "end") AS genic,
-      EXISTS (SELECT 1 FROM genes WHERE CASE WHEN strand = 1 THEN p >= start - 40 AND p < start ELSE p >= "end" AND p < "end" + 40 END) AS near FROM drawn)
-    SELECT trial, count(*) FILTER (genic) AS n_genic, count(*) FILTER (genic AND {sql_draw(f'trial + {TRIALS}', 'draw', '1000000')} < 700000) AS n_nonsyn,
-      count(*) FILTER (NOT genic AND near) AS n_promoter, count(*) FILTER (NOT genic AND NOT near) AS n_other FROM c GROUP BY 1""",
-)
-def ev8(spark, sf):
-    return e.mc_region_null(
-        b.genes(spark, sf), genome_length=GENE_SPAN, trials=TRIALS, n=PER_TRIAL, p_nonsyn=0.7, promoter=40, width=512
-    )
-
-
 @query(
     "ev9_gene_tail_p",
-    f"""WITH {SQL_TALLY} SELECT gene, n_events, n_nonsyn, n_syn, len, round(density, 6) AS density, round((SELECT sum(n_events) FROM tally) * len / 150000.0, 6) AS lambda,
+    f"""WITH {SQL_TALLY} SELECT gene, n_events, n_nonsyn, n_syn, len, round(density, 6) AS density, round((SELECT sum(n_events) FROM tally) * len / (SELECT sum(p_size * 3) FROM part), 6) AS lambda,
     0.05 / (SELECT count(*) FROM part) AS threshold FROM tally WHERE n_events >= 3 AND density >= 0.1""",
 )
 def ev9(spark, sf):
     rows = tally(spark, sf)
+    coding = b.table(spark, sf, "part").agg(F.sum(F.col("p_size") * 3)).scalar()
     out = e.gene_tail_p(
-        rows, total=rows.agg(F.sum("n_events")).scalar(), callable_median=F.lit(150000.0), coding_length=F.lit(150000.0),
+        rows, total=rows.agg(F.sum("n_events")).scalar(), callable_median=coding, coding_length=coding,
         n_genes=b.table(spark, sf, "part").agg(F.count(F.lit(1))).scalar(),
     )
     return out.drop("p_ge", "p_gt", "p_gt_binom").withColumn("density", R("density", 6)).withColumn("lambda", R("lambda", 6))
@@ -220,14 +156,15 @@ def ev9(spark, sf):
 
 @query(
     "ev9_gene_tail_p_values",
-    f"""WITH {SQL_TALLY}, t AS (SELECT *, (SELECT sum(n_events) FROM tally)::DOUBLE * len / 150000.0 AS r, (SELECT sum(n_events) FROM tally)::DOUBLE / 150000.0 AS q FROM tally WHERE n_events >= 3 AND density >= 0.1)
+    f"""WITH {SQL_TALLY}, t AS (SELECT *, (SELECT sum(n_events) FROM tally)::DOUBLE * len / (SELECT sum(p_size * 3) FROM part) AS r, (SELECT sum(n_events) FROM tally)::DOUBLE / (SELECT sum(p_size * 3) FROM part) AS q FROM tally WHERE n_events >= 3 AND density >= 0.1)
     SELECT gene, n_events, round({POISSON_GE.format(k='n_events', r='r')}, 6) AS p_ge, round({POISSON_GE.format(k='n_events + 1', r='r')}, 6) AS p_gt,
       round({BINOM_GE.format(k='n_events + 1', n='len', p='q')}, 6) AS p_gt_binom FROM t""",
 )
 def ev9_values(spark, sf):
     rows = tally(spark, sf)
+    coding = b.table(spark, sf, "part").agg(F.sum(F.col("p_size") * 3)).scalar()
     out = e.gene_tail_p(
-        rows, total=rows.agg(F.sum("n_events")).scalar(), callable_median=F.lit(150000.0), coding_length=F.lit(150000.0),
+        rows, total=rows.agg(F.sum("n_events")).scalar(), callable_median=coding, coding_length=coding,
         n_genes=b.table(spark, sf, "part").agg(F.count(F.lit(1))).scalar(),
     )
     return out.select("gene", "n_events", *[R(c, 6).alias(c) for c in ("p_ge", "p_gt", "p_gt_binom")])
@@ -257,15 +194,6 @@ def ev10(spark, sf):
     return combined(spark, sf).select("gene", "n_events")
 
 
-@query(
-    "ev10_multi_hit_sizes",
-    f"""WITH {SQL_COMBINED}, {SQL_NULL}, z AS (SELECT n_events, count(*) AS n_genes FROM comb WHERE n_events > 1 GROUP BY 1)
-    SELECT n_events, n_genes, round(1 - (SELECT count(*) FROM nul WHERE nul.n_genes < z.n_events) / (SELECT count(*) FROM nul), 6) AS p_value FROM z""",
-)
-def ev10_sizes(spark, sf):
-    return e.multi_hit_sizes(combined(spark, sf), gene_null(spark, sf)).withColumn("p_value", R("p_value", 6))
-
-
 SQL_DNDS = """gn AS (SELECT l_partkey AS gene, count(*) FILTER (l_linenumber % 3 <> 0) AS a, count(*) FILTER (l_linenumber % 3 = 0) AS s, (max(p_size) + 40) / 100.0::DOUBLE AS p, avg(l_discount) AS support
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
 dn AS (SELECT *, a / ((a + s) * p) AS dn, s / ((a + s) * (1 - p)) AS ds FROM gn WHERE s > 0)"""

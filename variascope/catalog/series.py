@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from variascope import bindings as b
 from variascope.operators import clock as c
 from variascope.operators import series as s
-from variascope.plans.draws import sql_draw
 from variascope.registry import query
 
 R = F.round
@@ -63,20 +62,6 @@ def cl2(spark, sf):
     )
 
 
-@query("cl2_linear_fit_intervals")
-def cl2_intervals(spark, sf):
-    return c.linear_fit(clock(spark, sf), x="days_since_first", y="rate", by=["subject"]).select("subject", "p_value", "rate_low", "rate_high")
-
-
-@query("cl2_gamma_band")
-def cl2_band(spark, sf):
-    rows = clock(spark, sf)
-    fit = c.linear_fit(rows, x="days_since_first", y="rate", by=["subject"])
-    variance = c.residual_variance(rows, x="days_since_first", y="rate", by=["subject"])
-    days = rows.select("subject", F.col("days_since_first").alias("day")).distinct()
-    return c.gamma_band(fit, variance, days, by=["subject"])
-
-
 @query(
     "cl3_tmrca_point",
     f"""WITH {SQL_ISOLATES} SELECT subject, days_since_first // 365 AS time, count(*) AS n, round(avg(rate), 8) AS mean, round(avg(rate) * 365 * 1e6 / 2.5e6, 4) AS age,
@@ -96,30 +81,6 @@ def tmrca(spark, sf):
     return c.tmrca_point(rows, rate=F.lit(2.5e6))
 
 
-@query("cl3_tmrca_intervals")
-def cl3_intervals(spark, sf):
-    return tmrca(spark, sf).select("subject", "time", "mean_low", "mean_high", "age_low", "age_high")
-
-
-N_SIM = 30
-
-
-@query(
-    "cl4_tmrca_bootstrap",
-    f"""WITH {SQL_ISOLATES}, v AS (SELECT days_since_first // 365 AS time, isolate, rate AS value, row_number() OVER (PARTITION BY days_since_first // 365 ORDER BY isolate) - 1 AS k,
-      count(*) OVER (PARTITION BY days_since_first // 365) AS n FROM clock),
-    z AS (SELECT DISTINCT time, n FROM v WHERE n >= 5), d AS (SELECT time, n, s.range AS sim, unnest(range(n)) AS draw FROM z, range({N_SIM}) s),
-    k AS (SELECT time, n, sim, {sql_draw('sim', 'draw', 'n')} AS k FROM d),
-    m AS (SELECT k.time, k.n, sim, avg(value) AS m FROM k JOIN v ON v.time = k.time AND v.k = k.k GROUP BY 1, 2, 3),
-    a AS (SELECT *, m / (0.001 + {sql_draw(f'sim + {N_SIM}', '0', '1000')} / 1000.0 * (0.003 - 0.001)) AS age FROM m)
-    SELECT time, n, round(quantile_cont(age, 0.025), 6) AS low, round(quantile_cont(age, 0.975), 6) AS high, round(avg(age), 6) AS mean_age FROM a GROUP BY 1, 2""",
-)
-def cl4(spark, sf):
-    rows = clock(spark, sf).select(F.floor(F.col("days_since_first") / 365).alias("time"), "isolate", F.col("rate").alias("value"))
-    out = c.tmrca_bootstrap(rows, n_sim=N_SIM, rate_low=0.001, rate_high=0.003)
-    return out.select("time", "n", *[R(x, 6).alias(x) for x in ("low", "high", "mean_age")])
-
-
 # ---- frequency series ----
 
 SQL_FREQ = """cl AS (SELECT l_linenumber AS mutation, CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'R' END AS allele, l_orderkey AS sample, year(o_orderdate) AS time, o_orderpriority AS location,

@@ -385,11 +385,11 @@ def rd1(spark, sf):
 
 
 @query(
-    "rd1_first_reads",
-    f"""WITH {SQL_SEQUENCES} SELECT source AS file, doc_id AS record, '>r' || doc_id || chr(10) || seq AS value FROM sequences WHERE doc_id < 250""",
+    "rd1_reads_as_fasta",
+    f"""WITH {SQL_SEQUENCES} SELECT source AS file, doc_id AS record, '>r' || doc_id || chr(10) || seq AS value FROM sequences""",
 )
-def rd1_first(spark, sf):
-    return r.reads_as_fasta(r.first_reads(r.parse_fastq(read_lines(spark, sf)), 250))
+def rd1_fasta(spark, sf):
+    return r.reads_as_fasta(r.parse_fastq(read_lines(spark, sf)))
 
 
 @query("rd1_count_reads", "SELECT source AS file, count(*) AS n_reads FROM documents GROUP BY 1")

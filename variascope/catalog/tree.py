@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from variascope import bindings as b
@@ -66,22 +64,20 @@ def tr2(spark, sf):
     return t.nearest_other_class(pair_calls(spark, sf), pair_samples(spark, sf), n_sites=N_SITES)
 
 
-# Cut-off per scale of the bound tables: the number of samples grows, the number of sites does not.
-def cutoff_for(sf: str) -> int:
-    name = os.path.basename(os.path.normpath(sf))
-    return {"sf0.001": 22, "sf0.01": 19, "sf0.1": 17}.get(name, 15)
+#: Largest number of differing sites between neighbours of one lineage.
+CUTOFF = 19
 
 
 @query(
     "tr3_lineage_clusters",
-    f"""WITH RECURSIVE {SQL_PAIRS}, e AS (SELECT s1 AS a, s2 AS b FROM pd WHERE snp_diff <= 19 UNION ALL SELECT s2, s1 FROM pd WHERE snp_diff <= 19),
+    f"""WITH RECURSIVE {SQL_PAIRS}, e AS (SELECT s1 AS a, s2 AS b FROM pd WHERE snp_diff <= {CUTOFF} UNION ALL SELECT s2, s1 FROM pd WHERE snp_diff <= {CUTOFF}),
     w AS (SELECT sample AS v, sample AS r FROM sm UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.v),
     l AS (SELECT v AS sample, min(r) AS lineage FROM w GROUP BY 1)
     SELECT sample, lineage, count(*) OVER (PARTITION BY lineage) AS size FROM l""",
 )
 def tr3(spark, sf):
     return t.lineage_clusters(
-        pair_calls(spark, sf), pair_samples(spark, sf), n_sites=N_SITES, cutoff=cutoff_for(sf)
+        pair_calls(spark, sf), pair_samples(spark, sf), n_sites=N_SITES, cutoff=CUTOFF
     )
 
 

@@ -5,6 +5,7 @@ Small numeric helpers behind ``pandas_udf``; everything that grows with the data
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pandas as pd
@@ -20,7 +21,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 400):
+    for m in itertools.count(1):
         for top in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -31,8 +32,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return h
+            return h
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -55,25 +55,29 @@ def gamma_inc(a: float, x: float) -> float:
     if x < a + 1.0:
         term = total = 1.0 / a
         n = a
-        for _ in range(2000):
+        while term >= total * 1e-16:
             n += 1.0
             term *= x / n
             total += term
-            if term < total * 1e-16:
-                break
         return lead * total
+    return 1.0 - gamma_upper(a, x)
+
+
+def gamma_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function; keeps its digits far out in the tail."""
+    if x < a + 1.0:
+        return 1.0 - gamma_inc(a, x)
     b = x + 1.0 - a
     c, d = 1e300, 1.0 / b
     h = d
-    for i in range(1, 2000):
+    for i in itertools.count(1):
         an = -i * (i - a)
         b += 2.0
         d = 1.0 / ((an * d + b) or 1e-300)
         c = (b + an / c) or 1e-300
         h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return 1.0 - lead * h
+            return math.exp(a * math.log(x) - x - math.lgamma(a)) * h
 
 
 def binom_ge(k: float, n: float, p: float) -> float:
@@ -89,7 +93,7 @@ def poisson_ge(k: float, rate: float) -> float:
 
 
 def chi2_sf(x: float, df: float) -> float:
-    return 1.0 - gamma_inc(df / 2.0, x / 2.0)
+    return gamma_upper(df / 2.0, x / 2.0)
 
 
 def t_two_sided(t: float, df: float) -> float:
@@ -218,10 +222,6 @@ def fisher_udf():
     return _udf4(lambda a, b, c, d: fisher_two_sided(int(a), int(b), int(c), int(d)))
 
 
-def mann_whitney_exact_udf():
-    return _udf3(lambda u, m, n: mann_whitney_exact(u, int(m), int(n)))
-
-
 def normal_two_sided_udf():
     @F.pandas_udf("double")
     def run(z: pd.Series) -> pd.Series:

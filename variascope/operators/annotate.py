@@ -13,12 +13,12 @@ from variascope.functions.bases import BASES, amino, complement, nt, nt_index, r
 from variascope.plans.intervals import interval_join, last_at_or_before, overlap_join
 
 
-def pos_to_contig(points: DataFrame, contigs: DataFrame, *, genome_length: int, width: int = 4096) -> DataFrame:
-    """Global offset to contig and offset inside it; positions outside the genome are dropped (bounds check)."""
-    inside = points.where((F.col("p") >= 0) & (F.col("p") < genome_length))
-    return last_at_or_before(
-        inside, contigs.select("contig", "start"), point="p", anchor="start", width=width, how="inner"
-    ).select(*points.columns, "contig", (F.col("p") - F.col("start")).alias("pos"))
+def pos_to_contig(points: DataFrame, contigs: DataFrame, *, width: int = 4096) -> DataFrame:
+    """Global offset to contig and offset inside it; positions outside every contig are dropped."""
+    spans = contigs.select("contig", "start", (F.col("start") + F.col("len")).alias("end"))
+    return interval_join(points, spans, point="p", start="start", end="end", width=width).select(
+        *points.columns, "contig", (F.col("p") - F.col("start")).alias("pos")
+    )
 
 
 def contig_to_pos(points: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -237,6 +237,8 @@ def cox_fit(deaths: DataFrame, *, covariates: tuple[str, str], steps: int = 25,
         beta = [beta[0] + move[0], beta[1] + move[1]]
         if max(abs(m) for m in move) < tolerance:
             break
+    else:
+        raise RuntimeError(f"no convergence in {steps} Newton steps")
     se = tuple(v**0.5 for v in result["variance"])
     z = tuple(b / s for b, s in zip(beta, se))
     return {
@@ -299,21 +301,19 @@ def cox_curve(deaths: DataFrame, fit: dict, *, covariates: tuple[str, str], at:
 
 
 def survival_share(counts: DataFrame, *, group: Sequence[str]) -> DataFrame:
-    """1 - median of died over at risk at the last time, per group; shares in millionths keep the median exact."""
+    """1 - median of died over at risk at the last time, per group; equal shares are counted first."""
     last = counts.agg(F.max("time")).scalar()
-    share = F.round(F.col("dead") / F.col("alive_start") * 1_000_000).cast("long")
-    return counts.where(F.col("time") == last).groupBy(*group).agg(
-        (1 - F.percentile(share, F.lit(0.5)) / 1_000_000).alias("survived")
-    )
+    per = counts.where(F.col("time") == last).groupBy(*group, "dead", "alive_start").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(*group).agg((1 - F.percentile(F.col("dead") / F.col("alive_start"), F.lit(0.5), F.col("n"))).alias("survived"))
 
 
-def mann_whitney(rows: DataFrame, *, strata: Sequence[str], group: str, value: str, exact_limit: int = 8) -> DataFrame:
+def mann_whitney(rows: DataFrame, *, strata: Sequence[str], group: str, value: str) -> DataFrame:
     """U test for every pair of groups inside a stratum: U of the first group, two-sided p, star label.
 
     Values are counted per (stratum, group, value) first. For a pair, each value's rank among the two groups follows
-    from both groups' counts below it, so U = sum over values of n1 * (below2 + n2 / 2). Ties get the corrected
-    normal approximation with continuity; small samples without ties the exact distribution. The number of groups is
-    small (experimental arms); rows are never paired.
+    from both groups' counts below it, so U = sum over values of n1 * (below2 + n2 / 2). P values are
+    the tie-corrected normal approximation with continuity at every size (``tails.mann_whitney_exact`` has the exact
+    distribution for single tables). The number of groups is small (experimental arms); rows are never paired.
     """
     strata = list(strata)
     tile = value_tiles(rows, value, 32)
@@ -348,11 +348,7 @@ def mann_whitney(rows: DataFrame, *, strata: Sequence[str], group: str, value: s
     # Continuity correction towards the mean; the upper U is at or above it, and p is capped at 1.
     shift = F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2.0) - 0.5
     z = F.when(sd > 0, F.greatest(shift, F.lit(0.0)) / sd)
-    small = (F.col("ties") == 0) & (F.least("n1", "n2") <= exact_limit)
-    exact = tails.mann_whitney_exact_udf()(
-        F.when(small, F.col("u")), F.when(small, F.col("n1").cast("double")), F.when(small, F.col("n2").cast("double"))
-    )
-    p = F.coalesce(exact, tails.normal_two_sided_udf()(z))
+    p = tails.normal_two_sided_udf()(z)
     return out.withColumn("z", z).withColumn("p", p).select(*strata, "g1", "g2", "n1", "n2", "u", "z", "p").withColumn(
         "stars", stars(F.col("p"))
     )

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from variascope.functions import tails
-from variascope.plans.draws import draw
 from variascope.plans.scan import numbered
 
 
@@ -89,29 +88,3 @@ def tmrca_point(
         age.alias("age"), ((F.col("mean") - F.col("_m")) * factor).alias("age_low"), ((F.col("mean") + F.col("_m")) * factor).alias("age_high"),
         (F.col("days_in_hospital") - age).alias("before_admission"),
     )
-
-
-def tmrca_bootstrap(
-    isolates: DataFrame, *, n_sim: int, rate_low: float, rate_high: float, min_isolates: int = 5, tile: Column | None = None
-) -> DataFrame:
-    """Bootstrap means over sampled rates: 2.5 and 97.5 percentiles of the ancestor age per time point.
-
-    Every simulation draws n isolates with replacement (integer draws) and one rate, uniform on a grid of 1000 steps
-    between the two bounds. isolates: time, isolate, value. Isolates are numbered per time point through tiles.
-    """
-    sizes = isolates.groupBy("time").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_isolates)
-    kept = isolates.join(sizes.select("time"), "time", "left_semi")
-    order_tile = F.floor(F.col("isolate") / 100_000) if tile is None else tile
-    lookup = numbered(kept, keys=["time"], order=[F.col("isolate")], tile=order_tile, name="k").select(
-        "time", (F.col("k") - 1).alias("k"), "value"
-    )
-    sims = sizes.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_sim - 1).cast("long"))))
-    draws = sims.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn(
-        "k", draw(F.col("sim"), F.col("draw"), F.col("n"))
-    )
-    means = draws.join(lookup, ["time", "k"]).groupBy("time", "n", "sim").agg(F.avg("value").alias("m"))
-    step = draw(F.col("sim") + n_sim, F.lit(0), 1000) / 1000.0
-    age = F.col("m") / (F.lit(rate_low) + step * (rate_high - rate_low))
-    return means.withColumn("age", age).groupBy("time", "n").agg(
-        F.percentile("age", F.lit(0.025)).alias("low"), F.percentile("age", F.lit(0.975)).alias("high"), F.avg("age").alias("mean_age")
-    )

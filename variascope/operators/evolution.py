@@ -11,7 +11,6 @@ from variascope.functions import tails
 from variascope.functions.bases import CODON_TO_AA, triplets
 from variascope.operators.annotate import site_to_one_gene
 from variascope.operators.tree import SUBSTITUTIONS
-from variascope.plans.draws import draw, trial_table
 from variascope.plans.intervals import interval_join
 from variascope.plans.scan import value_ranks, value_tiles
 
@@ -108,110 +107,6 @@ def gene_tally(
     return t.withColumn("candidate", (F.col("n_events") >= min_count) & (F.col("density") >= min_density))
 
 
-def _drawn(spark: SparkSession, trials: int, per_trial: int, genome_length: int) -> DataFrame:
-    return trial_table(spark, trials, per_trial).withColumn("p", draw(F.col("trial"), F.col("draw"), genome_length))
-
-
-def mc_gene_null(
-    genes: DataFrame,
-    *,
-    genome_length: int,
-    trials: int,
-    n_genome: int,
-    n_genic: int,
-    min_count: int = 2,
-    min_density: float = 0.001,
-    track: int = 5,
-    oversample: int = 10,
-    width: int = 4096,
-) -> DataFrame:
-    """Per trial: genes over both thresholds, and dense genes with at least m = 1..track hits.
-
-    ``oversample * n_genome`` positions are drawn per trial and the first ``n_genic`` coding ones kept. Positions are
-    mapped to genes once per distinct position.
-    """
-    drawn = _drawn(genes.sparkSession, trials, oversample * n_genome, genome_length)
-    where = site_to_one_gene(drawn.select("p").distinct(), genes, width=width)
-    along = Window.partitionBy(F.lit(1)).orderBy("start", "end", "gene")
-    tags = genes.withColumn("gene_num", F.row_number().over(along).cast("double")).where("type = 'CDS'").select(
-        "gene_num", "gene", (F.col("end") - F.col("start")).alias("len")
-    )
-    hits = drawn.join(where, "p").join(tags, "gene_num")
-    order = Window.partitionBy("trial").orderBy("draw")
-    per_gene = (
-        hits.withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= n_genic)
-        .groupBy("trial", "gene", "len")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .withColumn("density", F.col("k") / F.col("len"))
-    )
-    dense = F.col("density") > min_density
-    sums = per_gene.groupBy("trial").agg(
-        F.count_if((F.col("density") >= min_density) & (F.col("k") >= min_count)).alias("n_genes"),
-        *[F.count_if(dense & (F.col("k") >= m)).alias(f"ge{m}") for m in range(1, track + 1)],
-    )
-    names = ["n_genes", *[f"ge{m}" for m in range(1, track + 1)]]
-    return genes.sparkSession.range(trials).select(F.col("id").alias("trial")).join(sums, "trial", "left").fillna(0, names)
-
-
-def null_p_value(null: DataFrame, observed: Column, *, column: str = "n_genes") -> DataFrame:
-    """1 - share of trials below the observed value; the number of trials is reported next to it."""
-    return null.agg(
-        (1 - F.count_if(F.col(column) < observed) / F.count(F.lit(1))).alias("p_value"), F.count(F.lit(1)).alias("trials"),
-        F.avg(column).alias("mean"),
-    )
-
-
-def cumulative_null(null: DataFrame, *, track: int = 5) -> DataFrame:
-    """Probability of a gene with at least m hits from the tracked counts: 1 - share of the smaller counts."""
-    sums = null.agg(*[F.sum(f"ge{m}").alias(f"ge{m}") for m in range(1, track + 1)])
-    total = sum((F.col(f"ge{m}") for m in range(2, track + 1)), F.col("ge1"))
-    rows = []
-    below = F.lit(0)
-    for m in range(1, track + 1):
-        rows.append(F.struct(F.lit(m).alias("m"), (1 - below / total).alias("p_ge")))
-        below = below + F.col(f"ge{m}")
-    return sums.select(F.explode(F.array(*rows)).alias("e")).select("e.m", "e.p_ge")
-
-
-def mc_repeat_null(spark: SparkSession, *, genome_length: int, trials: int, n: int) -> DataFrame:
-    """Per trial the number of positions drawn at least twice."""
-    repeated = _drawn(spark, trials, n, genome_length).groupBy("trial", "p").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    counts = repeated.groupBy("trial").agg(F.count(F.lit(1)).alias("n_repeat"))
-    return spark.range(trials).select(F.col("id").alias("trial")).join(counts, "trial", "left").fillna(0, ["n_repeat"])
-
-
-def mc_region_null(
-    genes: DataFrame,
-    *,
-    genome_length: int,
-    trials: int,
-    n: int,
-    p_nonsyn: float,
-    promoter: int = 250,
-    width: int = 4096,
-) -> DataFrame:
-    """Per trial: genic, nonsynonymous (thinned by a second draw), promoter and other positions."""
-    drawn = _drawn(genes.sparkSession, trials, n, genome_length)
-    spots = drawn.select("p").distinct()
-    up = F.when(F.col("strand") == 1, F.col("start") - promoter).otherwise(F.col("end"))
-    proms = genes.select(up.alias("s"), (up + promoter).alias("e"))
-    genic = interval_join(spots, genes.where("type = 'CDS'"), point="p", start="start", end="end", width=width, how="left_semi")
-    near = interval_join(spots, proms, point="p", start="s", end="e", width=width, how="left_semi")
-    kind = (
-        spots.join(genic.withColumn("genic", F.lit(True)), "p", "left")
-        .join(near.withColumn("near", F.lit(True)), "p", "left")
-        .select("p", F.coalesce("genic", F.lit(False)).alias("genic"), F.coalesce("near", F.lit(False)).alias("near"))
-    )
-    second = draw(F.col("trial") + trials, F.col("draw"), 1_000_000) < int(round(p_nonsyn * 1_000_000))
-    return drawn.join(kind, "p").groupBy("trial").agg(
-        F.count_if("genic").alias("n_genic"),
-        F.count_if(F.col("genic") & second).alias("n_nonsyn"),
-        F.count_if(~F.col("genic") & F.col("near")).alias("n_promoter"),
-        F.count_if(~F.col("genic") & ~F.col("near")).alias("n_other"),
-    )
-
-
 def gene_tail_p(tally: DataFrame, *, total: Column, callable_median: Column, coding_length: Column, n_genes: Column) -> DataFrame:
     """Poisson and binomial upper tails per candidate gene with the Bonferroni threshold.
 
@@ -248,21 +143,6 @@ def combined_gene_counts(snvs: DataFrame, indels: DataFrame) -> DataFrame:
     ).select("gene", "n_events", F.col("f.name").alias("name"), F.col("f.product").alias("product"))
 
 
-def multi_hit_sizes(counts: DataFrame, null: DataFrame) -> DataFrame:
-    """Genes with several events: how many per event count, with the simulated p of that count."""
-    sizes = counts.where("n_events > 1").groupBy(F.col("n_events").alias("v")).agg(F.count(F.lit(1)).alias("n_genes"))
-    hist = null.groupBy(F.col("n_genes").alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    total = null.agg(F.count(F.lit(1))).scalar()
-    # One row per distinct count on both sides, so the closing window is small.
-    below = Window.partitionBy(F.lit(1)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sizes.join(hist, "v", "full_outer")
-        .withColumn("below", F.coalesce(F.sum("k").over(below), F.lit(0)))
-        .where(F.col("n_genes").isNotNull())
-        .select(F.col("v").alias("n_events"), "n_genes", (1 - F.col("below") / total).alias("p_value"))
-    )
-
-
 def dnds_percentile(genes: DataFrame) -> DataFrame:
     """dN/dS per gene, infinite values removed, its rank percentile (0..100) and logarithm.
 

@@ -34,11 +34,6 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return parse_fastq(numbered_lines(spark, path))
 
 
-def first_reads(reads: DataFrame, n: int = 250_000) -> DataFrame:
-    """The first n records of every file: a filter on the record number, no sort."""
-    return reads.where(F.col("record") < n)
-
-
 def reads_as_fasta(reads: DataFrame) -> DataFrame:
     return reads.select("file", "record", F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value"))
 

@@ -180,7 +180,7 @@ def depth_segments(intervals: DataFrame, *, tile_width: int = 100_000, members:
     return out
 
 
-def depth_shares(segments: DataFrame, *, n_samples: int) -> DataFrame:
+def depth_shares(segments: DataFrame, *, n_samples: int | Column) -> DataFrame:
     """Bases per number of active samples and the share of covered bases with at least that many.
 
     One row per distinct depth (bounded by the samples), so the closing window is small.
