@@ -208,9 +208,17 @@ def af5(spark, sf):
     return grid.select("mutation", "g", R("x", 6).alias("x"), R("value", 6).alias("value"))
 
 
-@query("af5_interp_grid_log")
+# The same curve through logarithms of the shares.
+SQL_SHARE = "count(*) FILTER (o_orderpriority = '1-URGENT') * 1.0::DOUBLE / count(*)"
+SQL_GRID_LOG = (
+    SQL_GRID.replace(f"{SQL_SHARE} AS v", f"ln({SQL_SHARE} + 1e-6) AS v").replace("greatest(0, (2*u", "greatest(0, exp((2*u").replace("h * m1) AS value", "h * m1)) AS value")
+)
+
+
+@query("af5_interp_grid_log", f"WITH {SQL_GRID_LOG} SELECT mutation, g, round(x, 6) AS x, round(value, 6) AS value FROM grd")
 def af5_log(spark, sf):
-    return s.interp_grid(knots(spark, sf), keys=["mutation"], points=POINTS, log_space=True)
+    grid = s.interp_grid(knots(spark, sf), keys=["mutation"], points=POINTS, log_space=True)
+    return grid.select("mutation", "g", R("x", 6).alias("x"), R("value", 6).alias("value"))
 
 
 PARENTS = [("1-URGENT", "root"), ("2-HIGH", "root"), ("3-MEDIUM", "1-URGENT"), ("4-NOT SPECIFIED", "1-URGENT"), ("5-LOW", "3-MEDIUM")]

@@ -115,7 +115,10 @@ def src6(spark, sf):
 
 @query("src7_read_vcf_fq", f"WITH {SQL_VARIANTS} SELECT sample, pos, simple, fq, count(*) AS n FROM vr GROUP BY ALL")
 def src7(spark, sf):
-    return t.parse_vcf(variant_lines(spark, sf)).groupBy("sample", "pos", "simple", "fq").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch(spark)
+    variant_lines(spark, sf).select("sample", "value").write.partitionBy("sample").option("compression", "gzip").text(path)
+    rows = t.read_vcf_fq(spark, path, sample="sample=([^/]+)/").withColumn("sample", F.col("sample").cast("long"))
+    return rows.groupBy("sample", "pos", "simple", "fq").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -138,7 +141,9 @@ def src8(spark, sf):
     lines = emb.select(
         F.concat_ws("\t", F.lit("c1"), F.col("vec_id") + 1, F.lit("."), F.lit("A"), F.lit("AC,ACCC"), F.lit("1"), F.lit("PASS"), F.lit("X"), F.lit("GT:DP:AD:GL"), F.concat_ws("\t", cells)).alias("value")
     )
-    out = t.parse_joint_indel(lines, samples=[f"s{i}" for i in range(20)], outgroups=["s3"])
+    path = scratch(spark)
+    lines.write.text(path)
+    out = t.read_joint_indel_vcf(spark, path, samples=[f"s{i}" for i in range(20)], outgroups=["s3"])
     return out.drop("chrom")
 
 
@@ -173,17 +178,19 @@ def src10(spark, sf):
         "\t", F.concat(F.lit(" "), F.round(F.col("c_acctbal") / 100, 2).cast("decimal(9,2)")), F.col("c_custkey"), F.lit("3"), rank, F.col("c_custkey") * 7,
         F.concat(F.lit("    Genus "), F.lower("c_mktsegment")),
     )
-    return t.parse_tax_report(cu.select(F.concat(F.lit("S"), "c_nationkey").alias("sample"), line.alias("value")))
+    path = scratch(spark)
+    cu.select(F.concat(F.lit("S"), "c_nationkey").alias("sample"), line.alias("value")).write.partitionBy("sample").text(path)
+    return t.read_tax_report(spark, path, sample="sample=([^/]+)/")
 
 
 @query(
     "src11_read_ranked_lineage",
-    """WITH refs AS (SELECT DISTINCT 'g' || p_size AS ref, p_name AS species_name FROM part WHERE p_size < 6),
+    """WITH refs AS (SELECT DISTINCT 'g' || p_size AS ref, p_name AS species_name FROM part),
     dump AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'red widget' WHEN c_custkey % 3 = 0 THEN 'small ring' ELSE 'blue bolt' END AS species, c_mktsegment AS genus, 'F' || c_nationkey AS family FROM customer WHERE c_custkey % 5 <> 0)
     SELECT ref, species, genus, family, count(*) AS n FROM refs JOIN dump ON species = species_name GROUP BY ALL""",
 )
 def src11(spark, sf):
-    refs = b.table(spark, sf, "part").where("p_size < 6").select(F.concat(F.lit("g"), "p_size").alias("ref"), F.col("p_name").alias("species_name")).distinct()
+    refs = b.table(spark, sf, "part").select(F.concat(F.lit("g"), "p_size").alias("ref"), F.col("p_name").alias("species_name")).distinct()
     cu = b.table(spark, sf, "customer")
     key = F.col("c_custkey")
     name = F.when(key % 2 == 0, "red widget").when(key % 3 == 0, "small ring").otherwise("blue bolt")
@@ -191,7 +198,9 @@ def src11(spark, sf):
         "\t|\t", key.cast("string"), name, F.when(key % 5 == 0, name).otherwise(F.lit("")), F.col("c_mktsegment"), F.concat(F.lit("F"), "c_nationkey"),
         *[F.lit("x")] * 5,
     )
-    out = t.parse_ranked_lineage(cu.select(F.concat(line, F.lit("\t|")).alias("value")), refs)
+    path = scratch(spark)
+    cu.select(F.concat(line, F.lit("\t|")).alias("value")).write.text(path)
+    out = t.read_ranked_lineage(spark, path, refs)
     return out.groupBy("ref", "species", "genus", "family").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -299,13 +308,19 @@ def snk1(spark, sf):
 
 @query(
     "snk2_write_matrix",
-    f"""WITH {SQL_CELLS} SELECT p, """ + ", ".join(f"coalesce(max(substr('ATCG', major_nt + 1, 1)) FILTER (sample = {i}), '?') AS s{i}" for i in range(10)) + " FROM majors GROUP BY 1",
+    f"""WITH {SQL_CELLS} SELECT ps.p, 's' || ss.sample AS sample, coalesce(substr('ATCG', major_nt + 1, 1), '?') AS nt
+    FROM (SELECT DISTINCT p FROM majors) ps CROSS JOIN (SELECT DISTINCT sample FROM majors) ss LEFT JOIN majors m ON m.p = ps.p AND m.sample = ss.sample""",
 )
 def snk2(spark, sf):
+    """The wide table over all samples, written as CSV and read back long."""
     from variascope.catalog.calls import majors
 
     calls = majors(spark, sf).select("p", F.concat(F.lit("s"), "sample").alias("sample"), F.col("major_nt").alias("call"))
-    return k.call_matrix(calls, samples=[f"s{i}" for i in range(10)])
+    samples = sorted(r.sample for r in calls.select("sample").distinct().collect())  # the columns of the wide table
+    path = scratch(spark)
+    k.write_matrix(k.call_matrix(calls, samples=samples), path, order=["p"])
+    wide = spark.read.csv(path, header=True)
+    return wide.unpivot(["p"], samples, "sample", "nt").withColumn("p", F.col("p").cast("long"))
 
 
 @query(
@@ -317,7 +332,9 @@ def snk3(spark, sf):
     from variascope.catalog.calls import majors
 
     calls = majors(spark, sf).select("sample", F.col("p").alias("site"), F.col("major_nt").alias("call"))
-    return k.alignment(calls, n_sites=40, chunk=16)
+    path = scratch(spark)
+    k.write_alignment(k.alignment(calls, n_sites=40, chunk=16), path)
+    return fa.read_fasta(spark, path).select(F.col("contig").cast("long").alias("sample"), "seq")
 
 
 @query(
@@ -407,7 +424,16 @@ def rd2(spark, sf):
     return r.trim_reads(reads, adapter="CTGTC").select("record", "seq")
 
 
-@query("rd2_trim_reads")
+@query(
+    "rd2_trim_reads",
+    f"""WITH {SQL_SEQUENCES}, c AS (SELECT doc_id, source, CASE WHEN instr(seq, 'CTGTCTCTTAT') > 0 THEN substr(seq, 1, instr(seq, 'CTGTCTCTTAT') - 1) ELSE seq END AS s FROM sequences),
+    m AS (SELECT *, length(s) AS n, CASE WHEN length(s) < 10 THEN length(s) ELSE length(s) // 10 END AS w FROM c WHERE length(s) > 0),
+    q AS (SELECT doc_id, n, w, i, CASE substr(s, i + 1, 1) WHEN 'A' THEN 40 WHEN 'T' THEN 39 WHEN 'C' THEN 20 ELSE 10 END AS q FROM m, LATERAL (SELECT unnest(range(n)) AS i) u),
+    z AS (SELECT *, sum(q) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM q),
+    b AS (SELECT x.doc_id, min(x.i) AS begins FROM z x JOIN z y ON y.doc_id = x.doc_id AND y.i = x.i + x.w - 1 WHERE y.upto - x.upto + x.q < 20 * x.w GROUP BY 1),
+    e AS (SELECT q.doc_id, min(i) AS cut FROM q LEFT JOIN b ON b.doc_id = q.doc_id WHERE i >= coalesce(begins, n - w) AND i < coalesce(begins, n - w) + w AND q < 20 GROUP BY 1)
+    SELECT source AS file, m.doc_id AS record, 'r' || m.doc_id AS id, CAST(coalesce(cut, n) AS INTEGER) AS len FROM m LEFT JOIN e ON e.doc_id = m.doc_id WHERE coalesce(cut, n) >= 50""",
+)
 def rd2_quality(spark, sf):
     return r.trim_reads(r.parse_fastq(read_lines(spark, sf))).select("file", "record", "id", F.length("seq").alias("len"))
 
@@ -525,11 +551,6 @@ def pu3(spark, sf):
     return stats.select("sample", "p", "major", "minor", R("t_bq", 6).alias("t_bq"), "xf", "yf", "xr", "yr")
 
 
-@query("pu3_allele_bias_tests")
-def pu3_tests(spark, sf):
-    return r.allele_bias_tests(r.bias_statistics(r.decode_pileup(pileup(spark, sf)), min_strand=2))
-
-
 @query(
     "pu4_fq_per_site",
     f"WITH {SQL_VARIANTS} SELECT sample, pos, CAST(floor(min(fq) + 0.5) AS INTEGER) AS fq FROM vr WHERE simple AND fq < 0 GROUP BY 1, 2",

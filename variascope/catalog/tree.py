@@ -270,11 +270,11 @@ def tr10_chain(spark, sf):
 
 @query(
     "tr11_linked_mutations",
-    """WITH s AS (SELECT p_partkey AS mutation, list_sort(list(DISTINCT l_suppkey % 4)) AS samples FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40 GROUP BY 1)
+    """WITH s AS (SELECT p_partkey AS mutation, list_sort(list(DISTINCT l_suppkey % 4)) AS samples FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
     SELECT array_to_string(samples, ',') AS samples, min(mutation) AS first, string_agg(CAST(mutation AS VARCHAR), '; ' ORDER BY mutation) AS members, count(*) AS n FROM s GROUP BY samples""",
 )
 def tr11(spark, sf):
-    carriers = b.table(spark, sf, "lineitem").where("l_quantity > 40").select(
+    carriers = b.table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("mutation"), (F.col("l_suppkey") % 4).alias("sample")
     )
     out = t.linked_mutations(carriers)

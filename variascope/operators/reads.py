@@ -55,20 +55,22 @@ def quality_end(qual: Column, *, min_quality: int = 20, offset: int = 33) -> Col
 
     @F.pandas_udf("int")
     def run(quals: pd.Series) -> pd.Series:
-        out = []
-        for q in quals:
-            scores = np.frombuffer((q or "").encode("latin-1"), dtype=np.uint8).astype(np.int64) - offset
-            n = len(scores)
-            if n == 0:
-                out.append(0)
-                continue
-            w = n if n < 10 else n // 10
-            sums = np.concatenate(([0], np.cumsum(scores)))
-            bad = np.flatnonzero(sums[w:] - sums[:-w] < min_quality * w)
-            at = int(bad[0]) if len(bad) else n - w
-            low = np.flatnonzero(scores[at : at + w] < min_quality)
-            out.append(at + int(low[0]) if len(low) else n)
-        return pd.Series(out, dtype="int32")
+        # all reads of a batch at once: ``row`` is the read of a base, ``at`` its place in the read
+        raw = [(q or "").encode("latin-1") for q in quals]
+        n = np.array([len(q) for q in raw], dtype=np.int64)
+        score = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) - offset
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(score)) - np.repeat(np.cumsum(n) - n, n)
+        width = np.where(n < 10, n, n // 10)
+        sums = np.concatenate(([0], np.cumsum(score)))
+        whole = at + width[row] <= n[row]
+        ends = np.minimum(np.arange(len(score)) + width[row], len(score))
+        bad = whole & (sums[ends] - sums[:-1] < min_quality * width[row])
+        begin, end = n - width, n.copy()
+        np.minimum.at(begin, row[bad], at[bad])
+        low = (at >= begin[row]) & (at < (begin + width)[row]) & (score < min_quality)
+        np.minimum.at(end, row[low], at[low])
+        return pd.Series(end, dtype="int32")
 
     return run(qual)
 

@@ -20,9 +20,10 @@ def parse_fasta(records: DataFrame, *, value: str = "value") -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record. The reader splits at ``>``; records keep their file order through block and row ids."""
-    rows = spark.read.text(path, lineSep=">").select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record")
+    """One row per record. The reader splits at a ``>`` that begins a line; records keep their file order through block
+    and row ids. The first record of a file keeps its own ``>``, which is cut off."""
+    rows = spark.read.text(path, lineSep="\n>").select(
+        F.regexp_replace("value", "^>", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record")
     )
     return parse_fasta(rows)
 

@@ -51,32 +51,37 @@ def parse_vcf(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_vcf_fq(spark: SparkSession, path: str) -> DataFrame:
-    """Variant files of many samples; the sample is the file name up to the first dot."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(base_name(F.col("_metadata.file_path")), "^([^.]+)", 1).alias("sample"))
+def read_vcf_fq(spark: SparkSession, path: str, *, sample: str = r"([^./]+)[^/]*$") -> DataFrame:
+    """Variant files of many samples, gzipped or not; the sample is a part of the path, by default the file name up to
+    its first dot."""
+    lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.regexp_extract("_metadata.file_path", sample, 1).alias("sample"))
     return parse_vcf(lines)
 
 
 def parse_joint_indel(lines: DataFrame, *, samples: Sequence[str] | None = None, outgroups: Sequence[str] = ()) -> DataFrame:
     """Joint indel rows to one row per (site, sample) with reference and best alternate depth and likelihood.
 
-    Sample names come from ``samples`` or from the ``#CHROM`` header (one row). FORMAT order is free. The best
-    alternate has the largest likelihood, ties to the later one. Samples without likelihoods and outgroups are NULL.
+    Sample names come from ``samples`` or from the ``#CHROM`` header of the row's ``file`` (of all rows when there is no
+    such column; headers that differ are an error then). FORMAT order is free. The best alternate has the largest
+    likelihood, ties to the later one. Samples without likelihoods and outgroups are NULL.
     """
     f = F.split("value", "\t")
     rest = [c for c in lines.columns if c != "value"]
     body = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    if samples is None:
-        header = lines.where(F.col("value").startswith("#CHROM")).select(
-            F.slice(f, F.lit(10), F.size(f)).alias("names")
-        ).distinct()
-        names = header.scalar()
+    header = lines.where(F.col("value").startswith("#CHROM")).select(
+        *[c for c in rest if c == "file"], F.slice(f, F.lit(10), F.size(f)).alias("_names")
+    ).distinct()
+    if samples is not None:
+        body = body.withColumn("_names", F.array(*[F.lit(s) for s in samples]))
+    elif "file" in rest:
+        body = body.join(header, "file")
     else:
-        names = F.array(*[F.lit(s) for s in samples])
+        body = body.withColumn("_names", header.scalar())
     rows = body.select(
+        "_names",
         *rest, f[0].alias("chrom"), (f[1].cast("long") - 1).alias("pos"), f[3].alias("ref"), F.split(f[4], ",").alias("alts"),
         F.split(f[8], ":").alias("fmt"), F.posexplode(F.slice(f, F.lit(10), F.size(f))).alias("i", "cell"),
-    ).withColumn("sample", F.get(names, F.col("i")))
+    ).withColumn("sample", F.get("_names", F.col("i")))
     parts = F.split("cell", ":")
 
     def field(name: str) -> Column:
@@ -98,7 +103,8 @@ def parse_joint_indel(lines: DataFrame, *, samples: Sequence[str] | None = None,
 
 
 def read_joint_indel_vcf(spark: SparkSession, path: str, **options) -> DataFrame:
-    return parse_joint_indel(spark.read.text(path), **options)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return parse_joint_indel(lines, **options).drop("file")
 
 
 # Feature types without annotation of their own.
@@ -151,11 +157,13 @@ def parse_tax_report(lines: DataFrame, *, ranks: Sequence[str] = ("S", "G", "F",
     ).where(F.col("rank").isin(*ranks))
 
 
-def read_tax_report(spark: SparkSession, path: str, *, suffix: str = "_krakenRep_bracken.txt") -> DataFrame:
-    name = F.replace(base_name(F.col("_metadata.file_path")), F.lit(suffix), F.lit(""))
-    return parse_tax_report(spark.read.text(path).select("value", name.alias("sample")))
+def read_tax_report(spark: SparkSession, path: str, *, sample: str = r"([^/]+)_krakenRep_bracken\.txt$") -> DataFrame:
+    """Reports of many samples; the sample is a part of the path, by default the file name without its suffix."""
+    lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.regexp_extract("_metadata.file_path", sample, 1).alias("sample"))
+    return parse_tax_report(lines)
 
 
+# Fields of the lineage dump, in order.
 LINEAGE_FIELDS = ("taxid", "name", "species", "genus", "family", "order", "class", "phylum", "kingdom", "domain")
 
 
@@ -170,6 +178,10 @@ def parse_ranked_lineage(lines: DataFrame, references: DataFrame) -> DataFrame:
     return references.join(species.withColumnRenamed("name", "species"), F.col("species_name") == F.col("species")).drop("species_name")
 
 
+def read_ranked_lineage(spark: SparkSession, path: str, references: DataFrame) -> DataFrame:
+    return parse_ranked_lineage(spark.read.text(path), references)
+
+
 def species_of_header(header: Column) -> Column:
     """Genus and species from the first header line of a reference sequence."""
     parts = F.split(header, " ")
