@@ -46,7 +46,9 @@ def _prints(docs: DataFrame, key: str, text: str) -> DataFrame:
     return written(rows, "prints")
 
 
-_BEST = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_row").alias("r")))
+def _best() -> Column:
+    """The row of a group that stays."""
+    return F.min(F.struct((-F.col("_points")).alias("p"), F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_row").alias("r")))
 
 
 def _flagged(prints: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -67,7 +69,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     )
     maybe = flagged.where("_maybe").select("_row", "_key", "_print", "_points")
     # a written table, so that both sides of the join are plain exchanges and a skewed one can be split
-    best = written(maybe.groupBy("_print").agg(_BEST.alias("_best"), F.count(F.lit(1)).alias("group_size")), "best")
+    best = written(maybe.groupBy("_print").agg(_best().alias("_best"), F.count(F.lit(1)).alias("group_size")), "best")
     more = maybe.join(best, "_print").select(
         F.col("_key").alias(key),
         F.col("_best.k").alias("keep_id"),
@@ -84,7 +86,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     keepers = (
         flagged.where("_maybe")
         .groupBy("_print")
-        .agg(_BEST.alias("_best"))
+        .agg(_best().alias("_best"))
         .select("_print", F.coalesce(F.col("_best.k").cast("string"), F.lit("")).alias("_id"), (-F.col("_best.p")).alias("_points"))
     )
     columns = [f"`{c}`" for c in docs.columns]

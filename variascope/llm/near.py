@@ -11,10 +11,12 @@ probability 1 - (1 - (1 - s ** 2) ** pieces) ** 2, 6e-6 at 0.85 with 10 pieces.
 Keys are grouped with one map-side combined aggregation (count, smallest, largest member). Pairs of a key are never
 all emitted. In the first round every member of a key meets the key's smallest member; pairs are verified on full
 sets and linked ones are joined into components. A key whose members all lie in one component is then done. In later
-rounds, members of the remaining keys meet further members (few per key at first, twice as many each round, all of
-them when a key is small) that lie in other components, until every key is done: a pair is left out only when it was
-verified before or both sides are already connected. So a group of n near copies costs about n pairs, and no link
-that a shared key shows is lost.
+rounds, members of the remaining keys meet further members (64 per key at first, eight times as many each round, so
+all of them when a key is small) that lie in other components, until every key is done. A pair is left out only when it
+was verified before, when both sides are already connected, or when it cannot be similar enough: shingles that occur
+in no other document of the open keys are in no intersection, so the others bound it (``reachable``), and parity bits
+of both sets bound it too (``allowed``). Edited copies that are too far from all the rest drop out there. So a group of n near copies costs about n
+pairs, and no link that a shared key shows is lost.
 
 Verification reads texts again: texts of documents in open pairs are found with a Bloom filter of their ids (bounded
 broadcast), shuffled by id, and sets are compared exactly in Arrow batches.
@@ -38,7 +40,8 @@ from variascope.llm.io import written
 from variascope.llm.words import NOT_SPACE, lists, lower, map_columns, mix, ngrams, pack, slices, word_hashes, words
 from variascope.plans.components import components
 
-_SMALL = 24
+_SMALL = 64
+_BITS = [f"x{k}" for k in range(8)]
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,14 +86,28 @@ def signatures(values: np.ndarray, first: np.ndarray, pieces: int):
     return out, prints
 
 
+def bitmaps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """512 parity bits per row, as eight words: bit h of a set is the parity of its members that hash to h."""
+    some = np.flatnonzero(np.diff(first) > 0)
+    out = np.zeros((len(first) - 1, len(_BITS)), np.int64)
+    if len(some):
+        place = values >> np.uint64(55)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        for k in range(len(_BITS)):
+            words_ = np.where(place >> np.uint64(6) == np.uint64(k), bit, np.uint64(0))
+            out[some, k] = np.bitwise_xor.reduceat(words_, first[some]).view(np.int64)
+    return out
+
+
 def sketches(docs: DataFrame, *, key: str, text: str, size: int, pieces: int) -> DataFrame:
-    """Written table (_id, n, p1, p2, sig) of all rows."""
+    """Written table (_id, n, p1, p2, sig, x0 .. x7) of all rows."""
     added = T.StructType(
         [
             T.StructField("n", T.LongType()),
             T.StructField("p1", T.LongType()),
             T.StructField("p2", T.LongType()),
             T.StructField("sig", T.ArrayType(T.LongType())),
+            *[T.StructField(x, T.LongType()) for x in _BITS],
         ]
     )
 
@@ -99,9 +116,13 @@ def sketches(docs: DataFrame, *, key: str, text: str, size: int, pieces: int) ->
         parts = []
         for i, j in slices(offsets):
             values, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-            parts.append((np.diff(first), *signatures(values, first, pieces)))
-        n, sig, prints = (np.concatenate([p[k] for p in parts]) for k in range(3)) if parts else (np.zeros(0, np.int64), np.zeros((0, 2 * pieces), np.int64), np.zeros((0, 2), np.int64))
-        return [pa.array(n, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists(pa.array(sig.ravel()), np.full(len(n), 2 * pieces))]
+            parts.append((np.diff(first), *signatures(values, first, pieces), bitmaps(values, first)))
+        if not parts:
+            return [pa.array([], kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * len(_BITS))]
+        n, sig, prints, bits = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        columns = [n.astype(np.int64), *prints.T, *bits.T]
+        n, p1, p2, *bits = (pa.array(np.ascontiguousarray(c)) for c in columns)
+        return [n, p1, p2, lists(pa.array(sig.ravel()), np.full(len(n), 2 * pieces)), *bits]
 
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     return written(map_columns(rows, "_text", make, added, ["_id"]), "sketches")
@@ -130,7 +151,7 @@ def candidates(classes: DataFrame, pieces: int) -> tuple[DataFrame, DataFrame]:
 
 def paired(pairs: DataFrame, docs: DataFrame, *, key: str, text: str) -> DataFrame:
     """(a, b, ta, tb): the pairs with both texts. Only texts of ids in ``pairs`` (by Bloom filter) are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
     bits = bloom.bits_for(ids.count())
     texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     texts = bloom.flag(texts, "_id", bloom.present(ids, "_id", bits), bits, "_maybe").where("_maybe").select("_id", "_text")
@@ -160,71 +181,125 @@ def verified(pairs: DataFrame, docs: DataFrame, *, key: str, text: str, size: in
     return paired(pairs, docs, key=key, text=text).mapInArrow(run, schema)
 
 
-def plausible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def allowed(a: str, b: str, percent: int):
+    """Whether set sizes ``n`` and parity bits of two sides allow the similarity: bits that differ are as many
+    members of one set only, at least."""
+    apart = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in _BITS), F.lit(0))
+    both = F.col(f"{a}n") + F.col(f"{b}n")
+    # intersection <= (both - apart) / 2 and union = both - intersection
+    return 100 * (both - apart) >= percent * (both + apart)
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets may have the similarity."""
+    near = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    facts = sets.select("_id", "n", *_BITS)
+    for side in ("a", "b"):
+        near = near.join(facts.withColumnsRenamed({"_id": side, "n": f"{side}n", **{x: f"{side}{x}" for x in _BITS}}), side)
+    return near.where(allowed("a", "b", percent)).select("a", "b")
 
 
-def further(members: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members) of a later round: pairs across components with chosen members of each open key."""
+def recurring(docs: DataFrame, ids: DataFrame, *, key: str, text: str, size: int) -> DataFrame:
+    """(_id, v): how many shingles of each document in ``ids`` may occur in another of them, never too few.
+
+    Shingles of these documents are counted in a Bloom filter of repeats; texts stay where they are read.
+    """
+    bits = bloom.bits_for(ids.count())
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col(key).isNotNull())
+    near = bloom.flag(rows, "_id", bloom.present(ids, "_id", bits), bits, "_maybe").where("_maybe").select("_id", "_text")
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = pack(batch.column(1))
+            for i, j in slices(offsets):
+                values, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                owner = np.repeat(np.arange(i, j), np.diff(first))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], ["_id", "h"])
+
+    schema = T.StructType([T.StructField("_id", docs.schema[key].dataType), T.StructField("h", T.LongType())])
+    grams = written(near.mapInArrow(run, schema), "grams")
+    wide = bloom.bits_for(grams.count())
+    flagged = bloom.flag(grams, "h", bloom.repeated(grams, "h", wide), wide, "_again")
+    return flagged.groupBy("_id").agg(F.count_if("_again").alias("v"))
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their component ``c``, of the keys that hold two components or more, and counts of those keys."""
     named = members.join(labels, "_id", "left").withColumn("c", F.coalesce("c", "_id"))
-    open_ = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 <> c1").select("key", "many")
-    rest = written(named.join(open_, "key"), "open").withColumn("rank", F.xxhash64("key", "_id"))
-    quota = F.when(F.col("many") <= _SMALL, F.col("many")).otherwise(F.lit(4 << turn))
+    facts = [F.count(F.lit(1)).alias("many"), F.min("n").alias("n0")]
+    split = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *facts).where("c0 <> c1").drop("c0", "c1")
+    return written(named.join(split, "key"), "open")
+
+
+def reachable(na: str, va: str, nb: str, vb: str, percent: int):
+    """Whether sets of these sizes and numbers of recurring shingles may have the similarity."""
+    common = F.least(va, vb, na, nb)
+    return 100 * common >= percent * (F.col(na) + F.col(nb) - common)
+
+
+def further(rows: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of a later round: pairs across components with chosen members of each open key.
+
+    A member that no member of its key can match, by set sizes and recurring shingles, is done with that key.
+    """
+    rest = rows.where(reachable("n", "v", "n0", "v", percent))
+    columns = ["_id", "n", "v", "c", *_BITS]
+    rest = written(rest.withColumn("rank", F.pmod(F.xxhash64("key", "_id"), F.lit(1 << 30)) / float(1 << 30)), "rest")
+    quota = F.when(F.col("many") <= _SMALL, F.col("many")).otherwise(F.lit(_SMALL * 8**turn))
     # a member is chosen when its rank lies among the quota smallest on average; every member when the key is small
-    chance = F.when(F.col("many") <= quota, F.lit(1.0)).otherwise(quota / F.col("many"))
-    picked = rest.where((F.pmod("rank", F.lit(1 << 30)) / float(1 << 30)) < chance)
-    pairs = (
-        picked.select("key", F.col("_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-        .join(rest.select("key", F.col("_id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy")), "key")
-        .where("cx <> cy")
-        .select(
-            F.least("x", "y").alias("a"),
-            F.greatest("x", "y").alias("b"),
-            F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"),
-            F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"),
-        )
-        .distinct()
+    chosen = F.col("rank") * F.col("many") < quota
+    left, right = (part.select("key", *[F.col(c).alias(f"{side}{c}") for c in columns]) for side, part in (("l", rest.where(chosen)), ("r", rest)))
+    fits = (F.col("lc") != F.col("rc")) & reachable("ln", "lv", "rn", "rv", percent) & allowed("l", "r", percent)
+    pairs = left.join(right, "key").where(fits).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"))
+    # chosen members have met all others of the key across components, the rest of the key stays open
+    return pairs.distinct(), rest.where(~chosen).drop("c", "many", "n0", "rank")
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(_id, c) of all linked ids after further links: only the components that the links touch are worked on."""
+    known = written(
+        links.select(F.col("a").alias("_id")).union(links.select("b")).distinct().join(labels, "_id", "left").select("_id", F.coalesce("c", "_id").alias("c")),
+        "known",
     )
-    # picked members have met all others of the key across components, the rest of the key stays open
-    left = rest.where((F.pmod("rank", F.lit(1 << 30)) / float(1 << 30)) >= chance).select("key", "_id", "n")
-    return pairs, left
+    left, right = (known.withColumnsRenamed({"_id": side, "c": f"c{side}"}) for side in ("a", "b"))
+    edges = written(links.join(left, "a").join(right, "b").where("ca <> cb").select("ca", "cb").distinct(), "edges")
+    ends = edges.select(F.col("ca").alias("v")).union(edges.select("cb")).distinct()
+    moved = components(ends, edges, vertex="v", a="ca", b="cb").select(F.col("v").alias("c"), "component")
+    every = labels.unionByName(known.join(labels, "_id", "left_anti"))
+    return written(every.join(moved, "c", "left").select("_id", F.coalesce("component", "c").alias("c")), "labels")
 
 
 def classes(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85, pieces: int = 10
 ) -> DataFrame:
-    """One row per id: id, n_shingles, component_id (smallest id reachable over links)."""
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable over links)."""
     made = sketches(docs, key=key, text=text, size=size, pieces=pieces)
     same = (
         made.where("n > 0 and _id is not null")
         .groupBy("n", "p1", "p2")
-        .agg(F.min(F.struct("_id", "sig")).alias("m"))
-        .select(F.col("m._id").alias("_id"), "n", "p1", "p2", F.col("m.sig").alias("sig"))
+        .agg(F.min(F.struct("_id", "sig", *_BITS)).alias("m"))
+        .select("n", "p1", "p2", "m.*")
     )
     same = written(same, "classes")
-    option = {"key": key, "text": text, "size": size, "percent": percent}
     pairs, members = candidates(same, pieces)
-    pairs = written(plausible(pairs, percent).select("a", "b"), "pairs")
-    links = tried = None
-    turn = 0
+    option = {"key": key, "text": text, "size": size}
+    pairs = written(plausible(pairs, same, percent), "pairs")
+    labels = same.where("false").select("_id", F.col("_id").alias("c"))
+    tried, turn = pairs, 0
     while True:
-        new = written(verified(pairs, docs, **option), "links") if pairs.limit(1).count() else None
-        tried = pairs if tried is None else written(tried.unionByName(pairs), "tried")
-        if new is not None:
-            links = new if links is None else written(links.unionByName(new), "links")
-        labels = None
-        if links is not None:
-            ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-            labels = written(components(ends, links, vertex="v", a="a", b="b").select(F.col("v").alias("_id"), F.col("component").alias("c")), "labels")
-        else:
-            labels = same.where("false").select("_id", F.col("_id").alias("c"))
-        pairs, members = further(members, labels, turn)
-        pairs = written(plausible(pairs, percent).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-        members = written(members, "members")
-        turn += 1
-        if not members.limit(1).count() and not pairs.limit(1).count():
+        if not pairs.isEmpty():
+            links = written(verified(pairs, docs, percent=percent, **option), "links")
+            labels = labels if links.isEmpty() else relabelled(labels, links)
+        rows = open_members(members, labels)
+        if rows.isEmpty():
             break
+        if turn == 0:
+            facts = written(recurring(docs, rows.select("_id").distinct(), **option), "recurring").join(same.select("_id", *_BITS), "_id")
+            rows = written(rows.join(facts, "_id"), "open")
+        fresh, members = further(rows, turn, percent)
+        pairs = written(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        turn += 1
     top = same.join(labels, "_id", "left").select("n", "p1", "p2", F.coalesce("c", "_id").alias("c"))
     named = made.join(top, ["n", "p1", "p2"], "left").select("_id", "n", F.when(F.col("_id").isNotNull(), F.coalesce("c", "_id")).alias("c"))
     return named.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))

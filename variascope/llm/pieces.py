@@ -37,7 +37,8 @@ from pyspark.sql import types as T
 from variascope.llm.words import lists, mix, pack, ragged, slices, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+_ROWS = 1 << 20
 _SPACE = 0x20
 
 
@@ -275,13 +276,13 @@ def encode(
         for batch in batches:
             keys = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
             data, offsets = pack(batch.column(1))
-            parts = [encode_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j], pieces) for i, j in slices(offsets)]
-            ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-            many = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            made = lists(pa.array(ids.astype(np.int32)), many)
-            if batch.column(1).null_count:
-                made = pa.ListArray.from_arrays(made.offsets, made.values, mask=batch.column(1).is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], made], [*kept, "ids"])
+            for i, j in slices(offsets, _ROWS):
+                ids, many = encode_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], keys[i:j], pieces)
+                made = lists(pa.array(ids.astype(np.int32)), many)
+                rows = batch.slice(i, j - i)
+                if rows.column(1).null_count:
+                    made = pa.ListArray.from_arrays(made.offsets, made.values, mask=rows.column(1).is_null())
+                yield pa.RecordBatch.from_arrays([*rows.columns[2:], made], [*kept, "ids"])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return ready.mapInArrow(run, schema)
@@ -297,14 +298,18 @@ def decode(rows: DataFrame, *, ids: str = "ids", text: str = "text", model: str
         pieces = load(shared.value, 0.0)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            many = np.diff(column.offsets.to_numpy())
-            values = column.values.to_numpy()[column.offsets[0].as_py() : column.offsets[-1].as_py()] if len(column) else np.zeros(0, np.int32)
-            data, offsets = decode_rows(values.astype(np.int64), many, pieces)
-            made = pa.LargeStringArray.from_buffers(len(many), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.tobytes()))
-            made = made.cast(pa.string())
-            if column.null_count:
-                made = pc.if_else(column.is_null(), pa.scalar(None, pa.string()), made)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k, c in enumerate(names) if c != text), made], [*kept, text])
+            if not len(column):
+                continue
+            places = column.offsets.to_numpy().astype(np.int64)
+            values = column.values.to_numpy()
+            for i, j in slices(places - places[0], _ROWS // 4):
+                many = np.diff(places[i : j + 1])
+                data, offsets = decode_rows(values[places[i] : places[j]].astype(np.int64), many, pieces)
+                made = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.tobytes())).cast(pa.string())
+                rows = batch.slice(i, j - i)
+                if column.null_count:
+                    made = pc.if_else(column.slice(i, j - i).is_null(), pa.scalar(None, pa.string()), made)
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k, c in enumerate(names) if c != text), made], [*kept, text])
 
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(text, T.StringType())])
     return rows.mapInArrow(run, schema)
