@@ -37,15 +37,15 @@ from pyspark.sql import types as T
 from variascope.llm.words import lists, mix, pack, ragged, slices, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK = 1 << 18
-_ROWS = 1 << 20
+BLOCK = 1 << 17
+_ROWS = 1 << 19
 _SPACE = 0x20
 
 
 class Pieces:
-    """The model as a byte trie with weights."""
+    """The model: what each id spells and, unless ``sharpness`` is None (decoding), a byte trie with weights."""
 
-    def __init__(self, model: bytes, sharpness: float):
+    def __init__(self, model: bytes, sharpness: float | None):
         loaded = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = loaded.get_piece_size()
         self.spelled: list[bytes] = []
@@ -67,6 +67,11 @@ class Pieces:
                 usable.append((loaded.get_score(i), i))
         if (self.byte_id < 0).any():
             raise ValueError("the model has no byte pieces")
+        self.lengths = np.array([len(s) for s in self.spelled])
+        self.ends = np.cumsum(self.lengths)
+        self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
+        if sharpness is None:
+            return
         usable.sort(reverse=True)
         weight = {i: -sharpness * np.log(rank) for rank, (_, i) in enumerate(usable, 1)}
         self.byte_weight = -sharpness * np.log(len(usable) + 1)
@@ -84,28 +89,29 @@ class Pieces:
             ids[node] = i
             if len(spelled) > 1:
                 joined.update(spelled)
-        self.next = np.zeros((len(children), 256), np.int32)
+        # nodes with children come first, so only they have a row in the table of next nodes
+        order = sorted(range(len(children)), key=lambda k: (not children[k], k))
+        number = {k: at for at, k in enumerate(order)}
+        self.inner = sum(1 for below in children if below)
+        self.next = np.zeros((self.inner, 256), np.int32)
         for node, below in enumerate(children):
             for b, child in below.items():
-                self.next[node, b] = child
+                self.next[number[node], b] = number[child]
         self.next = self.next.ravel()
-        self.piece = np.array(ids, np.int64)
-        self.weight = np.array([weight.get(i, 0.0) for i in ids])
+        self.piece = np.array([ids[k] for k in order], np.int64)
+        self.weight = np.array([weight.get(ids[k], 0.0) for k in order])
         self.alone = np.array([b not in joined and b < 0x80 and b != _SPACE for b in range(256)])
-        lengths = np.array([len(s) for s in self.spelled])
-        self.ends = np.cumsum(lengths)
-        self.lengths = lengths
-        self.flat = np.frombuffer(b"".join(self.spelled), np.uint8)
 
 
-_loaded: dict[tuple[bytes, float], Pieces] = {}
+_loaded: dict[tuple[bytes, float | None], Pieces] = {}
 
 
-def load(model: bytes, sharpness: float) -> Pieces:
+def load(model: bytes, sharpness: float | None) -> Pieces:
     """The tables of a model, made once per process."""
     name = (hashlib.sha256(model).digest(), sharpness)
     if name not in _loaded:
-        _loaded.clear()
+        if len(_loaded) > 1:
+            _loaded.clear()
         _loaded[name] = Pieces(model, sharpness)
     return _loaded[name]
 
@@ -153,7 +159,7 @@ class Lattice:
             if some.any():
                 found.append((at[some], np.full(int(some.sum()), length), ids[some], pieces.weight[node[some]]))
                 bare[at[some][char[at[some]] == length]] = False
-            inside = at + length < stop[at]
+            inside = (at + length < stop[at]) & (node < pieces.inner)
             at, node = at[inside], node[inside]
         lead = np.flatnonzero(bare)
         if lead.size:
@@ -295,7 +301,7 @@ def decode(rows: DataFrame, *, ids: str = "ids", text: str = "text", model: str
     kept = [c for c in names if c != text]
 
     def run(batches):
-        pieces = load(shared.value, 0.0)
+        pieces = load(shared.value, None)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             if not len(column):
