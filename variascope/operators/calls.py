@@ -158,14 +158,14 @@ def site_quality(calls: DataFrame) -> DataFrame:
     the per-allele maxima. The reported samples are each allele's best (ties: smallest sample, then lowest base).
     Sites with a single allele get quality -1.
     """
-    per_allele = calls.where(F.col("call").isNotNull()).groupBy("p", "call").agg(
+    # missing calls are a group of their own, so that a site without any call still has a row
+    per_allele = calls.groupBy("p", "call").agg(
         F.max("fq").alias("q"), F.min_by("sample", F.struct(-F.col("fq"), F.col("sample"))).alias("s")
     )
-    top = per_allele.groupBy("p").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("q")).alias("nq"), "call", "s"))).alias("a")
-    )
+    known = F.when(F.col("call").isNotNull(), F.struct((-F.col("q")).alias("nq"), "call", "s"))
+    top = per_allele.groupBy("p").agg(F.sort_array(F.collect_list(known)).alias("a"))
     second = F.get("a", F.lit(1))
-    return calls.select("p").distinct().join(top, "p", "left").select(
+    return top.select(
         "p",
         F.coalesce(-second["nq"], F.lit(-1.0)).alias("mut_qual"),
         F.when(second.isNotNull(), F.get("a", F.lit(0))["s"]).alias("sample_a"),

@@ -20,10 +20,9 @@ def codon_usage(genes: DataFrame, *, by: Sequence[str] = (), offset: str | None
     seq = F.col("seq") if offset is None else F.substring(F.col("seq"), F.col(offset) * 3 + 1, F.length("seq"))
     codons = genes.select(*by, F.explode(triplets(seq)).alias("codon"))
     counts = codons.where(F.col("codon").rlike("^[ATCG]{3}$")).groupBy(*by, "codon").agg(F.count(F.lit(1)).alias("n"))
-    if by:
-        totals = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
-        return counts.join(totals, list(by)).select(*by, "codon", "n", (F.col("n") / F.col("_t")).alias("share"))
-    return counts.select("codon", "n", (F.col("n") / counts.agg(F.sum("n")).scalar()).alias("share"))
+    # at most 64 counts per window
+    total = F.sum("n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
+    return counts.select(*by, "codon", "n", (F.col("n") / total).alias("share"))
 
 
 def nonsyn_table(spark: SparkSession) -> DataFrame:
