@@ -308,5 +308,9 @@ def classes(
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each component (the smallest id), with its own columns; rows with a null id stay."""
     found = classes(docs, key=key, text=text, **options)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = written(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
+    bits = bloom.bits_for(gone.count())
+    flagged = bloom.flag(docs.withColumn("_gone", F.col(key)), "_gone", bloom.present(gone, "_gone", bits), bits, "_maybe")
+    columns = [f"`{c}`" for c in docs.columns]
+    # only documents that may go are shuffled
+    return flagged.where(~F.col("_maybe")).select(*columns).unionByName(flagged.where("_maybe").join(gone, "_gone", "left_anti").select(*columns))
