@@ -69,6 +69,6 @@ def compare(spark_df, con, sql: str) -> str | None:
     w = sorted((tuple(plain(r[i]) for i in wi) for r in want), key=_key)
     for x, y in zip(g, w):
         for name, u, v in zip(order, x, y):
-            if u != v and not (isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1.5e-6 * max(1, abs(v))):
+            if u != v and not (isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1e-9 * max(1, abs(v))):
                 return f"{name}: {u!r} vs {v!r} in {x} / {y}"
     return None if got else "EMPTY"

@@ -305,11 +305,6 @@ def mg3(spark, sf):
     return rounded(kept, "mean_z", "mean_cov")
 
 
-SQL_MERGE = SQL_INTERVALS + """,
-mo AS (SELECT *, max("end") OVER (PARTITION BY sample ORDER BY start, interval_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
-mg AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach - 2 <= start THEN 1 ELSE 0 END) OVER (PARTITION BY sample ORDER BY start, interval_id ROWS UNBOUNDED PRECEDING) AS grp FROM mo)"""
-
-
 @query(
     "mg4_merge_regions",
     """WITH RECURSIVE iv0 AS (SELECT o_custkey AS sample,
@@ -324,6 +319,29 @@ def mg4(spark, sf):
     return g.merged_regions(b.order_intervals(spark, sf), overlap=2, keys=["sample"], tile_width=365)
 
 
+@query(
+    "mg4_labelled_candidates",
+    f"""WITH {SQL_INTERVALS}, iv0 AS (SELECT sample, start, max("end") AS "end" FROM iv GROUP BY 1, 2),
+    mo AS (SELECT *, max("end") OVER (PARTITION BY sample ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv0),
+    mg AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach - 2 <= start THEN 1 ELSE 0 END) OVER (PARTITION BY sample ORDER BY start ROWS UNBOUNDED PRECEDING) AS grp FROM mo),
+    rg AS (SELECT sample, grp, min(start) AS region_start, max("end") AS region_end FROM mg GROUP BY 1, 2)
+    SELECT iv.sample, interval_id, iv.start, iv."end", region_start, region_end FROM iv JOIN mg ON mg.sample = iv.sample AND mg.start = iv.start
+    JOIN rg ON rg.sample = mg.sample AND rg.grp = mg.grp""",
+)
+def mg4_labelled(spark, sf):
+    out = g.merge_regions(b.order_intervals(spark, sf), overlap=2, keys=["sample"], tile_width=365)
+    return out.select("sample", "interval_id", "start", "end", "region_start", "region_end")
+
+
+@query(
+    "mg7_type_conflicts",
+    """SELECT l_partkey % 500 AS region, min(l_linenumber % 2) AS type, count(DISTINCT l_linenumber % 2) AS n_types FROM lineitem GROUP BY 1""",
+)
+def mg7_types(spark, sf):
+    carried = b.table(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("region"), (F.col("l_linenumber") % 2).alias("type"))
+    return g.resolve_type(carried)
+
+
 @query(
     "mg5_split_at_contigs",
     f"""WITH {SQL_INTERVALS}, starts AS (SELECT DISTINCT start // 30 * 30 AS s FROM iv),

@@ -282,3 +282,12 @@ def af8_population(spark, sf):
     shares = nested(spark, sf)
     times = shares.select("g", F.col("g").cast("double").alias("x")).distinct()
     return s.population_table(shares, times).withColumn("Population", R("Population", 6))
+
+
+@query("af8_edges", "SELECT 'm' || c_custkey // 2 AS \"Parent\", 'm' || c_custkey AS \"Identity\" FROM customer")
+def af8_edges(spark, sf):
+    key = F.col("c_custkey")
+    parents = b.table(spark, sf, "customer").select(
+        F.concat(F.lit("m"), key).alias("mutation"), F.concat(F.lit("m"), F.floor(key / 2)).alias("parent")
+    )
+    return s.edges_table(parents)

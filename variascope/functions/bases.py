@@ -41,14 +41,6 @@ def complement(letter: Column) -> Column:
     return F.translate(letter, "ATCG", "TAGC")
 
 
-def codon_map() -> Column:
-    """Literal map codon -> amino acid (64 entries)."""
-    parts: list[Column] = []
-    for codon, aa in CODON_TO_AA.items():
-        parts += [F.lit(codon), F.lit(aa)]
-    return F.create_map(*parts)
-
-
 def amino(codon: Column) -> Column:
     """Amino acid letter of a codon without a map lookup: index arithmetic into the code string."""
     code = F.lit(CODE_BASES)

@@ -165,10 +165,6 @@ def dnds_percentile(genes: DataFrame) -> DataFrame:
     )
 
 
-# The six folded classes reduced to undirected pairs.
-UNDIRECTED = {"TA": "TA", "TC": "TC_CT", "CT": "TC_CT", "TG": "TG_CA", "CA": "TG_CA", "CG": "CG"}
-
-
 def spectrum_chi2(
     counts: DataFrame, background: DataFrame, *, keys: Sequence[str], min_mutations: int = 5, alpha: float = 0.05
 ) -> DataFrame:

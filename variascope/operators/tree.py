@@ -233,7 +233,6 @@ def homoplasy_support(changes: DataFrame, support: DataFrame, *, min_support: fl
 # The six strand-folded substitution classes and their kind.
 FOLDED = {"TA": "TA", "AT": "TA", "TC": "TC", "AG": "TC", "TG": "TG", "AC": "TG", "CA": "CA", "GT": "CA", "CT": "CT", "GA": "CT", "CG": "CG", "GC": "CG"}
 CLASSES = ("TA", "TC", "TG", "CA", "CT", "CG")
-TRANSITIONS = ("TC", "CT")
 # The twelve directed substitutions.
 SUBSTITUTIONS = ("AT", "AG", "AC", "TA", "TG", "TC", "GA", "GT", "GC", "CA", "CT", "CG")
 

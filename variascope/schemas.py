@@ -6,18 +6,3 @@ SAMPLES = "Path string, Sample string, ReferenceGenome string, ProviderName stri
 SAMPLES_CASE = "Path string, Sample string, ReferenceGenome string, Outgroup int"
 PILEUP = "chrom string, pos long, ref string, depth int, bases string, bq string, mq string, tails string"
 FAI = "contig string, len long, offset long, bases int, width int"
-HITS = (
-    "contig string, qlen long, acc string, title string, slen long, qstart long, qend long, sstart long, send long, "
-    "length long, evalue double, bitscore double, identity double"
-)
-BED_HISTOGRAM = "contig string, depth long, bases long, size long, share double"
-BED_INTERVALS = "contig string, start long, end long, c4 string, c5 string, c6 string, share double"
-TREE = "child string, parent string, branch_len double, is_tip boolean"
-NODE_CALLS = "node string, site int, nt string"
-CLOCK = "hosp_days double, colonization_days double, rate double, numBaseGenome double"
-QPCR = "Well string, Sample string, Ct double, Exclusion string"
-MIC = "ID string, Species string, AB string, MIC string, colonization_days double, genotype string"
-SURVIVAL = (
-    "start_date string, start_time string, measure_date string, measure_time string, fly string, isolate string, "
-    "replicate int, od double, num_flies int, non_recov int, dead_flies int"
-)
