@@ -142,7 +142,7 @@ def fit(
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_order", kind="stable")
-        pairs = [(np.frombuffer(s, np.int32).astype(np.int64), y) for s, y in zip(rows["_slots"], rows["_label"])]
+        pairs = [(np.frombuffer(s, np.int32), y) for s, y in zip(rows["_slots"], rows["_label"])]
         at, w = train_rows(pairs, bits, epochs, alpha, beta, l1, l2)
         return pd.DataFrame({"slot": at, "weight": w})
 

@@ -14,13 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 
 _LOWER = bytes(range(256)).lower()
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def _table(test: Callable[[int], bool]) -> np.ndarray:
