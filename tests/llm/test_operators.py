@@ -96,6 +96,21 @@ def test_near_crowded_keys_are_worked_off(spark):
     assert got == brute.components(list(enumerate(texts)))
 
 
+def test_near_full_copies_among_shorter_excerpts(spark):
+    """Two full near copies link although every key they share has a smaller id and a size that neither can match."""
+    words = prose(104, 11).split()
+    rng = random.Random(12)
+    texts = []
+    for _ in range(250):
+        a, b = rng.randrange(0, 40), rng.randrange(54, 92)
+        texts.append(" ".join(words[:a] + words[a + 12 : b] + words[b + 12 :]))
+    texts += [" ".join(words), " ".join([*words[:103], "changed"])]
+    want = brute.components(list(enumerate(texts)))
+    assert want[-1][2] == want[-2][2] == 250
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near.classes(table(spark, texts)).collect())
+    assert got == want
+
+
 def test_near_null_ids_repeats_and_columns(spark):
     text = prose(40, 4)
     docs = table(spark, [text, text + " end", prose(40, 5)]).withColumns({"component_id": F.lit("own"), "n": F.lit(3), "key": F.lit(0)})

@@ -240,9 +240,10 @@ def reachable(na: str, va: str, nb: str, vb: str, percent: int):
 def further(rows: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of a later round: pairs across components with chosen members of each open key.
 
-    A member that no member of its key can match, by set sizes and recurring shingles, is done with that key.
+    A member that no member of its key can match, by set sizes and recurring shingles, is done with that key: the best
+    match has as many shingles as may recur, or is the smallest member if that has more.
     """
-    rest = rows.where(reachable("n", "v", "n0", "v", percent))
+    rest = rows.where(100 * F.col("v") >= percent * (F.col("n") + F.greatest("n0", "v") - F.col("v")))
     columns = ["_id", "n", "v", "c", *_BITS]
     rest = written(rest.withColumn("rank", F.pmod(F.xxhash64("key", "_id"), F.lit(1 << 30)) / float(1 << 30)), "rest")
     quota = F.when(F.col("many") <= _SMALL, F.col("many")).otherwise(F.lit(_SMALL * 8**turn))
