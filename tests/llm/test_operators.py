@@ -408,6 +408,15 @@ def test_pii(spark):
     assert out[0] is None and out[2] == texts[2] and "[email]" in out[10] and "@" not in out[10]
 
 
+def test_pii_phones_of_single_digits(spark):
+    """Base phones count whether or not two digits stand side by side in the text."""
+    texts = ["call +1 2 3 4 5 6 7 8 9 now", "+4-4-2-0-7-9-4-6-0", "+1 (2) 3.4-5 6 7 8 9", "1 2 3", "1+", prose(20, 80)]
+    rows = {r.doc_id: r for r in pii.redactions(table(spark, texts)).collect()}
+    for key, text in enumerate(texts):
+        assert [(k, s.start, s.end) for k in pii.KINDS for s in rows[key][k]] == brute.spans(text), key
+    assert [len(rows[k].phone) for k in range(6)] == [1, 1, 1, 0, 0, 0]
+
+
 def test_boosting_learns_an_interaction():
     counts = {p: ((0.0, 50.0) if (p & 1) and (p & 4) else (50.0, 0.0)) for p in range(16)}
     model = pii.boost(counts)

@@ -45,7 +45,7 @@ _LOOSE = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20.-][0-9]{4}){3})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z.])(?:\+|00)?[(]?[0-9]{1,4}[)]?(?:[\x20./-]{1,2}[(]?[0-9]{2,4}[)]?){2,5}(?![0-9A-Za-z])",
 }
-_GUARD = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20.-]?[0-9]", "phone": r"[0-9]{2}"}
+_GUARD = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20.-]?[0-9]", "phone": r"[0-9][\x20().+/0-9-]*[0-9]"}
 _CONTEXT = {
     "email": "(?i)mail|contact|write|address|user",
     "ip": "(?i)\\bip|host|server|from|address|login",
