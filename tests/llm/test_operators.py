@@ -285,6 +285,24 @@ def test_passages(spark):
     assert cut[n] == texts[n] and shared.upper().split()[0] not in (cut[n + 1] or "") and cut[n + 5] == texts[n + 5]
 
 
+def tokens_of(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return passages.tokens(data, np.array([0, len(data)]), 5)[0]
+
+
+@pytest.mark.parametrize("at", [8, 20, 30, 45, 52])
+@pytest.mark.parametrize("edit", ["insert", "delete", "replace"])
+def test_passage_regions_across_one_edit(at, edit):
+    """A passage of 60 words stays one region when a word is inserted, deleted or replaced anywhere."""
+    words = prose(60, 90).split()
+    other = words[:at] + ([] if edit == "delete" else ["edited"]) + words[at + (edit != "insert") :]
+    x, y = prose(40, 91) + " " + " ".join(words) + " " + prose(30, 92), prose(70, 93) + " " + " ".join(other) + " " + prose(10, 94)
+    for one, two, a, c, n, m in ((x, y, 40, 70, 60, len(other)), (y, x, 70, 40, len(other), 60)):
+        found = passages.regions(tokens_of(one), tokens_of(two), 46, 80)
+        assert [r[:4] for r in found] == [(a, a + n - 5, c, c + m - 5)]
+        assert found[0][4] >= 0.8
+
+
 def test_pieces_round_trip(spark):
     texts = [*odd_texts(), "▁ lower one eighth", "\x00\x01\x7f tab\t\r\n", " lead", "trail ", "a" * 5000, "𓀀𓀁"]
     docs = table(spark, texts).withColumns({"ids": F.lit("own"), "more": F.lit(2)})
