@@ -303,6 +303,18 @@ def test_passage_regions_across_one_edit(at, edit):
         assert found[0][4] >= 0.8
 
 
+def test_passages_at_the_threshold_are_met(spark):
+    """Passages of 50 words with one replaced word, at a similarity just over 0.8, of 200 pairs of documents."""
+    texts = []
+    for k in range(200):
+        words = prose(50, 2000 + k).split()
+        at = 5 + k % 40
+        other = [*words[:at], "edited", *words[at + 1 :]]
+        texts += [f"{prose(20, 3000 + k)} {' '.join(words)} {prose(30, 4000 + k)}", f"{prose(30, 5000 + k)} {' '.join(other)} {prose(20, 6000 + k)}"]
+    rows = passages.shared(table(spark, texts)).collect()
+    assert {(r.other_id, r.doc_id) for r in rows} >= {(2 * k, 2 * k + 1) for k in range(200)}
+
+
 def test_pieces_round_trip(spark):
     texts = [*odd_texts(), "▁ lower one eighth", "\x00\x01\x7f tab\t\r\n", " lead", "trail ", "a" * 5000, "𓀀𓀁"]
     docs = table(spark, texts).withColumns({"ids": F.lit("own"), "more": F.lit(2)})
