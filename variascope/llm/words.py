@@ -57,13 +57,12 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): byte ranges of maximal runs of ``inside`` bytes; row r has the words first[r]:first[r + 1]."""
-    mask = inside[data]
+def stretches(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): maximal runs of set bytes; row r has the runs first[r]:first[r + 1]."""
     opening, closing = mask.copy(), mask.copy()
     opening[1:] &= ~mask[:-1]
     closing[:-1] &= ~mask[1:]
-    head = offsets[:-1][offsets[:-1] < len(data)]
+    head = offsets[:-1][offsets[:-1] < len(mask)]
     opening[head] = mask[head]
     tail = offsets[1:][offsets[1:] > 0] - 1
     closing[tail] = mask[tail]
@@ -71,6 +70,11 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): byte ranges of maximal runs of ``inside`` bytes; row r has the words first[r]:first[r + 1]."""
+    return stretches(inside[data], offsets)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit of ``h``."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
