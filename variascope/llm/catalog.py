@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("text_queries", "exact_queries", "pii_queries", "shard_queries", "warc_queries", "near_queries", "piece_queries", "passage_queries", "period_queries", "spelling_queries", "pipeline_queries")
+GROUPS = ("text_queries", "exact_queries", "pii_queries", "shard_queries", "warc_queries", "near_queries", "piece_queries", "passage_queries", "period_queries", "spelling_queries", "trie_queries", "pipeline_queries")
 
 
 def load():
