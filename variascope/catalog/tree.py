@@ -64,6 +64,19 @@ def tr2(spark, sf):
     return t.nearest_other_class(pair_calls(spark, sf), pair_samples(spark, sf), n_sites=N_SITES)
 
 
+@query(
+    "tr2_nearest_within_species",
+    f"""WITH {SQL_PAIRS}, o AS (SELECT s1 AS sample, sp1 AS species, s2 AS other, snp_diff, time_diff FROM pd WHERE f1 AND NOT f2 AND sp1 = sp2
+      UNION ALL SELECT s2, sp1, s1, snp_diff, time_diff FROM pd WHERE f2 AND NOT f1 AND sp1 = sp2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY snp_diff, other) AS rk FROM o)
+    SELECT species, sample, other AS nearest, snp_diff, time_diff FROM r WHERE rk = 1""",
+)
+def tr2_grouped(spark, sf):
+    samples = pair_samples(spark, sf)
+    calls = pair_calls(spark, sf).join(samples.select("sample", "species"), "sample")
+    return t.nearest_other_class(calls, samples, n_sites=N_SITES, group=["species"])
+
+
 #: Largest number of differing sites between neighbours of one lineage.
 CUTOFF = 19
 
@@ -86,8 +99,7 @@ def tr3(spark, sf):
     f"""WITH {SQL_PAIRS} SELECT time_diff, CASE WHEN snp_diff <= 25 THEN snp_diff ELSE (snp_diff - 26) // 5 * 5 + 26 END AS bin, count(*) AS n FROM pd GROUP BY 1, 2""",
 )
 def tr4(spark, sf):
-    pairs = t.pairwise_snp(pair_calls(spark, sf), pair_samples(spark, sf), n_sites=N_SITES)
-    return t.distance_histogram(pairs, fine_to=25, coarse=5, keys=["time_diff"])
+    return t.pair_histogram(pair_calls(spark, sf), pair_samples(spark, sf), n_sites=N_SITES, fine_to=25, coarse=5)
 
 
 SQL_CLOSURE = SQL_TREE + """,

@@ -11,6 +11,7 @@ from variascope.functions.bases import BASES
 from variascope.plans.closure import ancestors
 from variascope.plans.components import components
 from variascope.plans.lineage import cut
+from variascope.plans.neighbours import PLANES, linked, nearest, pair_counts
 from variascope.plans.packed import block_pairs, pack
 
 
@@ -19,7 +20,7 @@ def _packed(calls: DataFrame, samples: DataFrame, *, n_sites: int, group: Sequen
     zeros = F.array_repeat(F.lit(0).cast("long"), (n_sites + 63) // 64)
     rows = pack(calls, sample="sample", site="site", call="call", n_sites=n_sites, group=group)
     return samples.join(rows, [*group, "sample"], "left").select(
-        *samples.columns, *[F.coalesce(c, zeros).alias(c) for c in ("lo", "hi", "seen")]
+        *samples.columns, *[F.coalesce(c, zeros).alias(c) for c in PLANES]
     )
 
 
@@ -45,25 +46,29 @@ def pairwise_snp(
     )
 
 
-def nearest_other_class(
-    calls: DataFrame, samples: DataFrame, *, n_sites: int, group: Sequence[str] = (), n_blocks: int = 16
-) -> DataFrame:
+def nearest_other_class(calls: DataFrame, samples: DataFrame, *, n_sites: int, group: Sequence[str] = ()) -> DataFrame:
     """For each sample with ``focal`` true the closest sample with ``focal`` false, ties to the smallest name.
 
-    Pairs are reduced inside each task by the partial minimum, so they are never shuffled.
+    Neighbours are looked for within a growing number of differences; a sample that has found one is done, since its
+    nearest one is among those found. Equal samples of one class are compared once.
     """
-    rows = _packed(calls, samples, n_sites=n_sites, group=group)
-    pairs = block_pairs(rows, key="sample", n_words=_words(n_sites), group=group, n_blocks=n_blocks).where(
-        F.col("a.focal") != F.col("b.focal")
-    )
-    me = F.when(F.col("a.focal"), F.col("a")).otherwise(F.col("b"))
-    other = F.when(F.col("a.focal"), F.col("b")).otherwise(F.col("a"))
-    gap = F.abs(me["day"] - other["day"])
+    rows = cut(_packed(calls, samples, n_sites=n_sites, group=group))
+    distinct = cut(rows.groupBy(*group, "focal", *PLANES).agg(F.min("sample").alias("rep")))
+    others, pending, found, reach = distinct.where("NOT focal"), distinct.where("focal"), None, 1
+    while True:
+        near = nearest(pending.unionByName(others), who="rep", asks="focal", n_sites=n_sites, cutoff=min(reach, n_sites), group=group)
+        near = cut(near)
+        found = near if found is None else found.unionByName(near)
+        pending = pending.join(near, "rep", "left_anti")
+        if reach >= n_sites or pending.isEmpty():
+            break
+        reach = reach * 4 + 3
+    days = samples.select(F.col("sample").alias("other"), F.col("day").alias("_day"))
+    asking = rows.where("focal").join(distinct.where("focal"), [*group, *PLANES])
     return (
-        pairs.select(*group, me["sample"].alias("sample"), F.struct("snp_diff", other["sample"].alias("other"), gap.alias("gap")).alias("c"))
-        .groupBy(*group, "sample")
-        .agg(F.min("c").alias("c"))
-        .select(*group, "sample", F.col("c.other").alias("nearest"), F.col("c.snp_diff").alias("snp_diff"), F.col("c.gap").alias("time_diff"))
+        asking.join(found, "rep")
+        .join(days, "other")
+        .select(*group, "sample", F.col("other").alias("nearest"), F.col("d").alias("snp_diff"), F.abs(F.col("day") - F.col("_day")).alias("time_diff"))
     )
 
 
@@ -73,7 +78,6 @@ def lineage_clusters(
     *,
     n_sites: int,
     cutoff: int = 30,
-    n_blocks: int = 16,
     analysed: Column | None = None,
 ) -> DataFrame:
     """Connected components of samples at most ``cutoff`` differences apart; singletons included.
@@ -83,15 +87,11 @@ def lineage_clusters(
     With ``analysed`` only components that contain such a sample are kept.
     """
     rows = cut(_packed(calls, samples.select("sample"), n_sites=n_sites, group=()))
-    distinct = rows.groupBy("lo", "hi", "seen").agg(F.min("sample").alias("rep"))
-    near = (
-        block_pairs(distinct, key="rep", n_words=_words(n_sites), n_blocks=n_blocks)
-        .where(F.col("snp_diff") <= cutoff)
-        .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    )
+    distinct = cut(rows.groupBy(*PLANES).agg(F.min("sample").alias("rep")))
+    near = linked(distinct, who="rep", n_sites=n_sites, cutoff=cutoff)
     found = components(distinct.select(F.col("rep").alias("v")), near)
     out = (
-        rows.join(distinct, ["lo", "hi", "seen"])
+        rows.join(distinct, list(PLANES))
         .join(found.withColumnRenamed("v", "rep"), "rep")
         .select("sample", F.col("component").alias("lineage"))
     )
@@ -102,11 +102,21 @@ def lineage_clusters(
     return out.join(sizes, "lineage").select("sample", "lineage", "size")
 
 
-def distance_histogram(pairs: DataFrame, *, fine_to: int = 30, coarse: int = 50, keys: Sequence[str] = ()) -> DataFrame:
-    """Pair counts by distance bin: width 1 up to ``fine_to``, then width ``coarse``."""
+def pair_histogram(
+    calls: DataFrame, samples: DataFrame, *, n_sites: int, group: Sequence[str] = (), fine_to: int = 30, coarse: int = 50
+) -> DataFrame:
+    """Pairs of a group by day gap and distance bin; pairs are counted in their task and never become rows."""
+    rows = cut(_packed(calls, samples, n_sites=n_sites, group=group))
+    counts = pair_counts(rows, who="sample", day="day", group=group)
+    named = counts.withColumnsRenamed({"gap": "time_diff", "d": "snp_diff"})
+    return distance_histogram(named, fine_to=fine_to, coarse=coarse, keys=[*group, "time_diff"], n="n")
+
+
+def distance_histogram(pairs: DataFrame, *, fine_to: int = 30, coarse: int = 50, keys: Sequence[str] = (), n: str | None = None) -> DataFrame:
+    """Pair counts by distance bin: width 1 up to ``fine_to``, then width ``coarse``. A row stands for ``n`` pairs."""
     over = F.floor((F.col("snp_diff") - fine_to - 1) / coarse).cast("long")
     low = F.when(F.col("snp_diff") <= fine_to, F.col("snp_diff")).otherwise(over * coarse + fine_to + 1)
-    return pairs.groupBy(*keys, low.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(*keys, low.alias("bin")).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"))
 
 
 def with_self(closure: DataFrame, nodes: DataFrame) -> DataFrame:
