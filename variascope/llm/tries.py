@@ -7,15 +7,17 @@ Sets are kept in one global order, that of their shingle hashes. Texts with equa
    counted over all documents (map-side combined), those of one document drop out, and so do documents with fewer than
    ``need`` left. Most documents end here, and also those that share only a common passage.
 2. Keys. Of the r shingles that a document has left, the r - need + 1 rarest hold one that the partner has among its own
-   rarest, so pairs meet at these keys. Keys are not expanded into pairs: every member meets the smallest member of its
-   key first, linked members become one component, and a key with one component is done. In a few further turns, the
+   rarest, so pairs meet at these keys. Keys are not expanded into pairs of rows: every member meets the smallest member of
+   its key first, linked members become one component, and a key with one component is done. In a further turn, the
    smallest member outside the largest component of a key meets the members of other components. In the last turn,
-   all members outside a key's largest component meet all of other components; members are dealt in blocks, a block
-   of probes and a block of stored sets make a unit of work, and keys with the same members are one.
-3. The join of a unit. The stored sets make a trie, so sets with the same beginning share a path. Probes walk down
-   together, level by level; the overlap of a probe with a path is counted once for all sets below. A subtree is left when its
-   sizes cannot match, when all its sets are in the probe's component, or when the overlap plus the shingles that both sides
-   have left can no longer reach the similarity. At the end of a path the overlap is exact.
+   all members outside a key's largest component meet all of other components: members are dealt in blocks, keys with the
+   same members are one, and a task returns those pairs of two blocks whose sizes and parity bits allow the similarity
+   (bits that differ are as many members of one set only, at least).
+3. The join. A unit of work has the sets that a probe is to meet. They make a trie, so sets with the same beginning share
+   a path. All probes of a task walk down together, level by level; the overlap of a probe with a path is counted once for
+   all sets below. A subtree is left when its sizes cannot match, when all its sets are in the probe's component, or when the
+   overlap plus the shingles that both sides have left can no longer reach the similarity. At the end of a path the overlap is
+   exact.
 
 No pair is dropped but by these bounds, so every link between different sets is found or lies within a component.
 
@@ -35,13 +37,15 @@ from pyspark.sql import types as T
 
 from variascope.llm import bloom
 from variascope.llm.io import written
-from variascope.llm.near import shingles
+from variascope.llm.near import allowed, bitmaps, shingles
 from variascope.llm.words import lists, map_columns, mix, pack, ragged, slices
 from variascope.plans.components import components
 
-#: Shingles in a unit's probes or stored sets, and in one task; turns before the last one; path length of one step;
-#: states of a walk that are worked on at once.
-_BLOCK, _TASK, _TURNS, _SEGMENT, _STATES = 250_000, 1_000_000, 3, 32, 50_000
+BITS = [f"x{k}" for k in range(8)]
+#: Shingles in a unit's stored sets, and in one task; turns before the last one; path length of one step; states of a
+#: walk that are worked on at once; members of a key in a block of the last turn, and in one task.
+_BLOCK, _TASK, _TURNS, _SEGMENT, _STATES = 250_000, 1_000_000, 2, 32, 50_000
+_MEMBERS, _ROWS = 2_000, 50_000
 
 
 def slack(n, percent: int):
@@ -56,8 +60,9 @@ def smallest_partner(n, percent: int):
 
 
 def sketches(docs: DataFrame, *, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Written table (_id, n, p1, p2, low): set size, two sums that identify the set, its first shingles in global order."""
-    longs = ("n", "p1", "p2")
+    """Written table (_id, n, p1, p2, x0 .. x7, low): set size, two sums that identify the set, parity bits, and its first
+    shingles in global order."""
+    longs = ("n", "p1", "p2", *BITS)
     added = T.StructType([*[T.StructField(c, T.LongType()) for c in longs], T.StructField("low", T.ArrayType(T.LongType()))])
 
     def make(column):
@@ -69,11 +74,11 @@ def sketches(docs: DataFrame, *, key: str, text: str, size: int, percent: int) -
             sums = [np.concatenate([[0], np.cumsum(mix(values ^ np.uint64(salt)))]) for salt in (0, 0xA5A5A5A5A5A5A5A5)]
             prints = [(s.astype(np.uint64)[first[1:]] - s.astype(np.uint64)[first[:-1]]).view(np.int64) for s in sums]
             kept = np.where(n > 0, n - smallest_partner(n, percent) + slack(n, percent), 0)
-            parts.append((n, *prints, kept, values[ragged(first[:-1], kept)].view(np.int64)))
+            parts.append((n, *prints, *bitmaps(values, first).T, kept, values[ragged(first[:-1], kept)].view(np.int64)))
         if not parts:
             return [*[pa.array([], pa.int64()) for _ in longs], pa.array([], pa.list_(pa.int64()))]
-        n, p1, p2, kept, low = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        return [*(pa.array(v.astype(np.int64)) for v in (n, p1, p2)), lists(pa.array(low), kept)]
+        *facts, kept, low = (np.concatenate(v) for v in zip(*parts))
+        return [*(pa.array(v.astype(np.int64)) for v in facts), lists(pa.array(low), kept)]
 
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     return written(map_columns(rows, "_text", make, added, ["_id"]), "sketches")
@@ -270,33 +275,68 @@ def open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
     return written(named.join(major.drop("parts"), "token"), "open")
 
 
-def star_units(members: DataFrame, first: bool, percent: int) -> DataFrame:
-    """One member of each key meets the others: the smallest one, or the smallest outside the largest component."""
+def star_pairs(members: DataFrame, first: bool, percent: int) -> DataFrame:
+    """(a, na, ca, _id, n, c): one member of each key with the others: the smallest one, or the smallest outside the
+    largest component."""
     some = members if first else members.where("c <> major")
-    chosen = some.groupBy("token").agg(F.min("_id").alias("a")).join(members.select("token", F.col("_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), ["token", "a"])
+    own = members.select("token", F.col("_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    chosen = some.groupBy("token").agg(F.min("_id").alias("a")).join(own, ["token", "a"])
     fits = (F.col("c") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
-    pairs = written(members.join(chosen, "token").where(fits).select("a", "na", "ca", "_id", "n", "c").distinct(), "pairs")
-    parts = pairs.groupBy("a").agg((F.sum("n") / _BLOCK).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "a").withColumn("unit", F.xxhash64("a", F.pmod(F.xxhash64("_id"), F.col("parts") + 1)))
-    stored = dealt.select("unit", F.lit(False).alias("probe"), "_id", "n", "c")
-    probes = dealt.select("unit", F.lit(True).alias("probe"), F.col("a").alias("_id"), F.col("na").alias("n"), F.col("ca").alias("c")).distinct()
-    return stored.unionByName(probes)
+    return members.join(chosen, "token").where(fits).select("a", "na", "ca", "_id", "n", "c").distinct()
 
 
-def last_units(members: DataFrame) -> DataFrame:
-    """All members of each key outside its largest component meet all members, block by block."""
+def _fitting(table: pa.Table, percent: int) -> pa.Table:
+    """(a, na, ca, _id, n, c) of one task: pairs of a unit's probes and stored sets that sizes and parity bits allow."""
+    table = table.combine_chunks().sort_by("unit")
+    unit, n = table.column("unit").to_numpy(), table.column("n").to_numpy()
+    probing = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+    _, group = np.unique(table.column("c").to_numpy(zero_copy_only=False), return_inverse=True)
+    bits = np.stack([table.column(x).to_numpy() for x in BITS], axis=1).view(np.uint64)
+    cuts = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
+    found = [np.zeros((2, 0), np.int64)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        stored = a + np.flatnonzero(~probing[a:b])
+        for p in a + np.flatnonzero(probing[a:b]):
+            other = stored[group[stored] != group[p]]
+            both = n[other] + n[p]
+            apart = np.bitwise_count(bits[other] ^ bits[p]).sum(axis=1, dtype=np.int64)
+            other = other[(100 * np.minimum(n[other], n[p]) >= percent * np.maximum(n[other], n[p])) & (100 * (both - apart) >= percent * (both + apart))]
+            found.append(np.stack([np.full(len(other), p), other]))
+    sides = [table.take(pa.array(v)).select(["_id", "n", "c"]) for v in np.concatenate(found, axis=1)]
+    return pa.table([*sides[0].columns, *sides[1].columns], ["a", "na", "ca", "_id", "n", "c"])
+
+
+def last_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """(a, na, ca, _id, n, c): members of each key outside its largest component with all of other components."""
     prints = members.groupBy("token").agg(
         F.bit_xor(F.xxhash64("_id", "c")).alias("x"), F.bit_xor(F.xxhash64("c", "_id")).alias("y"), F.count(F.lit(1)).alias("m"), F.first("major").alias("z")
     )
     one = prints.groupBy("x", "y", "m", "z").agg(F.min("token").alias("token")).select("token")
     rows = members.join(one, "token", "left_semi").withColumn("few", F.col("c") != F.col("major"))
-    sizes = rows.groupBy("token").agg(*[(F.sum(F.when(w, F.col("n")).otherwise(0)) / _BLOCK).cast("int").alias(k) for k, w in (("i", F.col("few")), ("j", F.lit(True)))])
+    sizes = rows.groupBy("token").agg(*[(F.count_if(w) / _MEMBERS).cast("int").alias(k) for k, w in (("i", F.col("few")), ("j", F.lit(True)))])
     rows = rows.join(sizes, "token")
     own = {k: F.pmod(F.xxhash64("_id"), F.col(k) + 1).cast("int") for k in "ij"}
     every = {k: F.sequence(F.lit(0), F.col(k)) for k in "ij"}
     stored = rows.select("token", "_id", "n", "c", own["j"].alias("j"), F.explode(every["i"]).alias("i"), F.lit(False).alias("probe"))
     probes = rows.where("few").select("token", "_id", "n", "c", own["i"].alias("i"), F.explode(every["j"]).alias("j"), F.lit(True).alias("probe"))
-    return stored.unionByName(probes).select(F.xxhash64("token", "i", "j").alias("unit"), "probe", "_id", "n", "c")
+    units = written(stored.unionByName(probes).select(F.xxhash64("token", "i", "j").alias("unit"), "probe", "_id", "n", "c"), "members")
+    tasks = max(1, -(-units.count() // _ROWS))
+    rows = units.join(facts.select("_id", *BITS), "_id").withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
+    kinds = {c: members.schema[c].dataType.simpleString() for c in ("_id", "n", "c")}
+    schema = ", ".join(f"{name} {kinds[c]}" for name, c in zip(("a", "na", "ca", "_id", "n", "c"), ("_id", "n", "c") * 2))
+    return rows.groupBy("task").applyInArrow(lambda t: _fitting(t, percent), schema).distinct()
+
+
+def pair_units(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Units of the pairs that parity bits allow: a probe with sets that it meets, several units for a probe with many."""
+    named = {side: facts.select(F.col("_id").alias(to), *[F.col(x).alias(f"{side}{x}") for x in BITS]) for side, to in (("l", "a"), ("r", "_id"))}
+    near = pairs.join(named["l"], "a").join(named["r"], "_id").withColumns({"ln": F.col("na"), "rn": F.col("n")})
+    pairs = written(near.where(allowed("l", "r", percent)).select("a", "na", "ca", "_id", "n", "c"), "pairs")
+    parts = pairs.groupBy("a").agg((F.sum("n") / _BLOCK).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("unit", F.xxhash64("a", F.pmod(F.xxhash64("_id"), F.col("parts") + 1)))
+    stored = dealt.select("unit", F.lit(False).alias("probe"), "_id", "n", "c")
+    probes = dealt.select("unit", F.lit(True).alias("probe"), F.col("a").alias("_id"), F.col("na").alias("n"), F.col("ca").alias("c")).distinct()
+    return stored.unionByName(probes)
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
@@ -304,18 +344,20 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: i
     made = sketches(docs, key=key, text=text, size=size, percent=percent)
     least = made.where("n > 0 and _id is not null").groupBy("n", "p1", "p2").agg(F.min("_id").alias("_id"))
     least = written(least, "least")
-    same = written(made.join(least, ["_id", "n", "p1", "p2"], "left_semi").select("_id", "n", "low"), "classes")
+    same = written(made.join(least, ["_id", "n", "p1", "p2"], "left_semi").select("_id", "n", "low", *BITS), "classes")
     keys = matchable(same, percent)
     ids = written(keys.select("_id").distinct(), "ids")
     labels = ids.where("false").select("_id", F.col("_id").alias("c"))
     links = None
     if not ids.isEmpty():
         sets = full_sets(docs, ids, key=key, text=text, size=size)
+        facts = written(same.join(ids, "_id", "left_semi").select("_id", *BITS), "facts")
         for turn in range(_TURNS + 1):
             members = open_keys(keys, labels)
             if members.isEmpty():
                 break
-            found = joined(last_units(members) if turn == _TURNS else star_units(members, not turn, percent), sets, percent)
+            pairs = last_pairs(members, facts, percent) if turn == _TURNS else star_pairs(members, not turn, percent)
+            found = joined(pair_units(pairs, facts, percent), sets, percent)
             links = found if links is None else links.unionByName(found)
             ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
             labels = written(components(ends, links, vertex="v", a="a", b="b").select(F.col("v").alias("_id"), F.col("component").alias("c")), "labels")
