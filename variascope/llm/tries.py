@@ -89,17 +89,12 @@ def matchable(same: DataFrame, percent: int) -> DataFrame:
     need = slack(smallest_partner(F.col("n"), percent), percent)
     rows = same.select("_id", "n", F.explode("low").alias("token"))
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    hits = written(rows.join(common, "token").select("_id", "n", "token"), "hits")
-    for turn in range(2):  # documents that go make further shingles rare
-        enough = hits.groupBy("_id", "n").agg(F.count(F.lit(1)).alias("r")).where(F.col("r") >= need)
-        kept = hits.join(enough.select("_id", "r"), "_id")
-        counts = kept.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-        hits = written(kept.drop("r").join(counts, "token"), "hits")
-        hits = hits if turn else hits.drop("many")
-    order = Window.partitionBy("_id").orderBy("many", "token")
-    ranked = hits.withColumns({"k": F.row_number().over(order), "r": F.count(F.lit(1)).over(Window.partitionBy("_id"))})
-    keys = ranked.where(F.col("k") <= F.col("r") - need + 1).select("token", "_id", "n")
-    return written(keys, "keys")
+    mine = Window.partitionBy("_id")
+    hits = rows.join(common, "token").select("_id", "n", "token", "many")
+    ranked = hits.withColumns({"r": F.count(F.lit(1)).over(mine), "k": F.row_number().over(mine.orderBy("many", "token"))})
+    keys = written(ranked.where((F.col("r") >= need) & (F.col("k") <= F.col("r") - need + 1)).select("token", "_id", "n"), "ranked")
+    shared = keys.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    return written(keys.join(shared.select("token"), "token"), "keys")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, *, key: str, text: str, size: int) -> DataFrame:
@@ -356,6 +351,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: i
             members = open_keys(keys, labels)
             if members.isEmpty():
                 break
+            keys = members.select("token", "_id", "n")  # a key that is done stays so
             pairs = last_pairs(members, facts, percent) if turn == _TURNS else star_pairs(members, not turn, percent)
             found = joined(pair_units(pairs, facts, percent), sets, percent)
             links = found if links is None else links.unionByName(found)
