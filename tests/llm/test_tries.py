@@ -45,7 +45,7 @@ def rows_of(found):
     return sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
 
 
-@pytest.mark.parametrize("percent, size, turns, block, members", [(90, 3, 2, 250_000, 2000), (90, 3, 0, 500, 7), (70, 2, 1, 300, 10)])
+@pytest.mark.parametrize("percent, size, turns, block, members", [(90, 3, 1, 250_000, 2000), (90, 3, 0, 500, 7), (70, 2, 2, 300, 10)])
 def test_components(spark, monkeypatch, percent, size, turns, block, members):
     monkeypatch.setattr(tries, "_TURNS", turns)
     monkeypatch.setattr(tries, "_BLOCK", block)

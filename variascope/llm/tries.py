@@ -8,9 +8,8 @@ Sets are kept in one global order, that of their shingle hashes. Texts with equa
    ``need`` left. Most documents end here, and also those that share only a common passage.
 2. Keys. Of the r shingles that a document has left, the r - need + 1 rarest hold one that the partner has among its own
    rarest, so pairs meet at these keys. Keys are not expanded into pairs of rows: every member meets the smallest member of
-   its key first, linked members become one component, and a key with one component is done. In a further turn, the
-   smallest member outside the largest component of a key meets the members of other components. In the last turn,
-   all members outside a key's largest component meet all of other components: members are dealt in blocks, keys with the
+   its key first, linked members become one component, and a key with one component is done. In the last turn, all
+   members outside a key's largest component meet all of other components: members are dealt in blocks, keys with the
    same members are one, and a task returns those pairs of two blocks whose sizes and parity bits allow the similarity
    (bits that differ are as many members of one set only, at least).
 3. The join. A unit of work has the sets that a probe is to meet. They make a trie, so sets with the same beginning share
@@ -37,14 +36,15 @@ from pyspark.sql import types as T
 
 from variascope.llm import bloom
 from variascope.llm.io import written
-from variascope.llm.near import allowed, bitmaps, shingles
+from variascope.llm.near import shingles
 from variascope.llm.words import lists, map_columns, mix, pack, ragged, slices
 from variascope.plans.components import components
 
-BITS = [f"x{k}" for k in range(8)]
+#: Parity bits of a set.
+_PARITY = 2048
 #: Shingles in a unit's stored sets, and in one task; turns before the last one; path length of one step; states of a
 #: walk that are worked on at once; members of a key in a block of the last turn, and in one task.
-_BLOCK, _TASK, _TURNS, _SEGMENT, _STATES = 250_000, 1_000_000, 2, 32, 50_000
+_BLOCK, _TASK, _TURNS, _SEGMENT, _STATES = 250_000, 1_000_000, 1, 32, 50_000
 _MEMBERS, _ROWS = 2_000, 50_000
 
 
@@ -60,9 +60,8 @@ def smallest_partner(n, percent: int):
 
 
 def sketches(docs: DataFrame, *, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Written table (_id, n, p1, p2, x0 .. x7, low): set size, two sums that identify the set, parity bits, and its first
-    shingles in global order."""
-    longs = ("n", "p1", "p2", *BITS)
+    """Written table (_id, n, p1, p2, low): set size, two sums that identify the set, and its first shingles in global order."""
+    longs = ("n", "p1", "p2")
     added = T.StructType([*[T.StructField(c, T.LongType()) for c in longs], T.StructField("low", T.ArrayType(T.LongType()))])
 
     def make(column):
@@ -74,7 +73,7 @@ def sketches(docs: DataFrame, *, key: str, text: str, size: int, percent: int) -
             sums = [np.concatenate([[0], np.cumsum(mix(values ^ np.uint64(salt)))]) for salt in (0, 0xA5A5A5A5A5A5A5A5)]
             prints = [(s.astype(np.uint64)[first[1:]] - s.astype(np.uint64)[first[:-1]]).view(np.int64) for s in sums]
             kept = np.where(n > 0, n - smallest_partner(n, percent) + slack(n, percent), 0)
-            parts.append((n, *prints, *bitmaps(values, first).T, kept, values[ragged(first[:-1], kept)].view(np.int64)))
+            parts.append((n, *prints, kept, values[ragged(first[:-1], kept)].view(np.int64)))
         if not parts:
             return [*[pa.array([], pa.int64()) for _ in longs], pa.array([], pa.list_(pa.int64()))]
         *facts, kept, low = (np.concatenate(v) for v in zip(*parts))
@@ -97,20 +96,36 @@ def matchable(same: DataFrame, percent: int) -> DataFrame:
     return written(keys.join(shared.select("token"), "token"), "keys")
 
 
+def parity(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bit h of a row is the parity of its shingles that hash to h."""
+    rows = len(first) - 1
+    owner = np.repeat(np.arange(rows), np.diff(first))
+    odd = np.bincount(owner * _PARITY + (mix(values) >> np.uint64(32)).astype(np.int64) % _PARITY, minlength=rows * _PARITY) & 1
+    return np.packbits(odd.astype(bool).reshape(rows, _PARITY), axis=1).view(np.int64)
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, *, key: str, text: str, size: int) -> DataFrame:
-    """Written table (_id, tokens) of the documents in ``ids``: all shingles in global order."""
-    bits = bloom.bits_for(ids.count())
+    """Written table (_id, bits, tokens) of the documents in ``ids``: parity bits, and all shingles in global order."""
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col(key).isNotNull())
-    rows = bloom.flag(rows, "_id", bloom.present(ids, "_id", bits), bits, "_maybe").where("_maybe").select("_id", "_text")
-    rows = rows.join(ids, "_id", "left_semi").dropDuplicates(["_id"])
+    rows = among(rows, ids).dropDuplicates(["_id"])
+    longs = T.ArrayType(T.LongType())
 
     def make(column):
         data, offsets = pack(column)
         parts = [shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size) for i, j in slices(offsets)]
         values = np.concatenate([np.zeros(0, np.uint64), *[p[0] for p in parts]])
-        return [lists(pa.array(values.view(np.int64)), np.concatenate([np.zeros(0, np.int64), *[np.diff(p[1]) for p in parts]]))]
+        bits = np.concatenate([np.zeros((0, _PARITY // 64), np.int64), *[parity(*p) for p in parts]])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(p[1]) for p in parts]])
+        return [lists(pa.array(bits.ravel()), np.full(len(bits), _PARITY // 64)), lists(pa.array(values.view(np.int64)), sizes)]
 
-    return written(map_columns(rows, "_text", make, T.StructType([T.StructField("tokens", T.ArrayType(T.LongType()))]), ["_id"]), "sets")
+    return written(map_columns(rows, "_text", make, T.StructType([T.StructField("bits", longs), T.StructField("tokens", longs)]), ["_id"]), "sets")
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose _id is in ``ids`` (distinct): a Bloom filter of bounded size keeps most others from the shuffle."""
+    bits = bloom.bits_for(ids.count())
+    near = bloom.flag(rows, "_id", bloom.present(ids, "_id", bits), bits, "_maybe").where("_maybe").select(*rows.columns)
+    return near.join(ids, "_id", "left_semi")
 
 
 class Trie:
@@ -254,7 +269,8 @@ def joined(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     units = written(units, "units")
     total = units.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, -(-int(total) // _TASK))
-    rows = units.join(sets, "_id").withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
+    needed = among(sets.select("_id", "tokens"), units.select("_id").distinct())
+    rows = units.join(needed, "_id").withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
     kind = units.schema["_id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     rows = rows.select("task", "unit", "probe", "_id", "c", "tokens")
@@ -286,7 +302,7 @@ def _fitting(table: pa.Table, percent: int) -> pa.Table:
     unit, n = table.column("unit").to_numpy(), table.column("n").to_numpy()
     probing = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
     _, group = np.unique(table.column("c").to_numpy(zero_copy_only=False), return_inverse=True)
-    bits = np.stack([table.column(x).to_numpy() for x in BITS], axis=1).view(np.uint64)
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(unit), -1)
     cuts = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
     found = [np.zeros((2, 0), np.int64)]
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -316,7 +332,7 @@ def last_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     probes = rows.where("few").select("token", "_id", "n", "c", own["i"].alias("i"), F.explode(every["j"]).alias("j"), F.lit(True).alias("probe"))
     units = written(stored.unionByName(probes).select(F.xxhash64("token", "i", "j").alias("unit"), "probe", "_id", "n", "c"), "members")
     tasks = max(1, -(-units.count() // _ROWS))
-    rows = units.join(facts.select("_id", *BITS), "_id").withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
+    rows = units.join(facts, "_id").withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
     kinds = {c: members.schema[c].dataType.simpleString() for c in ("_id", "n", "c")}
     schema = ", ".join(f"{name} {kinds[c]}" for name, c in zip(("a", "na", "ca", "_id", "n", "c"), ("_id", "n", "c") * 2))
     return rows.groupBy("task").applyInArrow(lambda t: _fitting(t, percent), schema).distinct()
@@ -324,9 +340,10 @@ def last_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
 def pair_units(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Units of the pairs that parity bits allow: a probe with sets that it meets, several units for a probe with many."""
-    named = {side: facts.select(F.col("_id").alias(to), *[F.col(x).alias(f"{side}{x}") for x in BITS]) for side, to in (("l", "a"), ("r", "_id"))}
-    near = pairs.join(named["l"], "a").join(named["r"], "_id").withColumns({"ln": F.col("na"), "rn": F.col("n")})
-    pairs = written(near.where(allowed("l", "r", percent)).select("a", "na", "ca", "_id", "n", "c"), "pairs")
+    near = pairs.join(facts.select(F.col("_id").alias("a"), F.col("bits").alias("_l")), "a").join(facts.withColumnRenamed("bits", "_r"), "_id")
+    apart = F.expr("aggregate(zip_with(_l, _r, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    both = F.col("na") + F.col("n")
+    pairs = written(near.where(100 * (both - apart) >= percent * (both + apart)).select("a", "na", "ca", "_id", "n", "c"), "pairs")
     parts = pairs.groupBy("a").agg((F.sum("n") / _BLOCK).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").withColumn("unit", F.xxhash64("a", F.pmod(F.xxhash64("_id"), F.col("parts") + 1)))
     stored = dealt.select("unit", F.lit(False).alias("probe"), "_id", "n", "c")
@@ -339,14 +356,14 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: i
     made = sketches(docs, key=key, text=text, size=size, percent=percent)
     least = made.where("n > 0 and _id is not null").groupBy("n", "p1", "p2").agg(F.min("_id").alias("_id"))
     least = written(least, "least")
-    same = written(made.join(least, ["_id", "n", "p1", "p2"], "left_semi").select("_id", "n", "low", *BITS), "classes")
+    same = written(made.join(least, ["_id", "n", "p1", "p2"], "left_semi").select("_id", "n", "low"), "classes")
     keys = matchable(same, percent)
     ids = written(keys.select("_id").distinct(), "ids")
     labels = ids.where("false").select("_id", F.col("_id").alias("c"))
     links = None
     if not ids.isEmpty():
         sets = full_sets(docs, ids, key=key, text=text, size=size)
-        facts = written(same.join(ids, "_id", "left_semi").select("_id", *BITS), "facts")
+        facts = sets.select("_id", "bits")
         for turn in range(_TURNS + 1):
             members = open_keys(keys, labels)
             if members.isEmpty():
