@@ -5,9 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from variascope.plans.closure import ancestors
 from variascope.plans.components import components
-from variascope.plans.grid import dense_grid
+from variascope.plans.grid import filled
 from variascope.plans.intervals import interval_join, last_at_or_before, overlap_join
 from variascope.plans.packed import block_pairs, pack
 from variascope.plans.scan import islands, merge_intervals, numbered, running, value_ranks
@@ -82,20 +81,11 @@ def test_joins_equal_brute_force(spark):
         assert (r.s, r.j) == best
 
 
-def test_components_and_closure(spark):
+def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 3)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 12)], "v long")
     got = {r.v: r.component for r in components(nodes, edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 6: 1, 7: 1, 8: 1, 9: 1, 4: 4, 5: 5, 10: 10, 11: 11}
-    tree = spark.createDataFrame([(i, i // 2 if i > 1 else None) for i in range(1, 40)], "child long, parent long")
-    up = {(r.node, r.ancestor, r.steps) for r in ancestors(tree).collect()}
-    want = set()
-    for i in range(2, 40):
-        n, s = i // 2, 1
-        while n:
-            want.add((i, n, s))
-            n, s = n // 2, s + 1
-    assert up == want
 
 
 def test_packed_pairs(spark):
@@ -113,7 +103,7 @@ def test_packed_pairs(spark):
     assert len(got) == 36
 
 
-def test_numbering_ranks_and_grid(spark):
+def test_numbering_ranks_and_absent_pairs(spark):
     rnd = random.Random(6)
     rows = [("k", rnd.randrange(30)) for _ in range(100)]
     df = spark.createDataFrame(rows, "k string, v long")
@@ -123,5 +113,9 @@ def test_numbering_ranks_and_grid(spark):
     for r in value_ranks(df, keys=["k"], value="v").collect():
         assert r.below == sum(v < r.v for _, v in rows)
     a = spark.range(7).select(F.col("id").alias("x"))
-    b = spark.range(5).select(F.col("id").alias("y"))
-    assert len({(r.x, r.y) for r in dense_grid(a, b).collect()}) == 35
+    b = spark.range(11).select((F.col("id") * 3).cast("string").alias("y"))
+    there = a.where("x % 2 = 0").select("x", F.lit("9").alias("y"), F.lit(1).alias("v")).unionByName(a.where("x = 3").select("x", F.lit("0").alias("y"), F.lit(2).alias("v")))
+    for tile in (3, 100):
+        got = [(r.x, r.y, r.v) for r in filled(there, a, b, key="x", item="y", tile=tile).collect()]
+        assert sorted(got, key=str) == sorted([(x, str(y * 3), 1 if y == 3 and x % 2 == 0 else 2 if (x, y) == (3, 0) else None) for x in range(7) for y in range(11)], key=str)
+    assert filled(there, a, b.where("false"), key="x", item="y").count() == 5

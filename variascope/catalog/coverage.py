@@ -8,8 +8,6 @@ from variascope import bindings as b
 from variascope.bindings import N_HOURS, SITE_STEP, SQL_CELLS, SQL_COVERAGE, SQL_GENES, SQL_INTERVALS, SQL_SPAN
 from variascope.operators import coverage as v
 from variascope.operators import segments as g
-from variascope.plans.grid import dense_grid
-from variascope.plans.lineage import cut
 from variascope.registry import query
 
 R = F.round
@@ -238,15 +236,18 @@ def mg1_above(spark, sf):
 
 @query("mg1_runs_below", f'WITH {SQL_DAYS} SELECT sample, start, "end" FROM idleruns')
 def mg1_below(spark, sf):
-    grid = dense_grid(spark.range(30).select(F.col("id").alias("p")), users(spark, sf))
-    idle = grid.join(active_days(spark, sf), ["sample", "p"], "left_anti")
-    return g.runs(idle, F.lit(True), min_length=0, tile_width=7)
+    busy = g.runs(active_days(spark, sf), F.lit(True), min_length=0, tile_width=7)
+    return g.gaps(busy, users(spark, sf), 30, min_length=0)
 
 
-def z_and_gaps(spark, sf):
+def coverage_and_model(spark, sf):
     cov = b.coverage(spark, sf)
-    # The normalised matrix is used several times: computed once and stored, like a written table.
-    return cov, cut(v.double_zscore(cov, users(spark, sf), N_HOURS))
+    return cov, v.z_model(cov, users(spark, sf), N_HOURS)
+
+
+@query("mg1_z_runs_below", f'WITH {SQL_Z}, low AS (SELECT sample, min(p) AS start, max(p) + 1 AS "end" FROM (SELECT sample, p, p - row_number() OVER (PARTITION BY sample ORDER BY p) AS g FROM zs WHERE z < -150) GROUP BY sample, g) SELECT sample, start, "end" FROM low')
+def mg1_z_below(spark, sf):
+    return coverage_and_model(spark, sf)[1].runs(below=-150, min_length=0, tile_width=100)
 
 
 SQL_ZRUNS = SQL_Z + """,
@@ -274,10 +275,10 @@ hi AS (SELECT sample, min(p) AS start, max(p) + 1 AS "end" FROM
     WHERE b.best > 0 AND o.med = 0""",
 )
 def mg2(spark, sf):
-    cov, z = z_and_gaps(spark, sf)
-    cand = g.runs(z, F.col("z") < -150, min_length=4, tile_width=100)
+    cov, model = coverage_and_model(spark, sf)
+    cand = model.runs(below=-150, min_length=4, tile_width=100)
     return rounded(
-        g.deletion_filter(cand, z, cov, max_mean_z=-200, min_best_median=0, width=32), "mean_z"
+        g.deletion_filter(cand, model, cov, max_mean_z=-200, min_best_median=0, width=32), "mean_z"
     )
 
 
@@ -296,10 +297,10 @@ def mg2(spark, sf):
     WHERE mean_cov > 1.5 * m AND before * 1.25 <= first AND after * 1.25 <= last""",
 )
 def mg3(spark, sf):
-    cov, z = z_and_gaps(spark, sf)
-    cand = g.runs(z, F.col("z") > 500, min_length=0, tile_width=100)
+    cov, model = coverage_and_model(spark, sf)
+    cand = model.runs(above=500, min_length=0, tile_width=100)
     kept = g.amplification_filter(
-        cand, z, cov, v.mean_sd_above(cov, threshold=0), n_positions=N_HOURS, min_mean_z=600, times_mean=1.5,
+        cand, model, cov, v.mean_sd_above(cov, threshold=0), n_positions=N_HOURS, min_mean_z=600, times_mean=1.5,
         flank=12, edge_share=0.5, min_edge=1, width=32,
     )
     return rounded(kept, "mean_z", "mean_cov")

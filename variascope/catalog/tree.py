@@ -111,7 +111,7 @@ tip AS (SELECT child AS node FROM tree WHERE child NOT IN (SELECT parent FROM tr
 
 @query("tr5_tree_closure", f"WITH RECURSIVE {SQL_CLOSURE} SELECT node, ancestor, steps FROM up")
 def tr5(spark, sf):
-    return t.tree_closure(b.heap_tree(spark, sf))
+    return t.tree_closure(t.Tree(b.heap_tree(spark, sf)))
 
 
 def tip_sets(spark, sf, tree):
@@ -133,7 +133,7 @@ mr AS (SELECT cm.set_id, ancestor AS mrca, depth, n, row_number() OVER (PARTITIO
 )
 def tr5_mrca(spark, sf):
     tree = b.heap_tree(spark, sf)
-    return t.mrca(tip_sets(spark, sf, tree), t.tree_closure(tree))
+    return t.mrca(tip_sets(spark, sf, tree), t.Tree(tree))
 
 
 @query(
@@ -142,7 +142,7 @@ def tr5_mrca(spark, sf):
 )
 def tr5_tips(spark, sf):
     tree = b.heap_tree(spark, sf)
-    return t.tips_below(tree, t.tree_closure(tree))
+    return t.tips_below(tree, t.Tree(tree))
 
 
 @query(
@@ -150,8 +150,7 @@ def tr5_tips(spark, sf):
     f"WITH RECURSIVE {SQL_CLOSURE} SELECT node, depth, CAST(row_number() OVER (PARTITION BY depth ORDER BY node) AS INTEGER) AS place FROM dep",
 )
 def tr5_order(spark, sf):
-    tree = b.heap_tree(spark, sf)
-    return t.breadth_first_order(tree, t.tree_closure(tree))
+    return t.breadth_first_order(t.Tree(b.heap_tree(spark, sf)))
 
 
 SQL_CHANGES = SQL_NODE_CALLS + """,
@@ -186,12 +185,12 @@ def tr6_inner(spark, sf):
     pr AS (SELECT x.site, x.to_nt, x.node, y.node AS other FROM ch x JOIN ch y ON x.site = y.site AND x.to_nt = y.to_nt AND x.node <> y.node),
     pq AS (SELECT DISTINCT node, other FROM pr),
     ds AS (SELECT pq.node, pq.other, min(u.steps + v.steps) AS path FROM pq JOIN up u ON u.node = pq.node JOIN up v ON v.node = pq.other AND v.ancestor = u.ancestor GROUP BY 1, 2),
-    rk AS (SELECT pr.*, path, row_number() OVER (PARTITION BY pr.site, pr.to_nt, pr.node ORDER BY path) AS r FROM pr JOIN ds ON ds.node = pr.node AND ds.other = pr.other)
-    SELECT site, to_nt, node, path FROM rk WHERE r = 1""",
+    rk AS (SELECT pr.*, path, row_number() OVER (PARTITION BY pr.site, pr.to_nt, pr.node ORDER BY path, pr.other) AS r FROM pr JOIN ds ON ds.node = pr.node AND ds.other = pr.other)
+    SELECT site, to_nt, node, other AS nearest, path FROM rk WHERE r = 1""",
 )
 def tr7(spark, sf):
-    closure = t.tree_closure(b.heap_tree(spark, sf))
-    return t.homoplasy_nearest(changes(spark, sf), closure).select("site", "to_nt", "node", "path")
+    closure = t.tree_closure(t.Tree(b.heap_tree(spark, sf)))
+    return t.homoplasy_nearest(changes(spark, sf), closure).select("site", "to_nt", "node", "nearest", "path")
 
 
 @query(
@@ -228,23 +227,18 @@ SHARES_SQL = ", ".join(
 )
 def tr9(spark, sf):
     tree = b.heap_tree(spark, sf)
-    out = t.spectrum_per_subtree(changes(spark, sf), t.tree_closure(tree), tree)
+    out = t.spectrum_per_subtree(changes(spark, sf), t.Tree(tree), tree)
     return out.select("node", "total", *[R(x, 6).alias(x) for x in t.CLASSES])
 
 
-def genotype_sets(spark, sf, tree, closure):
+def genotype_sets(spark, sf, edges, tree):
     """Genotype per inner node of even nation: the tips below it, outside one segment."""
-    below = t.tips(tree).join(closure, "node")
-    segments = tree.select(F.col("child").alias("node"), "segment")
-    owners = tree.where("nation % 2 = 0").select(F.col("child").alias("ancestor"))
-    inner = tree.where("parent IS NOT NULL").select(F.col("parent").alias("ancestor")).distinct()
-    return (
-        below.join(owners, "ancestor", "left_semi")
-        .join(inner, "ancestor", "left_semi")
-        .join(segments, "node")
-        .where("segment <> 'BUILDING'")
-        .select(F.col("ancestor").alias("set_id"), "node")
-    )
+    segments = edges.where("segment <> 'BUILDING'").select(F.col("child").alias("node"))
+    inner = edges.where("parent IS NOT NULL").select(F.col("parent").alias("child")).distinct()
+    owners = edges.where("nation % 2 = 0").join(inner, "child", "left_semi").select(F.col("child").alias("set_id"))
+    spans = tree.nodes.select(F.col("node").alias("set_id"), F.col("enter").alias("_from"), F.col("exit").alias("_to")).join(owners, "set_id")
+    places = t.tips(edges).join(segments, "node").join(tree.nodes.select("node", "enter"), "node")
+    return t.interval_join(places, spans, point="enter", start="_from", end="_to", width=4096).select("set_id", "node")
 
 
 SQL_GENOTYPES = """sets AS (SELECT up.ancestor AS set_id, up.node FROM up JOIN tip ON tip.node = up.node JOIN tree o ON o.child = up.ancestor AND o.nation % 2 = 0
@@ -264,9 +258,9 @@ pa AS (SELECT bs.set_id, coalesce(CAST(l AS VARCHAR), parent) AS parent FROM bs
     f"WITH RECURSIVE {SQL_CLOSURE}, {SQL_GENOTYPES}, {SQL_PARENTS} SELECT set_id, parent FROM pa",
 )
 def tr10(spark, sf):
-    tree = b.heap_tree(spark, sf)
-    closure = t.cut(t.tree_closure(tree))
-    return t.closest_ancestor_genotype(genotype_sets(spark, sf, tree, closure), closure)
+    edges = b.heap_tree(spark, sf)
+    tree = t.Tree(edges)
+    return t.closest_ancestor_genotype(genotype_sets(spark, sf, edges, tree), tree)
 
 
 @query(

@@ -1,24 +1,30 @@
 """Coverage tables: candidate cells, normalisation, histograms, masks.
 
 Coverage is sparse, ``sample, p, cov`` with absent = 0. Statistics that need the zeros use the explicit
-genome length instead of materialised zero rows; the dense grid appears only where it is the result.
+genome length instead of materialised zero rows. Normalised coverage is kept as a model: a constant per sample, two moments
+per position and one value per covered cell give every cell of the matrix, and runs past a threshold are read off the steps of
+the position's bound without visiting the cells in between. Cells without reads appear only where they are the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variascope.operators.calls import COUNTS
-from variascope.plans.grid import dense_grid
+from variascope.plans.grid import filled
 from variascope.plans.intervals import interval_join
+from variascope.plans.lineage import cut
+from variascope.plans.scan import running
 
 
 def gather_cells(sites: DataFrame, samples: DataFrame, cells: DataFrame) -> DataFrame:
-    """Dense candidate table: every site with every sample, absent counts 0."""
-    grid = dense_grid(sites.select("p"), samples.select("sample"))
+    """Candidate table with every site of every sample, absent counts 0: cells at the sites, and rows for what is absent."""
     values = [c for c in cells.columns if c not in ("sample", "p")]
-    return grid.join(cells, ["p", "sample"], "left").fillna(0, subset=values)
+    there = cells.join(sites.select("p"), "p", "left_semi").join(samples.select("sample"), "sample", "left_semi")
+    return filled(there, samples.select("sample"), sites.select("p"), key="sample", item="p").fillna(0, subset=values)
 
 
 def coverage_per_base(cells: DataFrame) -> DataFrame:
@@ -37,15 +43,90 @@ def sample_moments(cov: DataFrame, samples: DataFrame, n_positions: int) -> Data
     )
 
 
-def double_zscore(cov: DataFrame, samples: DataFrame, n_positions: int) -> DataFrame:
-    """Dense integer matrix in long form: per-sample z, then per-position z over samples, times 1000, half-even.
+@dataclass
+class ZModel:
+    """Double z scores of all samples x positions without the matrix.
+
+    ``constants``: sample, mean, sd, z0 (first score of a position without reads). ``places``: p, m, s for every position, mean and
+    sd of the first scores over samples (s null if they do not vary). ``cells``: sample, p, z1 of covered cells.
+    The score of a cell is 1000 * (first score - m) / s, rounded half-even; 0 where s is null.
+    """
+
+    constants: DataFrame
+    places: DataFrame
+    cells: DataFrame
+    n_positions: int
+
+    def dense(self, *, tile: int = 1 << 16) -> DataFrame:
+        """(sample, p, z) of all cells."""
+        tiles = F.sequence(F.lit(0), F.lit((self.n_positions - 1) // tile))
+        parts = self.constants.select("sample", "z0", F.explode(tiles).alias("_t")).repartition("sample", "_t")
+        begin = F.col("_t").cast("long") * tile
+        rows = parts.select("sample", "z0", F.explode(F.sequence(begin, F.least(begin + tile, F.lit(self.n_positions)) - 1)).alias("p"))
+        rows = rows.join(self.places, "p").join(self.cells, ["sample", "p"], "left")
+        return rows.select("sample", "p", score(F.coalesce("z1", "z0")).alias("z"))
+
+    def runs(self, *, below: int | None = None, above: int | None = None, min_length: int, tile_width: int = 100_000, grain: int = 64) -> DataFrame:
+        """(sample, start, end) of the maximal runs, longer than ``min_length``, of scores below or above a negative or positive bound.
+
+        For a position without reads the test is a comparison of the sample's constant with a bound of the position, so a
+        sample enters or leaves a run where the bound steps over its constant: an interval join of constants and steps. Next
+        to covered cells the test is made itself.
+        """
+        sign, bound = (1, below) if below is not None else (-1, above)
+        if sign * bound >= 0:
+            raise ValueError("a run below needs a negative bound, one above a positive one")
+        # rounded score < bound, on the scale of first scores times sign
+        edge = sign * F.col("m") + F.col("s") * ((sign * bound - 0.5) / 1000)
+        lowest = F.lit(float("-inf"))
+        own = self.constants.select("sample", (F.col("z0") * sign).alias("c"))
+        span = own.agg(F.struct(F.min("c").alias("lo"), F.max("c").alias("hi")).alias("s"))
+        bounds = self.places.select("p", F.coalesce(edge, lowest).alias("edge"))
+        after = bounds.select((F.col("p") + 1).alias("p"), F.col("edge").alias("before"))
+        steps = cut(bounds.join(after, "p", "full").select("p", F.coalesce("before", lowest).alias("before"), F.coalesce("edge", lowest).alias("edge")))
+        # constants c with before <= c < edge enter at p, those with edge <= c < before leave: c < edge is the test
+        low, high = F.least("before", "edge"), F.greatest("before", "edge")
+        bins = F.sequence(
+            F.floor(F.greatest(low, F.col("_s.lo")) * grain), F.floor(F.least(high, F.col("_s.hi")) * grain)
+        )
+        reach = steps.withColumn("_s", span.scalar()).where((high > F.col("_s.lo")) & (low <= F.col("_s.hi")) & (low < high))
+        stepped = reach.withColumn("_b", F.explode(bins)).select("p", "before", "edge", "_b")
+        hit = own.withColumn("_b", F.floor(F.col("c") * grain)).join(stepped, "_b").where((F.col("c") >= low) & (F.col("c") < high))
+        model = hit.select("sample", "p", (F.col("edge") > F.col("before")).alias("opens"))
+        # both edges of covered cells
+        cells = self.cells.select("sample", "p", (F.col("z1") * sign).alias("c1"))
+        near = cells.select("sample", F.explode(F.array("p", F.col("p") + 1)).alias("p")).distinct()
+        left = cells.select("sample", (F.col("p") + 1).alias("p"), F.col("c1").alias("c0"))
+        tested = near.join(own, "sample").join(cells, ["sample", "p"], "left").join(left, ["sample", "p"], "left").join(steps, "p")
+        was, now = F.coalesce("c0", "c") < F.col("before"), F.coalesce("c1", "c") < F.col("edge")
+        exact = tested.where(was != now).select("sample", "p", now.alias("opens"))
+        edges = model.join(near, ["sample", "p"], "left_anti").unionByName(exact)
+        edges = edges.withColumn("_at", F.when(F.col("opens"), F.col("p")))
+        paired = running(edges, keys=["sample"], order="p", tile=F.floor(F.col("p") / tile_width), values={"start": ("max", "_at", True)})
+        ends = paired.where(~F.col("opens")).select("sample", "start", F.col("p").alias("end"))
+        return ends.where(F.col("end") - F.col("start") > min_length)
+
+    def means(self, regions: DataFrame) -> DataFrame:
+        """Mean score of each (sample, start, end): only the positions of regions are visited."""
+        inside = regions.select("sample", "start", "end").join(self.constants.select("sample", "z0"), "sample")
+        inside = inside.withColumn("p", F.explode(F.sequence("start", F.col("end") - 1)))
+        rows = inside.join(self.places, "p").join(self.cells, ["sample", "p"], "left")
+        return rows.groupBy("sample", "start", "end").agg(F.avg(score(F.coalesce("z1", "z0"))).alias("mean_z"))
+
+
+def score(first: Column) -> Column:
+    return F.coalesce(F.bround((first - F.col("m")) / F.col("s") * 1000, 0), F.lit(0.0)).cast("long")
+
+
+def z_model(cov: DataFrame, samples: DataFrame, n_positions: int) -> ZModel:
+    """Per-sample z over all positions, then per-position z over samples.
 
     Position moments come from the covered cells alone: a zero cell of a sample has the constant z0 of that sample,
     so sums over samples are the sum of all z0 plus corrections from covered cells.
     """
     moments = sample_moments(cov, samples, n_positions)
     z0 = F.when(F.col("sd") > 0, -F.col("mean") / F.col("sd")).otherwise(F.lit(0.0))
-    moments = moments.withColumn("z0", z0)
+    moments = cut(moments.withColumn("z0", z0))
     totals = moments.agg(
         F.struct(F.sum("z0").alias("a"), F.sum(F.col("z0") * F.col("z0")).alias("b"), F.count(F.lit(1)).alias("n")).alias("t")
     ).scalar()
@@ -56,17 +137,16 @@ def double_zscore(cov: DataFrame, samples: DataFrame, n_positions: int) -> DataF
         F.sum(F.col("z1") - F.col("z0")).alias("d1"),
         F.sum(F.col("z1") * F.col("z1") - F.col("z0") * F.col("z0")).alias("d2"),
     )
-    spark = cov.sparkSession
-    grid = dense_grid(spark.range(n_positions).select(F.col("id").alias("p")), moments.select("sample", "z0"))
-    rows = (
-        grid.join(shifts, "p", "left")
-        .join(covered.select("sample", "p", "z1"), ["sample", "p"], "left")
-        .withColumn("_t", totals)
-    )
+    rows = cov.sparkSession.range(n_positions).select(F.col("id").alias("p")).join(shifts, "p", "left").withColumn("_t", totals)
     mean = (F.col("_t.a") + F.coalesce("d1", F.lit(0.0))) / F.col("_t.n")
     var = (F.col("_t.b") + F.coalesce("d2", F.lit(0.0))) / F.col("_t.n") - mean * mean
-    z2 = F.when(var > 1e-12, (F.coalesce("z1", "z0") - mean) / F.sqrt(var)).otherwise(F.lit(0.0))
-    return rows.select("sample", "p", F.bround(z2 * 1000, 0).cast("long").alias("z"))
+    places = cut(rows.select("p", mean.alias("m"), F.when(var > 1e-12, F.sqrt(var)).alias("s")))
+    return ZModel(moments, places, covered.select("sample", "p", "z1"), n_positions)
+
+
+def double_zscore(cov: DataFrame, samples: DataFrame, n_positions: int) -> DataFrame:
+    """The integer matrix in long form."""
+    return z_model(cov, samples, n_positions).dense()
 
 
 def depth_histogram(cov: DataFrame, samples: DataFrame, n_positions: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from variascope.plans.grid import dense_grid
+from variascope.operators.coverage import ZModel
+from variascope.plans.grid import filled
 from variascope.plans.intervals import interval_join
 from variascope.plans.lineage import cut
 from variascope.plans.scan import islands, merge_intervals, place_intervals
@@ -20,6 +21,19 @@ def runs(rows: DataFrame, past: Column, *, min_length: int = 750, tile_width: in
     )
 
 
+def gaps(covered: DataFrame, samples: DataFrame, n_positions: int, *, min_length: int = 750) -> DataFrame:
+    """Maximal stretches of [0, n_positions) longer than ``min_length`` outside each sample's runs (sample, start, end).
+
+    A gap lies between neighbouring runs, so uncovered positions need no rows. The numbers of a sample's runs bound its window.
+    """
+    ends = samples.select("sample", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).distinct()
+    rows = covered.select("sample", "start", "end").unionByName(ends)
+    following = F.lead("start").over(Window.partitionBy("sample").orderBy("end", "start"))
+    return rows.select("sample", F.col("end").alias("start"), F.coalesce(following, F.lit(n_positions).cast("long")).alias("end")).where(
+        F.col("end") - F.col("start") > min_length
+    )
+
+
 def region_medians(cov: DataFrame, regions: DataFrame, *, width: int, salt: int) -> DataFrame:
     """Median depth of every covered sample in every distinct region (absent positions count as 0)."""
     spans = regions.select("start", "end").distinct()
@@ -37,7 +51,7 @@ def region_medians(cov: DataFrame, regions: DataFrame, *, width: int, salt: int)
 
 def deletion_filter(
     candidates: DataFrame,
-    z: DataFrame,
+    model: ZModel,
     cov: DataFrame,
     *,
     max_mean_z: float = -1000,
@@ -47,8 +61,7 @@ def deletion_filter(
 ) -> DataFrame:
     """Keep runs with a low mean z, some sample with real coverage there, and an own median of exactly 0."""
     keys = ["sample", "start", "end"]
-    own = interval_join(z, candidates, point="p", start="start", end="end", on=["sample"], width=width)
-    low = own.groupBy(*keys).agg(F.avg("z").alias("mean_z")).where(F.col("mean_z") < max_mean_z)
+    low = model.means(candidates).where(F.col("mean_z") < max_mean_z)
     # The own median is 0 exactly when more than half of the positions are uncovered: a count, checked first.
     wet = interval_join(cov.where("cov > 0"), low, point="p", start="start", end="end", on=["sample"], width=width)
     wet = wet.groupBy(*keys).agg(F.count(F.lit(1)).alias("_wet"))
@@ -61,7 +74,7 @@ def deletion_filter(
 
 def amplification_filter(
     candidates: DataFrame,
-    z: DataFrame,
+    model: ZModel,
     cov: DataFrame,
     sample_stats: DataFrame,
     *,
@@ -80,8 +93,7 @@ def amplification_filter(
     One join of raw depth on the flank-extended region yields all five window sums. A region without a full left
     flank, or without any base to its right, has no defined step and is dropped.
     """
-    own = interval_join(z, candidates, point="p", start="start", end="end", on=["sample"], width=width)
-    high = own.groupBy("sample", "start", "end").agg(F.avg("z").alias("mean_z")).where(F.col("mean_z") > min_mean_z)
+    high = model.means(candidates).where(F.col("mean_z") > min_mean_z)
     edge = F.greatest(
         ((F.col("end") - F.col("start")) * edge_share).cast("long"), F.lit(min_edge).cast("long")
     )
@@ -172,8 +184,9 @@ def region_profile(
         F.sum(F.when(F.col("cov") >= 1, F.col("n")).otherwise(0)).alias("wet"),
         F.percentile("cov", F.lit(0.5), F.col("n")).alias("median"),
     )
-    grid = dense_grid(length, sample_stats.select("sample", "mean"))
-    rows = grid.join(stats, ["region", "sample"], "left").fillna(0, ["depth", "wet", "median"])
+    there = stats.join(sample_stats.select("sample"), "sample", "left_semi")
+    rows = filled(there, sample_stats, regions, key="sample", item="region").fillna(0, ["depth", "wet", "median"])
+    rows = rows.join(length, "region").join(sample_stats.select("sample", "mean"), "sample")
     safe = F.nullif(F.col("mean"), F.lit(0.0))
     return rows.select(
         "region",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from variascope.plans.closure import ancestors
+from variascope.plans.euler import along_path
 
 
 def unpivot_samples(wide: DataFrame, *, ids: Sequence[str], samples: Sequence[str]) -> DataFrame:
@@ -135,34 +135,29 @@ def interp_grid(knots: DataFrame, *, keys: Sequence[str], points: int, log_space
 
 
 def nested_share(values: DataFrame, parents: DataFrame, *, root: str = "root") -> DataFrame:
-    """Child frequencies scaled into their parent; the parent keeps the remainder; walked from the root down.
+    """Child frequencies scaled into their parent; the parent keeps the remainder.
 
-    values: mutation, g, value (raw, root included). parents: mutation, parent. One join per tree level.
+    values: mutation, g, value (raw, root included). parents: mutation, parent. A child of value v takes
+    v * min(1, x / kids) of a parent with share x whose children sum to ``kids``, that is min(a, b x). Such functions compose to
+    one of their kind, so those on the way to the root are folded by pointer doubling, whatever the depth.
     """
-    edges = parents.select(F.col("mutation").alias("child"), F.when(F.col("parent") != root, F.col("parent")).alias("parent"))
-    depth = ancestors(edges).groupBy("node").agg((F.max("steps") + 1).alias("depth"))
-    levels = parents.join(depth.select(F.col("node").alias("mutation"), "depth"), "mutation", "left").select(
-        "mutation", "parent", F.coalesce("depth", F.lit(1).cast("long")).alias("depth")
+    raw = values.join(parents, "mutation")
+    kids = raw.groupBy("parent", "g").agg(F.sum("value").alias("kids"))
+    part = F.coalesce(F.col("value") / F.nullif(F.col("kids"), F.lit(0.0)), F.lit(0.0))
+    rows = raw.join(kids, ["parent", "g"]).select(
+        "mutation", "g", F.when(F.col("parent") != root, F.col("parent")).alias("up"), F.struct(F.col("value").alias("a"), part.alias("b")).alias("f")
     )
-    n_levels = levels.agg(F.max("depth")).first()[0]
-    raw = values.join(levels, "mutation")
-    current = values.where(F.col("mutation") == root).select("mutation", "g", F.lit(1.0).alias("share"))
-    done = None
-    for level in range(1, int(n_levels) + 1):
-        kids = raw.where(F.col("depth") == level)
-        sums = kids.groupBy("parent", "g").agg(F.sum("value").alias("kids"))
-        base = current.join(sums, (current["mutation"] == sums["parent"]) & (current["g"] == sums["g"]), "left").select(
-            current["mutation"], current["g"], "share", F.coalesce("kids", F.lit(0.0)).alias("kids")
-        )
-        rest = F.greatest(F.col("share") - F.col("kids"), F.lit(0.0))
-        total = rest + F.col("kids")
-        factor = F.when(total > 0, F.col("share") / total).otherwise(0.0)
-        base = base.withColumn("factor", factor).withColumn("left", rest * factor)
-        settled = base.select("mutation", "g", F.col("left").alias("share"))
-        done = settled if done is None else done.unionByName(settled)
-        scale = base.select(F.col("mutation").alias("parent"), "g", "factor")
-        current = kids.join(scale, ["parent", "g"]).select("mutation", "g", (F.col("value") * F.col("factor")).alias("share"))
-    return done.unionByName(current)
+
+    def compose(own: Column, above: Column) -> Column:
+        return F.struct(F.least(own["a"], own["b"] * above["a"]).alias("a"), (own["b"] * above["b"]).alias("b"))
+
+    whole = along_path(rows, node="mutation", up="up", values={"f": compose}, keys=["g"])
+    shares = whole.select("mutation", "g", F.least("f.a", "f.b").alias("share")).unionByName(
+        values.where(F.col("mutation") == root).select("mutation", "g", F.lit(1.0).alias("share"))
+    )
+    below = kids.select(F.col("parent").alias("mutation"), "g", "kids")
+    left = F.greatest(F.col("share") - F.coalesce("kids", F.lit(0.0)), F.lit(0.0))
+    return shares.join(below, ["mutation", "g"], "left").select("mutation", "g", left.alias("share"))
 
 
 def fit_check(observed: DataFrame, grid: DataFrame, *, key: str = "mutation") -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from variascope.functions.bases import BASES
-from variascope.plans.closure import ancestors
 from variascope.plans.components import components
+from variascope.plans.euler import Tree, along_path
+from variascope.plans.intervals import interval_join
 from variascope.plans.lineage import cut
 from variascope.plans.neighbours import PLANES, linked, nearest, pair_counts
 from variascope.plans.packed import block_pairs, pack
+from variascope.plans.scan import numbered
 
 
 def _packed(calls: DataFrame, samples: DataFrame, *, n_sites: int, group: Sequence[str]) -> DataFrame:
@@ -119,18 +121,11 @@ def distance_histogram(pairs: DataFrame, *, fine_to: int = 30, coarse: int = 50,
     return pairs.groupBy(*keys, low.alias("bin")).agg((F.sum(n) if n else F.count(F.lit(1))).alias("n"))
 
 
-def with_self(closure: DataFrame, nodes: DataFrame) -> DataFrame:
-    own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("steps"))
-    return closure.select("node", "ancestor", "steps").unionByName(own)
-
-
-def tree_closure(tree: DataFrame) -> DataFrame:
-    """(node, ancestor, steps) with steps from 0 (the node itself)."""
-    return with_self(ancestors(tree), tree.select(F.col("child").alias("node")))
-
-
-def depth_of(closure: DataFrame) -> DataFrame:
-    return closure.groupBy("node").agg(F.max("steps").alias("depth"))
+def tree_closure(tree: Tree, *, width: int = 4096) -> DataFrame:
+    """(node, ancestor, steps) with steps from 0 (the node itself): every node with the intervals that it lies in."""
+    over = tree.nodes.select(F.col("node").alias("ancestor"), F.col("depth").alias("_over"), F.col("enter").alias("_from"), F.col("exit").alias("_to"))
+    inside = interval_join(tree.nodes.select("node", "depth", "enter"), over, point="enter", start="_from", end="_to", width=width)
+    return inside.select("node", "ancestor", (F.col("depth") - F.col("_over")).alias("steps"))
 
 
 def tips(tree: DataFrame) -> DataFrame:
@@ -138,29 +133,23 @@ def tips(tree: DataFrame) -> DataFrame:
     return tree.join(inner, "child", "left_anti").select(F.col("child").alias("node"))
 
 
-def mrca(sets: DataFrame, closure: DataFrame) -> DataFrame:
-    """Most recent common ancestor of every set (``set_id``, ``node``): the deepest node above all members."""
-    size = sets.groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
-    common = sets.join(closure, "node").groupBy("set_id", "ancestor").agg(F.count(F.lit(1)).alias("k"))
-    depth = depth_of(closure).select(F.col("node").alias("ancestor"), "depth")
-    return (
-        common.join(size, "set_id")
-        .where("k = n")
-        .join(depth, "ancestor")
-        .groupBy("set_id")
-        .agg(F.max(F.struct("depth", "ancestor")).alias("m"), F.max("n").alias("n"))
-        .select("set_id", F.col("m.ancestor").alias("mrca"), F.col("m.depth").alias("depth"), F.col("n").alias("n_tips"))
-    )
+def mrca(sets: DataFrame, tree: Tree) -> DataFrame:
+    """Most recent common ancestor of every set (``set_id``, ``node``): that of its first and its last node in depth-first order."""
+    placed = sets.join(tree.nodes.select("node", "enter"), "node")
+    ends = placed.groupBy("set_id").agg(F.min_by("node", "enter").alias("_a"), F.max_by("node", "enter").alias("_b"), F.count(F.lit(1)).alias("n_tips"))
+    return tree.meeting(ends, first="_a", last="_b").where("mrca IS NOT NULL").select("set_id", "mrca", "depth", "n_tips")
 
 
-def tips_below(tree: DataFrame, closure: DataFrame) -> DataFrame:
-    return closure.join(tips(tree), "node", "left_semi").groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_tips"))
+def tips_below(edges: DataFrame, tree: Tree) -> DataFrame:
+    ones = tips(edges).withColumn("n_tips", F.lit(1).cast("long"))
+    return tree.subtree_sums(ones, ["n_tips"]).select(F.col("node").alias("ancestor"), "n_tips")
 
 
-def breadth_first_order(tree: DataFrame, closure: DataFrame) -> DataFrame:
-    """(node, depth, place in its level). The level is the partition; ties by node name."""
-    level = Window.partitionBy("depth").orderBy("node")
-    return depth_of(closure).withColumn("place", F.row_number().over(level))
+def breadth_first_order(tree: Tree, *, tile_width: int = 1 << 16) -> DataFrame:
+    """(node, depth, place in its level), by node number in the level; a level is numbered in tiles."""
+    nodes = tree.nodes.select("node", "depth")
+    placed = numbered(nodes, keys=["depth"], order=[F.col("node")], tile=F.floor(F.col("node") / tile_width))
+    return placed.select("node", "depth", F.col("rn").cast("int").alias("place"))
 
 
 def edge_changes(tree: DataFrame, node_calls: DataFrame, *, skip_tips: bool = False) -> DataFrame:
@@ -256,49 +245,34 @@ def folded_class(from_nt: Column, to_nt: Column) -> Column:
     return out
 
 
-def spectrum_per_subtree(changes: DataFrame, closure: DataFrame, tree: DataFrame) -> DataFrame:
+def spectrum_per_subtree(changes: DataFrame, tree: Tree, edges: DataFrame) -> DataFrame:
     """Folded substitution counts and shares summed over each internal node's subtree.
 
-    Changes are counted per (node, class) before they meet the closure.
+    Changes are counted per node and class; subtree sums are differences of running sums along the depth-first order.
     """
-    per_node = changes.groupBy("node", folded_class(F.col("from_nt"), F.col("to_nt")).alias("cls")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    inner = tree.where(F.col("parent").isNotNull()).select(F.col("parent").alias("ancestor")).distinct()
-    wide = (
-        per_node.join(closure.select("node", "ancestor"), "node")
-        .groupBy("ancestor")
-        .pivot("cls", list(CLASSES))
-        .agg(F.sum("n"))
-    )
-    rows = inner.join(wide, "ancestor", "left").fillna(0, list(CLASSES))
+    cls = folded_class(F.col("from_nt"), F.col("to_nt"))
+    per_node = changes.withColumn("cls", cls).groupBy("node").agg(*[F.count_if(F.col("cls") == c).alias(c) for c in CLASSES])
+    inner = edges.where(F.col("parent").isNotNull()).select(F.col("parent").alias("node")).distinct()
+    rows = tree.subtree_sums(per_node, CLASSES).join(inner, "node", "left_semi")
     total = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
     return rows.select(
-        F.col("ancestor").alias("node"),
+        "node",
         total.cast("long").alias("total"),
         *[F.when(total > 0, F.col(c) / total).otherwise(F.lit(0.0)).alias(c) for c in CLASSES],
     )
 
 
-def closest_ancestor_genotype(sets: DataFrame, closure: DataFrame, *, root: str = "root") -> DataFrame:
+def closest_ancestor_genotype(sets: DataFrame, tree: Tree, *, root: str = "root") -> DataFrame:
     """Parent genotype of every genotype (set_id, node): the one whose MRCA is the deepest proper ancestor.
 
     Siblings are refined: a genotype whose carriers are a proper subset of a sibling's becomes that sibling's child
     (the smallest such sibling). Containment is counted over shared carriers, so unrelated genotypes never meet.
     """
-    found = mrca(sets, closure)
-    up = closure.where("steps > 0").select(F.col("node").alias("mrca"), F.col("ancestor"))
-    above = (
-        found.select("set_id", "mrca")
-        .join(up, "mrca")
-        .join(found.select(F.col("mrca").alias("ancestor"), F.col("set_id").alias("cand"), F.col("depth").alias("d")), "ancestor")
-        .groupBy("set_id")
-        .agg(F.min(F.struct((-F.col("d")).alias("nd"), "cand")).alias("m"))
-        .select("set_id", F.col("m.cand").cast("string").alias("parent"))
-    )
-    base = found.select("set_id", "n_tips").join(above, "set_id", "left").select(
-        "set_id", "n_tips", F.coalesce("parent", F.lit(root)).alias("parent")
-    )
+    found = cut(mrca(sets, tree))
+    first = found.groupBy(F.col("mrca").alias("above")).agg(F.min("set_id").cast("string").alias("parent"))
+    above = tree.marked_above(found.select(F.col("mrca").alias("node"))).where("above IS NOT NULL").join(first, "above")
+    base = found.select("set_id", "n_tips", "mrca").join(above.select(F.col("node").alias("mrca"), "parent"), "mrca", "left")
+    base = base.select("set_id", "n_tips", F.coalesce("parent", F.lit(root)).alias("parent"))
     tagged = sets.join(base, "set_id")
     small = tagged.select("node", "parent", F.col("set_id").alias("s"), F.col("n_tips").alias("ns"))
     large = tagged.select("node", "parent", F.col("set_id").alias("l"), F.col("n_tips").alias("nl"))
@@ -317,15 +291,9 @@ def closest_ancestor_genotype(sets: DataFrame, closure: DataFrame, *, root: str
 
 def genotype_chain(parents: DataFrame, *, root: str = "root") -> DataFrame:
     """Label of a genotype: all genotypes on the way from the root, joined in that order."""
-    edges = parents.select(
-        F.col("set_id").cast("string").alias("child"), F.when(F.col("parent") != root, F.col("parent")).alias("parent")
-    )
-    closure = with_self(ancestors(edges), edges.select(F.col("child").alias("node")))
-    return closure.groupBy(F.col("node").alias("set_id")).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("k"), "ancestor"))), lambda x: x["ancestor"]), "; "
-        ).alias("chain")
-    )
+    own = F.col("set_id").cast("string")
+    rows = parents.select(own.alias("set_id"), F.when(F.col("parent") != root, F.col("parent")).alias("parent"), own.alias("chain"))
+    return along_path(rows, node="set_id", up="parent", values={"chain": lambda mine, above: F.concat(above, F.lit("; "), mine)})
 
 
 def linked_mutations(carriers: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variascope.plans.lineage import cut
+from variascope.plans.lineage import stored
 
 
 def components(
@@ -18,12 +18,12 @@ def components(
 ) -> DataFrame:
     """(vertex, component) with component = smallest vertex of the component; singletons included."""
     both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where(F.col(a) != F.col(b))
-    both = cut(
+    both = stored(
         both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         .distinct()
         .withColumn("_salt", F.pmod(F.xxhash64("dst"), F.lit(salt)).cast("int"))
     )
-    labels = cut(vertices.select(F.col(vertex).alias("v")).distinct().withColumn("label", F.col("v")))
+    labels = stored(vertices.select(F.col(vertex).alias("v")).distinct().withColumn("label", F.col("v")))
     for _ in range(rounds):
         offered = (
             both.join(
@@ -39,7 +39,7 @@ def components(
             "v", "label", F.least("label", F.coalesce("offer", "label")).alias("low")
         )
         jump = lowered.select(F.col("v").alias("low"), F.col("low").alias("further"))
-        step = cut(
+        step = stored(
             lowered.join(jump, "low", "left").select(
                 "v", F.coalesce("further", "low").alias("new"), "label"
             )

@@ -1,7 +1,7 @@
-"""Dense grids (every left row with every right row) as balanced equi-joins.
+"""Rows for absent pairs, where a table of every key with every item is the result.
 
-Used only where the dense table is the result itself. Both sides are cut into blocks; the join key is the
-(left block, right block) pair, so work spreads evenly and no side has to fit in one task.
+The present rows go in as they are. Items are numbered, every key lists the numbers that it lacks by stretches, and only those
+become rows, so nothing is joined that is there already. Keys are cut into tiles of numbers, so a key is no single task.
 """
 
 from __future__ import annotations
@@ -9,12 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from variascope.plans.lineage import cut
 
-def dense_grid(left: DataFrame, right: DataFrame, *, left_blocks: int = 8, right_blocks: int = 8) -> DataFrame:
-    a = left.withColumn("_lb", F.pmod(F.xxhash64(*left.columns), F.lit(left_blocks)).cast("int")).withColumn(
-        "_rb", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1)))
-    )
-    b = right.withColumn("_rb", F.pmod(F.xxhash64(*right.columns), F.lit(right_blocks)).cast("int")).withColumn(
-        "_lb", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)))
-    )
-    return a.join(b, ["_lb", "_rb"]).select(*left.columns, *right.columns)
+TILE = 1 << 12
+
+
+def filled(rows: DataFrame, keys: DataFrame, items: DataFrame, *, key: str, item: str, tile: int = TILE) -> DataFrame:
+    """``rows`` (unique in key and item, both among the given ones) plus a row of nulls for each pair that they lack."""
+    spread = items.select(item).distinct().withColumn("_part", F.spark_partition_id())
+    spread = cut(spread)
+    counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
+    earlier = counts.select(F.col("_part").alias("_q"), "_m").collect()  # one row per partition
+    starts, total = {}, 0
+    for part, many in sorted((r["_q"], r["_m"]) for r in earlier):
+        starts[part], total = total, total + many
+    if not total:
+        return rows
+    offset = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("_part")]
+    numbered = cut(spread.withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + offset).select(item, "_k"))
+    have = rows.select(key, item).join(numbered, item).groupBy(key, F.floor(F.col("_k") / tile).alias("_tile")).agg(F.collect_set("_k").alias("_have"))
+    tiles = keys.select(key).distinct().withColumn("_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((total - 1) // tile).cast("long"))))
+    numbers = F.sequence(F.col("_tile") * tile, F.least((F.col("_tile") + 1) * tile, F.lit(total)) - 1)
+    lacking = tiles.join(have, [key, "_tile"], "left").select(key, F.explode(F.array_except(numbers, F.coalesce("_have", F.array().cast("array<bigint>")))).alias("_k"))
+    absent = lacking.join(numbered, "_k").select(key, item)
+    return rows.unionByName(absent, allowMissingColumns=True)

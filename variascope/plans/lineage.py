@@ -34,3 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder named by ``spark.checkpoint.dir``."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a new Parquet table in the shared folder, for loops that join a table with itself.
+
+    A checkpoint keeps the size estimate of the plan behind it, and a join multiplies estimates, so after a dozen rounds the
+    optimizer would spend its time on multiplying numbers of a million digits. A table that is read back has its own size.
+    """
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
