@@ -290,8 +290,8 @@ def star_pairs(members: DataFrame, first: bool, percent: int) -> DataFrame:
     """(a, na, ca, _id, n, c): one member of each key with the others: the smallest one, or the smallest outside the
     largest component."""
     some = members if first else members.where("c <> major")
-    own = members.select("token", F.col("_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    chosen = some.groupBy("token").agg(F.min("_id").alias("a")).join(own, ["token", "a"])
+    chosen = some.groupBy("token").agg(F.min(F.struct("_id", "n", "c")).alias("m"))
+    chosen = chosen.select("token", F.col("m._id").alias("a"), F.col("m.n").alias("na"), F.col("m.c").alias("ca"))
     fits = (F.col("c") != F.col("ca")) & (100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
     return members.join(chosen, "token").where(fits).select("a", "na", "ca", "_id", "n", "c").distinct()
 
@@ -365,7 +365,8 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: i
         sets = full_sets(docs, ids, key=key, text=text, size=size)
         facts = sets.select("_id", "bits")
         for turn in range(_TURNS + 1):
-            members = open_keys(keys, labels)
+            # at first every document is a component
+            members = open_keys(keys, labels) if turn else keys.withColumns({"c": F.col("_id"), "major": F.col("_id")})
             if members.isEmpty():
                 break
             keys = members.select("token", "_id", "n")  # a key that is done stays so
