@@ -41,6 +41,8 @@ from variascope.llm.words import NOT_SPACE, lists, lower, map_columns, mix, ngra
 from variascope.plans.components import components
 
 _SMALL = 64
+#: Bytes of text whose shingles are worked on at once.
+_SLICE = 1 << 18
 _BITS = [f"x{k}" for k in range(8)]
 
 
@@ -114,7 +116,7 @@ def sketches(docs: DataFrame, *, key: str, text: str, size: int, pieces: int) ->
     def make(column):
         data, offsets = pack(column)
         parts = []
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, _SLICE):
             values, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
             parts.append((np.diff(first), *signatures(values, first, pieces), bitmaps(values, first)))
         if not parts:
@@ -136,15 +138,17 @@ def candidates(classes: DataFrame, pieces: int) -> tuple[DataFrame, DataFrame]:
         .select("_id", "n", "i", "u", F.posexplode("v").alias("j", "w"))
         .select(F.xxhash64("i", "j", "u", "w").alias("key"), "_id", "n")
     )
-    member = F.struct("_id", "n")
-    groups = written(
-        keys.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count(F.lit(1)).alias("many")).where("many > 1"), "groups"
-    )
-    two = groups.where("many = 2").select(F.col("low._id").alias("a"), F.col("high._id").alias("b"), F.col("low.n").alias("na"), F.col("high.n").alias("nb"))
-    crowded = groups.where("many > 2")
+    # plain minima and maxima of ids are hash aggregates; set sizes of the few ids that remain are looked up
+    ends = [F.min("_id").alias("low"), F.max("_id").alias("high"), F.count(F.lit(1)).alias("many")]
+    groups = written(keys.groupBy("key").agg(*ends).where("many > 1"), "groups")
+    sizes = classes.select("_id", "n")
+    low, high = (sizes.withColumnsRenamed({"_id": end, "n": n}) for end, n in (("low", "na"), ("high", "nb")))
+    two = groups.where("many = 2").select("low", "high").distinct().join(low, "low").join(high, "high")
+    two = two.select(F.col("low").alias("a"), F.col("high").alias("b"), "na", "nb")
+    crowded = groups.where("many > 2").select("key", "low")
     bits = bloom.bits_for(crowded.count())
     near = bloom.flag(keys, "key", bloom.present(crowded, "key", bits), bits, "_maybe").where("_maybe").drop("_maybe")
-    members = written(near.join(crowded.select("key", F.col("low._id").alias("a"), F.col("low.n").alias("na")), "key"), "members")
+    members = written(near.join(crowded.join(low, "low").select("key", F.col("low").alias("a"), "na"), "key"), "members")
     star = members.where("a <> _id").select("a", F.col("_id").alias("b"), "na", F.col("n").alias("nb"))
     return two.unionByName(star).distinct(), members.select("key", "_id", "n")
 
@@ -168,7 +172,7 @@ def verified(pairs: DataFrame, docs: DataFrame, *, key: str, text: str, size: in
             left, right = (pack(batch.column(k)) for k in (2, 3))
             good = np.zeros(batch.num_rows, bool)
             sizes = np.append(0, np.cumsum(np.diff(left[1]) + np.diff(right[1])))
-            for i, j in slices(sizes):
+            for i, j in slices(sizes, _SLICE):
                 sets = [shingles(d[o[i] : o[j]], o[i : j + 1] - o[i], size) for d, o in (left, right)]
                 for r in range(j - i):
                     x, y = (v[f[r] : f[r + 1]] for v, f in sets)
@@ -211,7 +215,7 @@ def recurring(docs: DataFrame, ids: DataFrame, *, key: str, text: str, size: int
     def run(batches):
         for batch in batches:
             data, offsets = pack(batch.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, _SLICE):
                 values, first = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 owner = np.repeat(np.arange(i, j), np.diff(first))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], ["_id", "h"])

@@ -365,8 +365,8 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: i
         sets = full_sets(docs, ids, key=key, text=text, size=size)
         facts = sets.select("_id", "bits")
         for turn in range(_TURNS + 1):
-            # at first every document is a component
-            members = open_keys(keys, labels) if turn else keys.withColumns({"c": F.col("_id"), "major": F.col("_id")})
+            # before the first links every document is a component
+            members = open_keys(keys, labels) if turn or turn == _TURNS else keys.withColumns({"c": F.col("_id"), "major": F.col("_id")})
             if members.isEmpty():
                 break
             keys = members.select("token", "_id", "n")  # a key that is done stays so
