@@ -374,9 +374,9 @@ def rc3(spark, sf):
     "rc4_mask_recomb_intervals",
     """WITH iv AS (SELECT o_orderkey % 5000 AS s, o_orderkey % 5000 + o_custkey % 6 AS e, o_custkey % 100 AS t1, (o_custkey * 3 + 1) % 100 AS t2 FROM orders),
     tx AS (SELECT s, e, t1 AS sample FROM iv UNION ALL SELECT s, e, t2 FROM iv),
-    c AS (SELECT l_suppkey % 100 AS sample, l_partkey % 40 AS p, max(l_linenumber) AS call FROM lineitem GROUP BY 1, 2)
+    c AS (SELECT l_suppkey % 100 AS sample, l_orderkey * 7 % 5000 AS p, max(l_linenumber) AS call FROM lineitem GROUP BY 1, 2)
     SELECT sample, p, CASE WHEN hit THEN NULL ELSE call END AS call, hit AS recombinant FROM (
-      SELECT c.*, EXISTS (SELECT 1 FROM tx WHERE tx.sample = c.sample AND c.p + (c.p // 20) * 5 >= s AND c.p + (c.p // 20) * 5 < e) AS hit FROM c)""",
+      SELECT c.*, EXISTS (SELECT 1 FROM tx WHERE tx.sample = c.sample AND c.p + (c.p // 2500) * 5 >= s AND c.p + (c.p // 2500) * 5 < e) AS hit FROM c)""",
 )
 def rc4(spark, sf):
     orders = b.table(spark, sf, "orders")
@@ -384,10 +384,10 @@ def rc4(spark, sf):
     intervals = orders.select(
         (F.col("o_orderkey") % 5000).alias("start"), (F.col("o_orderkey") % 5000 + F.col("o_custkey") % 6).alias("end"), taxa.alias("taxa")
     )
-    calls = b.table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 100).alias("sample"), (F.col("l_partkey") % 40).alias("p")).agg(
+    calls = b.table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 100).alias("sample"), (F.col("l_orderkey") * 7 % 5000).alias("p")).agg(
         F.max("l_linenumber").alias("call")
     )
-    named = calls.select(F.col("sample").cast("string").alias("sample"), "p", "call", (F.floor(F.col("p") / 20) + 1).alias("contig_idx"))
+    named = calls.select(F.col("sample").cast("string").alias("sample"), "p", "call", (F.floor(F.col("p") / 2500) + 1).alias("contig_idx"))
     out = rc.mask_recomb_intervals(named, intervals, None, padding=5, width=16)
     return out.select(F.col("sample").cast("long").alias("sample"), "p", "call", "recombinant")
 

@@ -170,28 +170,31 @@ def ev9_values(spark, sf):
     return out.select("gene", "n_events", *[R(c, 6).alias(c) for c in ("p_ge", "p_gt", "p_gt_binom")])
 
 
-SQL_COMBINED = """snv AS (SELECT l_partkey AS gene, l_orderkey AS p, count(*) AS events FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
-ind AS (SELECT unnest([l_partkey, l_suppkey]) AS gene, l_orderkey AS p, 1 + l_linenumber % 2 AS events FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45),
+SQL_COMBINED = """snv AS (SELECT l_partkey AS gene, l_orderkey AS p, count(*) AS events, any_value(p_name) AS name, any_value(p_brand) AS product
+  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber % 2 = 1 GROUP BY 1, 2),
+ind AS (SELECT unnest([l_partkey, l_suppkey]) AS gene, l_orderkey AS p, 1 + l_suppkey % 2 AS events, p_name AS name, p_brand AS product
+  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber % 2 = 0),
 al AS (SELECT * FROM snv UNION ALL SELECT * FROM ind),
-comb AS (SELECT gene, CAST(sum(events) AS BIGINT) AS n_events FROM al GROUP BY 1)"""
+comb AS (SELECT gene, CAST(sum(events) AS BIGINT) AS n_events, first(name ORDER BY p, name, product) AS name, first(product ORDER BY p, name, product) AS product
+  FROM al GROUP BY 1)"""
 
 
 def combined(spark, sf):
     li = b.table(spark, sf, "lineitem")
     part = b.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("product"))
-    snvs = li.where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("gene"), F.col("l_orderkey").alias("p")).agg(
+    snvs = li.where("l_linenumber % 2 = 1").groupBy(F.col("l_partkey").alias("gene"), F.col("l_orderkey").alias("p")).agg(
         F.count(F.lit(1)).alias("events")
     ).join(part, F.col("gene") == F.col("p_partkey"))
-    indels = li.where("l_returnflag = 'A' AND l_quantity > 45").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    indels = li.where("l_linenumber % 2 = 0").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.array("l_partkey", "l_suppkey").alias("genes"), F.col("l_orderkey").alias("p"),
-        F.array_repeat(F.lit("x"), 1 + F.col("l_linenumber") % 2).alias("alts"), "name", "product",
+        F.array_repeat(F.lit("x"), (1 + F.col("l_suppkey") % 2).cast("int")).alias("alts"), "name", "product",
     )
     return e.combined_gene_counts(snvs, indels)
 
 
-@query("ev10_combined_gene_counts", f"WITH {SQL_COMBINED} SELECT gene, n_events FROM comb")
+@query("ev10_combined_gene_counts", f"WITH {SQL_COMBINED} SELECT gene, n_events, name, product FROM comb")
 def ev10(spark, sf):
-    return combined(spark, sf).select("gene", "n_events")
+    return combined(spark, sf)
 
 
 SQL_DNDS = """gn AS (SELECT l_partkey AS gene, count(*) FILTER (l_linenumber % 3 <> 0) AS a, count(*) FILTER (l_linenumber % 3 = 0) AS s, (max(p_size) + 40) / 100.0::DOUBLE AS p, avg(l_discount) AS support

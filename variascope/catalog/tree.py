@@ -274,17 +274,22 @@ def tr10_chain(spark, sf):
     return t.genotype_chain(t.cut(tr10(spark, sf)))
 
 
-@query(
-    "tr11_linked_mutations",
-    """WITH s AS (SELECT p_partkey AS mutation, list_sort(list(DISTINCT l_suppkey % 4)) AS samples FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
-    SELECT array_to_string(samples, ',') AS samples, min(mutation) AS first, string_agg(CAST(mutation AS VARCHAR), '; ' ORDER BY mutation) AS members, count(*) AS n FROM s GROUP BY samples""",
-)
+SQL_LINKED = """s AS (SELECT l_partkey AS mutation, list_sort(list(DISTINCT l_suppkey % 4)) AS samples FROM lineitem GROUP BY 1),
+lm AS (SELECT mutation, samples, min(mutation) OVER (PARTITION BY samples) AS first, count(*) OVER (PARTITION BY samples) AS n FROM s)"""
+
+
+def carriers(spark, sf):
+    return b.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("mutation"), (F.col("l_suppkey") % 4).alias("sample"))
+
+
+@query("tr11_linked_mutations", f"WITH {SQL_LINKED} SELECT mutation, first, n FROM lm")
 def tr11(spark, sf):
-    carriers = b.table(spark, sf, "lineitem").select(
-        F.col("l_partkey").alias("mutation"), (F.col("l_suppkey") % 4).alias("sample")
-    )
-    out = t.linked_mutations(carriers)
-    return out.select(F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"), "first", "members", "n")
+    return t.linked_mutations(carriers(spark, sf))
+
+
+@query("tr11_linked_carriers", f"WITH {SQL_LINKED} SELECT first, n, unnest(samples) AS sample FROM lm WHERE mutation = first")
+def tr11_carriers(spark, sf):
+    return t.linked_carriers(carriers(spark, sf), t.linked_mutations(carriers(spark, sf)))
 
 
 @query(

@@ -37,6 +37,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
 
 def beta_inc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function."""
+    if math.isnan(a + b + x):
+        return math.nan
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
@@ -49,6 +51,8 @@ def beta_inc(a: float, b: float, x: float) -> float:
 
 def gamma_inc(a: float, x: float) -> float:
     """Regularised lower incomplete gamma function."""
+    if math.isnan(a + x):
+        return math.nan
     if x <= 0.0:
         return 0.0
     lead = math.exp(a * math.log(x) - x - math.lgamma(a))
@@ -65,6 +69,8 @@ def gamma_inc(a: float, x: float) -> float:
 
 def gamma_upper(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function; keeps its digits far out in the tail."""
+    if math.isnan(a + x):
+        return math.nan
     if x < a + 1.0:
         return 1.0 - gamma_inc(a, x)
     b = x + 1.0 - a

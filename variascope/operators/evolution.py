@@ -135,7 +135,7 @@ def combined_gene_counts(snvs: DataFrame, indels: DataFrame) -> DataFrame:
     more = indels.select(
         F.explode("genes").alias("gene"), "p", F.size("alts").cast("long").alias("events"), "name", "product"
     )
-    first = F.min_by(F.struct("name", "product"), F.struct("p", "name"))
+    first = F.min_by(F.struct("name", "product"), F.struct("p", "name", "product"))
     rows = snvs.select("gene", "p", F.col("events").cast("long").alias("events"), "name", "product").unionByName(more)
     return rows.where(F.col("gene").isNotNull()).groupBy("gene").agg(
         F.sum("events").alias("n_events"), first.alias("f")

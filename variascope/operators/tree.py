@@ -297,13 +297,23 @@ def genotype_chain(parents: DataFrame, *, root: str = "root") -> DataFrame:
 
 
 def linked_mutations(carriers: DataFrame) -> DataFrame:
-    """Mutations carried by exactly the same samples, collapsed to one row (first mutation, members, carriers)."""
-    sets = carriers.groupBy("mutation").agg(F.array_sort(F.collect_set("sample")).alias("samples"))
-    return sets.groupBy("samples").agg(
-        F.min("mutation").alias("first"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("mutation")), lambda m: m.cast("string")), "; ").alias("members"),
-        F.count(F.lit(1)).alias("n"),
+    """(mutation, first, n): mutations carried by exactly the same samples share their smallest one and their number.
+
+    A set of samples is known by its size and two order-free sums of 64-bit hashes, so neither carriers nor members are
+    collected, however many share a set.
+    """
+    prints = carriers.select("mutation", "sample").distinct().groupBy("mutation").agg(
+        F.count(F.lit(1)).alias("_k"), F.bit_xor(F.xxhash64("sample")).alias("_x"), F.bit_xor(F.xxhash64("sample", F.lit(1))).alias("_y")
     )
+    key = ["_k", "_x", "_y"]
+    groups = prints.groupBy(*key).agg(F.min("mutation").alias("first"), F.count(F.lit(1)).alias("n"))
+    return prints.join(groups, key).select("mutation", "first", "n")
+
+
+def linked_carriers(carriers: DataFrame, linked: DataFrame) -> DataFrame:
+    """(first, n, sample): the samples of each group of linked mutations, read off its first mutation."""
+    heads = linked.where("mutation = first").select("mutation", "n")
+    return carriers.select("mutation", "sample").distinct().join(heads, "mutation").select(F.col("mutation").alias("first"), "n", "sample")
 
 
 def substitution_spectrum(observed: DataFrame) -> DataFrame:
