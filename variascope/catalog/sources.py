@@ -236,17 +236,24 @@ TAGS = [f"T{i}" for i in range(5)]
 
 @query(
     "src13_read_cluster_file",
-    """WITH m AS (SELECT event_id, user_id, event_type = 'signup' AS h, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) AS cluster FROM events),
-    g AS (SELECT cluster, user_id % 5 AS tag, string_agg('T' || user_id % 5 || '_' || lpad(CAST(event_id AS VARCHAR), 7, '0'), ',' ORDER BY event_id) AS s FROM m WHERE NOT h GROUP BY 1, 2)
-    SELECT cluster, """ + ", ".join(f"coalesce(max(s) FILTER (tag = {i}), 'NA') AS T{i}" for i in range(5)) + " FROM g GROUP BY 1",
+    """WITH m AS (SELECT event_id, event_id // 2000 AS file, user_id, event_type = 'signup' AS h,
+      CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY event_id // 2000 ORDER BY event_id) AS BIGINT) AS cluster FROM events),
+    g AS (SELECT file, cluster, user_id % 5 AS tag, string_agg('T' || user_id % 5 || '_' || lpad(CAST(event_id AS VARCHAR), 7, '0'), ',' ORDER BY event_id) AS s
+      FROM m WHERE NOT h GROUP BY 1, 2, 3)
+    SELECT file, cluster, """ + ", ".join(f"coalesce(max(s) FILTER (tag = {i}), 'NA') AS T{i}" for i in range(5)) + " FROM g GROUP BY 1, 2",
 )
 def src13(spark, sf):
-    ev = b.table(spark, sf, "events")
+    """Cluster files of 2000 lines, written and read back."""
+    ev = b.table(spark, sf, "events").withColumn("file", F.floor(F.col("event_id") / 2000))
     line = F.when(F.col("event_type") == "signup", F.concat(F.lit(">Cluster "), "event_id")).otherwise(
         F.concat(F.lit("0\t101aa, >T"), F.col("user_id") % 5, F.lit("_"), F.lpad(F.col("event_id").cast("string"), 7, "0"), F.lit("... *"))
     )
-    lines = ev.select(F.lit("f").alias("file"), F.col("event_id").alias("line_no"), line.alias("value"))
-    return t.cluster_table(t.parse_clusters(lines, tile=1000), tags=TAGS)
+    path = scratch(spark)
+    ordered = ev.repartition("file").sortWithinPartitions("file", "event_id")
+    ordered.select("file", line.alias("value")).write.partitionBy("file").text(path)
+    members = t.read_cluster_file(spark, path, tile=700)
+    number = F.regexp_extract("file", "file=([0-9]+)", 1).cast("long")
+    return t.cluster_table(members, tags=TAGS, keys=["file", "cluster"]).withColumn("file", number)
 
 
 @query(

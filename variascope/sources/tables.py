@@ -234,14 +234,17 @@ def parse_clusters(lines: DataFrame, *, tile: int = 100_000) -> DataFrame:
     ).where(F.col("gene") != "")
 
 
-def cluster_table(members: DataFrame, *, tags: Sequence[str]) -> DataFrame:
-    """One row per cluster, one column per genome tag, several genes of a genome joined by comma, NA when absent."""
-    wide = members.groupBy("cluster").pivot("tag", list(tags)).agg(F.array_join(F.array_sort(F.collect_list("gene")), ","))
-    return wide.select("cluster", *[F.coalesce(F.nullif(F.col(t), F.lit("")), F.lit("NA")).alias(t) for t in tags])
+def cluster_table(members: DataFrame, *, tags: Sequence[str], keys: Sequence[str] = ("cluster",)) -> DataFrame:
+    """One row per cluster, one column per genome tag, several genes of a genome joined by comma, NA when absent.
+
+    Clusters of several files are told apart by ``keys`` = file and cluster.
+    """
+    wide = members.groupBy(*keys).pivot("tag", list(tags)).agg(F.array_join(F.array_sort(F.collect_list("gene")), ","))
+    return wide.select(*keys, *[F.coalesce(F.nullif(F.col(t), F.lit("")), F.lit("NA")).alias(t) for t in tags])
 
 
-def read_cluster_file(spark: SparkSession, path: str) -> DataFrame:
-    return parse_clusters(numbered_lines(spark, path))
+def read_cluster_file(spark: SparkSession, path: str, *, tile: int = 100_000) -> DataFrame:
+    return parse_clusters(numbered_lines(spark, path), tile=tile)
 
 
 # Report lines that repeat what is computed from the contigs, or that are headings.
