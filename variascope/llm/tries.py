@@ -9,7 +9,7 @@ Sets are kept in one global order, that of their shingle hashes. Texts with equa
 2. Keys. Of the r shingles that a document has left, the r - need + 1 rarest hold one that the partner has among its own
    rarest, so pairs meet at these keys. Keys are not expanded into pairs of rows: every member meets the smallest member of
    its key first, linked members become one component, and a key with one component is done. In the last turn, all
-   members outside a key's largest component meet all of other components: members are dealt in blocks, keys with the
+   members outside a key's first component meet all of other components: members are dealt in blocks, keys with the
    same members are one, and a task returns those pairs of two blocks whose sizes and parity bits allow the similarity
    (bits that differ are as many members of one set only, at least).
 3. The join. A unit of work has the sets that a probe is to meet. They make a trie, so sets with the same beginning share
@@ -86,10 +86,10 @@ def sketches(docs: DataFrame, *, key: str, text: str, size: int, percent: int) -
 def matchable(same: DataFrame, percent: int) -> DataFrame:
     """Written keys (token, _id, n): pairs of the classes ``same`` (_id, n, low) that can be similar have one in common."""
     need = slack(smallest_partner(F.col("n"), percent), percent)
-    rows = same.select("_id", "n", F.explode("low").alias("token"))
+    rows = same.select("_id", F.explode("low").alias("token"))
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     mine = Window.partitionBy("_id")
-    hits = rows.join(common, "token").select("_id", "n", "token", "many")
+    hits = rows.join(common, "token").join(same.select("_id", "n"), "_id")
     ranked = hits.withColumns({"r": F.count(F.lit(1)).over(mine), "k": F.row_number().over(mine.orderBy("many", "token"))})
     keys = written(ranked.where((F.col("r") >= need) & (F.col("k") <= F.col("r") - need + 1)).select("token", "_id", "n"), "ranked")
     shared = keys.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -105,9 +105,10 @@ def parity(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, *, key: str, text: str, size: int) -> DataFrame:
-    """Written table (_id, bits, tokens) of the documents in ``ids``: parity bits, and all shingles in global order."""
+    """Written table (_id, bits, tokens) of the documents in ``ids``, and a few more: parity bits, and all shingles in global
+    order. Texts are not shuffled: a Bloom filter of the ids of bounded size finds them where they are read."""
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col(key).isNotNull())
-    rows = among(rows, ids).dropDuplicates(["_id"])
+    rows = maybe_among(rows, ids)
     longs = T.ArrayType(T.LongType())
 
     def make(column):
@@ -123,9 +124,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, *, key: str, text: str, size: int
 
 def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """``rows`` whose _id is in ``ids`` (distinct): a Bloom filter of bounded size keeps most others from the shuffle."""
+    return maybe_among(rows, ids).join(ids, "_id", "left_semi")
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose _id is in ``ids``, and some others."""
     bits = bloom.bits_for(ids.count())
-    near = bloom.flag(rows, "_id", bloom.present(ids, "_id", bits), bits, "_maybe").where("_maybe").select(*rows.columns)
-    return near.join(ids, "_id", "left_semi")
+    return bloom.flag(rows, "_id", bloom.present(ids, "_id", bits), bits, "_maybe").where("_maybe").select(*rows.columns)
 
 
 class Trie:
@@ -279,16 +284,16 @@ def joined(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_keys(keys: DataFrame, labels: DataFrame) -> DataFrame:
-    """Written members (token, _id, n, c, major) of the keys with two components or more; ``major`` is the largest one."""
+    """Written members (token, _id, n, c, major) of the keys with two components or more; ``major`` is the first of them, which the
+    smallest member has gathered."""
     named = keys.join(labels, "_id", "left").withColumn("c", F.coalesce("c", "_id"))
-    sizes = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
-    major = sizes.groupBy("token").agg(F.max_by("c", "m").alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return written(named.join(major.drop("parts"), "token"), "open")
+    ends = named.groupBy("token").agg(F.min("c").alias("major"), F.max("c").alias("_last")).where("major <> _last")
+    return written(named.join(ends.drop("_last"), "token"), "open")
 
 
 def star_pairs(members: DataFrame, first: bool, percent: int) -> DataFrame:
     """(a, na, ca, _id, n, c): one member of each key with the others: the smallest one, or the smallest outside the
-    largest component."""
+    first component."""
     some = members if first else members.where("c <> major")
     chosen = some.groupBy("token").agg(F.min(F.struct("_id", "n", "c")).alias("m"))
     chosen = chosen.select("token", F.col("m._id").alias("a"), F.col("m.n").alias("na"), F.col("m.c").alias("ca"))
@@ -318,7 +323,7 @@ def _fitting(table: pa.Table, percent: int) -> pa.Table:
 
 
 def last_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """(a, na, ca, _id, n, c): members of each key outside its largest component with all of other components."""
+    """(a, na, ca, _id, n, c): members of each key outside its first component with all of other components."""
     prints = members.groupBy("token").agg(
         F.bit_xor(F.xxhash64("_id", "c")).alias("x"), F.bit_xor(F.xxhash64("c", "_id")).alias("y"), F.count(F.lit(1)).alias("m"), F.first("major").alias("z")
     )
