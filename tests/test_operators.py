@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from variascope.functions import tails
 from variascope.operators import annotate, assay, calls, reads, tree
 from variascope.sources import fasta, tables
 
+from tests import scalar_tails as tails
+
 
 def test_tails():
     assert tails.normal_sf(1.959963984540054) == pytest.approx(0.025, abs=1e-9)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from variascope import bindings as b
+from variascope.catalog import distributions as dist
 from variascope.operators import assay as a
 from variascope.operators import clinical as c
 from variascope.registry import query
@@ -318,6 +319,18 @@ def st1(spark, sf):
     return out.select("stratum", "g1", "g2", "n1", "n2", "u", R("z", 6).alias("z"))
 
 
+@query(
+    "st1_mann_whitney_p",
+    f"""WITH {SQL_MW}, zs AS (SELECT u.stratum, u.g1, u.g2, greatest(abs(u - a.k * b.k / 2.0) - 0.5, 0) / sqrt(a.k * b.k / 12.0 * ((a.k + b.k + 1) - ties / ((a.k + b.k) * (a.k + b.k - 1.0)))) AS z
+      FROM u JOIN n a ON a.stratum = u.stratum AND a.arm = g1 JOIN n b ON b.stratum = u.stratum AND b.arm = g2 JOIN t ON t.stratum = u.stratum AND t.g1 = u.g1 AND t.g2 = u.g2),
+    ps AS (SELECT *, {dist.normal_two_sided("z")} AS p FROM zs)
+    SELECT stratum, g1, g2, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars FROM ps""",
+)
+def st1_p(spark, sf):
+    out = a.mann_whitney(arms(spark, sf), strata=["stratum"], group="arm", value="x")
+    return out.select("stratum", "g1", "g2", R("p", 6).alias("p"), "stars")
+
+
 # ---- clinical ----
 
 SQL_STAY = """bd AS (SELECT o_custkey AS patient, coalesce(min(o_orderdate) FILTER (o_orderpriority = '1-URGENT'), min(o_orderdate) FILTER (o_orderpriority = '2-HIGH'), min(o_orderdate)) AS first_day FROM orders GROUP BY 1),

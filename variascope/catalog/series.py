@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from variascope import bindings as b
+from variascope.catalog import distributions as dist
 from variascope.operators import clock as c
 from variascope.operators import series as s
 from variascope.registry import query
@@ -62,6 +63,18 @@ def cl2(spark, sf):
     )
 
 
+@query(
+    "cl2_linear_fit_interval",
+    f"""WITH RECURSIVE {SQL_ISOLATES}, ft AS (SELECT subject, count(*) - 2 AS df, regr_slope(rate, days_since_first) AS slope,
+      sqrt(greatest(regr_syy(rate, days_since_first) - regr_slope(rate, days_since_first) * regr_sxy(rate, days_since_first), 0) / (count(*) - 2) / regr_sxx(rate, days_since_first)) AS se FROM clock GROUP BY 1 HAVING count(*) > 2),
+    tv AS (SELECT *, slope / se AS t FROM ft), {dist.t_quantiles("ft", 0.05)}
+    SELECT subject, round({dist.t_two_sided("t", "tv.df")}, 6) AS p_value, round((slope - q * se) * 365 * 1e6, 4) AS rate_low, round((slope + q * se) * 365 * 1e6, 4) AS rate_high FROM tv JOIN tq ON tq.df = tv.df""",
+)
+def cl2_interval(spark, sf):
+    fit = c.linear_fit(clock(spark, sf), x="days_since_first", y="rate", by=["subject"])
+    return fit.where("n > 2").select("subject", R("p_value", 6).alias("p_value"), R("rate_low", 4).alias("rate_low"), R("rate_high", 4).alias("rate_high"))
+
+
 @query(
     "cl3_tmrca_point",
     f"""WITH {SQL_ISOLATES} SELECT subject, days_since_first // 365 AS time, count(*) AS n, round(avg(rate), 8) AS mean, round(avg(rate) * 365 * 1e6 / 2.5e6, 4) AS age,
@@ -73,6 +86,18 @@ def cl3(spark, sf):
     )
 
 
+@query(
+    "cl3_tmrca_interval",
+    f"""WITH RECURSIVE {SQL_ISOLATES}, ms AS (SELECT subject, days_since_first // 365 AS time, count(*) - 1 AS df, avg(rate) AS m, stddev_samp(rate) / sqrt(count(*)) AS se FROM clock GROUP BY 1, 2 HAVING count(*) >= 10),
+    {dist.t_quantiles("ms", 0.05)}
+    SELECT subject, time, round(m - q * se, 8) AS mean_low, round(m + q * se, 8) AS mean_high, round((m - q * se) * 146, 4) AS age_low, round((m + q * se) * 146, 4) AS age_high FROM ms JOIN tq ON tq.df = ms.df""",
+)
+def cl3_interval(spark, sf):
+    return tmrca(spark, sf).select(
+        "subject", "time", R("mean_low", 8).alias("mean_low"), R("mean_high", 8).alias("mean_high"), R("age_low", 4).alias("age_low"), R("age_high", 4).alias("age_high")
+    )
+
+
 def tmrca(spark, sf):
     rows = clock(spark, sf).select(
         "subject", F.floor(F.col("days_since_first") / 365).alias("time"), F.col("rate").alias("per_base"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from variascope import bindings as b
 from variascope.bindings import SQL_CELLS, SQL_SEQUENCES
+from variascope.catalog import distributions as dist
 from variascope.operators import annotate as an
 from variascope.operators import reads as r
 from variascope.plans.lineage import scratch
@@ -558,6 +559,41 @@ def pu3(spark, sf):
     return stats.select("sample", "p", "major", "minor", R("t_bq", 6).alias("t_bq"), "xf", "yf", "xr", "yr")
 
 
+def _pu3_level(p: str) -> str:
+    return f"CAST(coalesce(CASE WHEN {p} > 0 THEN floor(-log10({p}) + 0.5) END, -1) AS INTEGER)"
+
+
+def _pu3_t(name: str, value: str, x: str, y: str) -> str:
+    """Counts, means and variances of a value over two sets of reads, as columns of an aggregate."""
+    return ", ".join(
+        f"count(*) FILTER ({w}) AS n_{name}{i}, avg({value}) FILTER ({w}) AS m_{name}{i}, var_samp({value}) FILTER ({w}) AS v_{name}{i}" for i, w in ((1, x), (2, y))
+    )
+
+
+_PU3_SETS = {
+    "bq": ("q", "a = major_nt", "a = minor_nt"), "mq": ("mq", "a = major_nt", "a = minor_nt"),
+    "tf": ("q", "a = major_nt AND fwd", "a = minor_nt AND fwd"), "tr": ("q", "a = major_nt AND NOT fwd", "a = minor_nt AND NOT fwd"),
+}
+_PU3_VAR = "(coalesce((n_{k}1 - 1) * v_{k}1, 0) + coalesce((n_{k}2 - 1) * v_{k}2, 0)) / (n_{k}1 + n_{k}2 - 2) * (1.0 / n_{k}1 + 1.0 / n_{k}2)"
+_PU3_TESTS = ", ".join(
+    f"n_{k}1 + n_{k}2 - 2 AS df_{k}, CASE WHEN n_{k}1 > 0 AND n_{k}2 > 0 AND n_{k}1 + n_{k}2 > 2 AND {_PU3_VAR.format(k=k)} > 0 THEN (m_{k}1 - m_{k}2) / sqrt({_PU3_VAR.format(k=k)}) END AS t_{k}"
+    for k in _PU3_SETS
+)
+_PU3_LEVELS = ", ".join(f"{_pu3_level(f'p_{k}')} AS p_{k}" for k in _PU3_SETS)
+_PU3_P = ", ".join(f"CASE WHEN t_{k} IS NOT NULL THEN {dist.t_two_sided(f't_{k}', f'df_{k}')} END AS p_{k}" for k in _PU3_SETS)
+
+
+@query(
+    "pu3_bias_tests",
+    f"""WITH {SQL_CELLS}, {SQL_T}, sums AS (SELECT sample, p, {", ".join(_pu3_t(k, *v) for k, v in _PU3_SETS.items())} FROM rd GROUP BY 1, 2),
+    ts AS (SELECT ag.sample, ag.p, major, minor, xf, yf, xr, yr, {_PU3_TESTS} FROM ag JOIN sums ON sums.sample = ag.sample AND sums.p = ag.p WHERE nf > 2 AND nr > 2 AND n2 * 200 > n1),
+    ps AS (SELECT sample, p, major, minor, {dist.fisher_two_sided("xf", "yf", "xr", "yr")} AS p_strand, {_PU3_P} FROM ts)
+    SELECT sample, p, major, minor, {_pu3_level("p_strand")} AS p_strand, {_PU3_LEVELS} FROM ps""",
+)
+def pu3_tests(spark, sf):
+    return r.allele_bias_tests(r.bias_statistics(r.decode_pileup(pileup(spark, sf)), min_strand=2)).drop("chrom")
+
+
 @query(
     "pu4_fq_per_site",
     f"WITH {SQL_VARIANTS} SELECT sample, pos, CAST(floor(min(fq) + 0.5) AS INTEGER) AS fq FROM vr WHERE simple AND fq < 0 GROUP BY 1, 2",

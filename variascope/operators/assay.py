@@ -312,8 +312,7 @@ def mann_whitney(rows: DataFrame, *, strata: Sequence[str], group: str, value: s
 
     Values are counted per (stratum, group, value) first. For a pair, each value's rank among the two groups follows
     from both groups' counts below it, so U = sum over values of n1 * (below2 + n2 / 2). P values are
-    the tie-corrected normal approximation with continuity at every size (``tails.mann_whitney_exact`` has the exact
-    distribution for single tables). The number of groups is small (experimental arms); rows are never paired.
+    the tie-corrected normal approximation with continuity at every size. The number of groups is small (experimental arms); rows are never paired.
     """
     strata = list(strata)
     tile = value_tiles(rows, value, 32)
@@ -348,7 +347,7 @@ def mann_whitney(rows: DataFrame, *, strata: Sequence[str], group: str, value: s
     # Continuity correction towards the mean; the upper U is at or above it, and p is capped at 1.
     shift = F.abs(F.col("u") - F.col("n1") * F.col("n2") / 2.0) - 0.5
     z = F.when(sd > 0, F.greatest(shift, F.lit(0.0)) / sd)
-    p = tails.normal_two_sided_udf()(z)
+    p = tails.normal_two_sided(z)
     return out.withColumn("z", z).withColumn("p", p).select(*strata, "g1", "g2", "n1", "n2", "u", "z", "p").withColumn(
         "stars", stars(F.col("p"))
     )

@@ -40,8 +40,8 @@ def linear_fit(rows: DataFrame, *, x: str, y: str, by=(), year: float = 365, sca
     rest = F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0))
     fit = fit.withColumn("stderr", F.when((free > 0) & (F.col("_sxx") > 0), F.sqrt(rest / free / F.col("_sxx"))))
     t = F.when(F.col("stderr") > 0, F.col("slope") / F.col("stderr"))
-    quantile = tails.t_quantile_udf()(F.lit((1 + level) / 2), F.when(free > 0, free))
-    fit = fit.withColumn("p_value", tails.t_two_sided_udf()(t, free)).withColumn("_q", quantile)
+    quantile = tails.t_quantile((1 + level) / 2, free)
+    fit = fit.withColumn("p_value", tails.t_two_sided(t, free)).withColumn("_q", quantile)
     return fit.select(
         *by, "n", "slope", "intercept", "r2", "stderr", "p_value",
         (F.col("slope") * year * scale).alias("rate"),
@@ -59,13 +59,13 @@ def residual_variance(rows: DataFrame, *, x: str, y: str, by=()) -> DataFrame:
 
 def gamma_band(fit: DataFrame, variance: DataFrame, days: DataFrame, *, low: float = 0.025, high: float = 0.975, by=()) -> DataFrame:
     """Gamma band around the fitted line by day: mean on the line, variance of the residuals."""
-    q = tails.gamma_quantile_udf()
+    q = tails.gamma_quantile
     rows = days.join(fit, list(by)).join(variance, list(by))
     mean = F.col("slope") * F.col("day") + F.col("intercept")
     ok = (mean > 0) & (F.col("residual_variance") > 0)
     shape = F.when(ok, mean * mean / F.col("residual_variance"))
     scale = F.when(ok, F.col("residual_variance") / mean)
-    return rows.select(*by, "day", mean.alias("mean"), q(F.lit(low), shape, scale).alias("low"), q(F.lit(high), shape, scale).alias("high"))
+    return rows.select(*by, "day", mean.alias("mean"), q(low, shape, scale).alias("low"), q(high, shape, scale).alias("high"))
 
 
 def tmrca_point(
@@ -79,7 +79,7 @@ def tmrca_point(
         F.count(F.lit(1)).alias("n"), F.avg("per_base").alias("mean"), F.stddev_samp("per_base").alias("_sd"),
         F.min("days_in_hospital").alias("days_in_hospital"),
     ).where(F.col("n") >= min_isolates)
-    q = tails.t_quantile_udf()(F.lit((1 + level) / 2), (F.col("n") - 1).cast("double"))
+    q = tails.t_quantile((1 + level) / 2, F.col("n") - 1)
     rows = groups.withColumn("_m", q * F.col("_sd") / F.sqrt("n"))
     factor = F.lit(year * scale) / rate
     age = F.col("mean") * factor

@@ -75,11 +75,10 @@ def observed_ns(annotated: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
 
 def ns_binomial(observed: DataFrame, expected: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """One-sided binomial tests for an excess of N and of S against the expected share."""
-    tail = tails.binom_ge_udf()
     rows = observed.join(expected, list(by)) if by else observed.withColumn("p_n", expected.select("p_n").scalar())
-    total = (F.col("n_nonsyn") + F.col("n_syn")).cast("double")
-    return rows.withColumn("p_excess_n", tail(F.col("n_nonsyn").cast("double"), total, F.col("p_n"))).withColumn(
-        "p_excess_s", tail(F.col("n_syn").cast("double"), total, 1 - F.col("p_n"))
+    total = F.col("n_nonsyn") + F.col("n_syn")
+    return rows.withColumn("p_excess_n", tails.binom_ge(F.col("n_nonsyn"), total, F.col("p_n"))).withColumn(
+        "p_excess_s", tails.binom_ge(F.col("n_syn"), total, 1 - F.col("p_n"))
     )
 
 
@@ -112,18 +111,20 @@ def gene_tail_p(tally: DataFrame, *, total: Column, callable_median: Column, cod
     ``p_ge`` uses the rate over the callable genome and P(X >= n); ``p_gt`` and ``p_gt_binom`` the rate per coding
     base and P(X > n).
     """
-    poisson, binom = tails.poisson_ge_udf(), tails.binom_ge_udf()
-    rate = F.col("n_genic") / coding_length
-    genic = tally.agg(F.sum("n_events")).scalar()
-    rows = tally.withColumn("n_genic", genic)
-    n = F.col("n_events").cast("double")
-    return rows.where("candidate").select(
+    # Totals are columns before the tails use them: a higher-order function may hold no subquery.
+    rows = tally.where("candidate").withColumns({
+        "lambda": (total * F.col("len") / callable_median).cast("double"),
+        "_rate": (tally.agg(F.sum("n_events")).scalar() / coding_length).cast("double"),
+        "threshold": F.lit(0.05) / n_genes,
+    })
+    n = F.col("n_events")
+    return rows.select(
         *[c for c in tally.columns if c != "candidate"],
-        (total * F.col("len") / callable_median).cast("double").alias("lambda"),
-        poisson(n, (total * F.col("len") / callable_median).cast("double")).alias("p_ge"),
-        poisson(n + 1, (F.col("len") * rate).cast("double")).alias("p_gt"),
-        binom(n + 1, F.col("len").cast("double"), rate.cast("double")).alias("p_gt_binom"),
-        (F.lit(0.05) / n_genes).alias("threshold"),
+        "lambda",
+        tails.poisson_ge(n, F.col("lambda")).alias("p_ge"),
+        tails.poisson_ge(n + 1, F.col("len") * F.col("_rate")).alias("p_gt"),
+        tails.binom_ge(n + 1, F.col("len"), F.col("_rate")).alias("p_gt_binom"),
+        "threshold",
     )
 
 
@@ -189,9 +190,8 @@ def spectrum_chi2(
         return F.when(expect > 0, yates * yates / expect).otherwise(0.0)
 
     stat = F.sum(part(F.col("n"), F.col("row1")) + part(F.col("bn"), F.col("row2")))
-    tail = tails.chi2_sf_udf()
     out = cell.groupBy(*keys).agg(stat.alias("chi2"), (F.max("k") - 1).alias("df"), F.max("row1").alias("n_mutations"))
-    out = out.withColumn("p_value", tail(F.col("chi2").cast("double"), F.col("df").cast("double")))
+    out = out.withColumn("p_value", tails.chi2_sf(F.col("chi2"), F.col("df")))
     return out.withColumn("flagged", (F.col("n_mutations") >= min_mutations) & (F.col("p_value") <= alpha))
 
 

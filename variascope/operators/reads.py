@@ -249,15 +249,14 @@ def bias_statistics(decoded: DataFrame, *, min_strand: int = 20, ratio: int = 20
 
 def allele_bias_tests(statistics: DataFrame) -> DataFrame:
     """-log10 p of the four t tests and the strand test, rounded half up; -1 where p is 0 or undefined."""
-    t_p, fisher = tails.t_two_sided_udf(), tails.fisher_udf()
 
     def level(p: Column) -> Column:
         return F.when(p > 0, half_up(-F.log10(p))).otherwise(-1).cast("int")
 
     rows = statistics
     for name in ("bq", "mq", "tf", "tr"):
-        rows = rows.withColumn(f"p_{name}", level(F.coalesce(t_p(F.col(f"t_{name}"), F.col(f"df_{name}")), F.lit(0.0))))
-    strand = fisher(*[F.col(c).cast("double") for c in ("xf", "yf", "xr", "yr")])
+        rows = rows.withColumn(f"p_{name}", level(F.coalesce(tails.t_two_sided(F.col(f"t_{name}"), F.col(f"df_{name}")), F.lit(0.0))))
+    strand = tails.fisher_two_sided(*[F.col(c) for c in ("xf", "yf", "xr", "yr")])
     return rows.withColumn("p_strand", level(strand)).select(
         "sample", "chrom", "p", "major", "minor", "p_strand", "p_bq", "p_mq", "p_tf", "p_tr"
     )
