@@ -153,12 +153,15 @@ def breadth_first_order(tree: Tree, *, tile_width: int = 1 << 16) -> DataFrame:
 
 
 def edge_changes(tree: DataFrame, node_calls: DataFrame, *, skip_tips: bool = False) -> DataFrame:
-    """Changes along edges, unknown bases ignored: (site, node, parent, from_nt, to_nt)."""
+    """Changes along edges, unknown bases ignored: (site, node, parent, from_nt, to_nt).
+
+    Calls are merged, never broadcast: rows made by an explode are not in the size estimate of their table.
+    """
     edges = tree.where(F.col("parent").isNotNull()).select("child", "parent")
     if skip_tips:
         edges = edges.join(tips(tree).select(F.col("node").alias("child")), "child", "left_anti")
-    below = node_calls.select(F.col("node").alias("child"), "site", F.col("nt").alias("to_nt"))
-    above = node_calls.select(F.col("node").alias("parent"), "site", F.col("nt").alias("from_nt"))
+    below = node_calls.select(F.col("node").alias("child"), "site", F.col("nt").alias("to_nt")).hint("merge")
+    above = node_calls.select(F.col("node").alias("parent"), "site", F.col("nt").alias("from_nt")).hint("merge")
     return (
         edges.join(below, "child")
         .join(above, ["parent", "site"])
