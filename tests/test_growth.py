@@ -25,3 +25,13 @@ def test_exploded_calls_are_not_broadcast(spark):
     letter = lambda x, s: "ATCGN"[(x * 7 + s) % 5]
     expected = sum(letter(x, s) != letter(x // 2, s) and "N" not in (letter(x, s), letter(x // 2, s)) for x in range(2, 201) for s in range(24))
     assert changes.count() == expected
+
+
+def test_tree_tables_are_not_broadcast(spark):
+    edges = small_tree(spark)
+    nodes = tree.Tree(edges)
+    ones = edges.select(F.col("child").alias("node"), F.lit(1).cast("long").alias("n"))
+    sums = nodes.subtree_sums(ones, ["n"])
+    # the totals of tiles, one row in 65 536 places, may be broadcast, node tables may not
+    assert plan(nodes.meeting(spark.createDataFrame([(4, 5)], "a long, b long"), first="a", last="b")).count("Broadcast") == 0
+    assert sums.where("node = 1").first().n == 200

@@ -236,8 +236,8 @@ def genotype_sets(spark, sf, edges, tree):
     segments = edges.where("segment <> 'BUILDING'").select(F.col("child").alias("node"))
     inner = edges.where("parent IS NOT NULL").select(F.col("parent").alias("child")).distinct()
     owners = edges.where("nation % 2 = 0").join(inner, "child", "left_semi").select(F.col("child").alias("set_id"))
-    spans = tree.nodes.select(F.col("node").alias("set_id"), F.col("enter").alias("_from"), F.col("exit").alias("_to")).join(owners, "set_id")
-    places = t.tips(edges).join(segments, "node").join(tree.nodes.select("node", "enter"), "node")
+    spans = tree.nodes.select(F.col("node").alias("set_id"), F.col("enter").alias("_from"), F.col("exit").alias("_to")).join(owners.hint("merge"), "set_id")
+    places = t.tips(edges).join(segments.hint("merge"), "node").join(tree.nodes.select("node", "enter").hint("merge"), "node")
     return t.interval_join(places, spans, point="enter", start="_from", end="_to", width=4096).select("set_id", "node")
 
 

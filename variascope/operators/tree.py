@@ -130,7 +130,7 @@ def tree_closure(tree: Tree, *, width: int = 4096) -> DataFrame:
 
 def tips(tree: DataFrame) -> DataFrame:
     inner = tree.where(F.col("parent").isNotNull()).select(F.col("parent").alias("child")).distinct()
-    return tree.join(inner, "child", "left_anti").select(F.col("child").alias("node"))
+    return tree.join(inner.hint("merge"), "child", "left_anti").select(F.col("child").alias("node"))
 
 
 def mrca(sets: DataFrame, tree: Tree) -> DataFrame:
@@ -273,14 +273,14 @@ def closest_ancestor_genotype(sets: DataFrame, tree: Tree, *, root: str = "root"
     """
     found = cut(mrca(sets, tree))
     first = found.groupBy(F.col("mrca").alias("above")).agg(F.min("set_id").cast("string").alias("parent"))
-    above = tree.marked_above(found.select(F.col("mrca").alias("node"))).where("above IS NOT NULL").join(first, "above")
-    base = found.select("set_id", "n_tips", "mrca").join(above.select(F.col("node").alias("mrca"), "parent"), "mrca", "left")
+    above = tree.marked_above(found.select(F.col("mrca").alias("node"))).where("above IS NOT NULL").join(first.hint("merge"), "above")
+    base = found.select("set_id", "n_tips", "mrca").join(above.select(F.col("node").alias("mrca"), "parent").hint("merge"), "mrca", "left")
     base = base.select("set_id", "n_tips", F.coalesce("parent", F.lit(root)).alias("parent"))
-    tagged = sets.join(base, "set_id")
+    tagged = sets.join(base.hint("merge"), "set_id")
     small = tagged.select("node", "parent", F.col("set_id").alias("s"), F.col("n_tips").alias("ns"))
     large = tagged.select("node", "parent", F.col("set_id").alias("l"), F.col("n_tips").alias("nl"))
     nested = (
-        small.join(large, ["node", "parent"])
+        small.join(large.hint("merge"), ["node", "parent"])
         .where("ns < nl")
         .groupBy("s", "l", "ns", "nl")
         .agg(F.count(F.lit(1)).alias("shared"))
@@ -289,7 +289,7 @@ def closest_ancestor_genotype(sets: DataFrame, tree: Tree, *, root: str = "root"
         .agg(F.min(F.struct("nl", "l")).alias("m"))
         .select(F.col("s").alias("set_id"), F.col("m.l").cast("string").alias("finer"))
     )
-    return base.join(nested, "set_id", "left").select("set_id", F.coalesce("finer", "parent").alias("parent"))
+    return base.join(nested.hint("merge"), "set_id", "left").select("set_id", F.coalesce("finer", "parent").alias("parent"))
 
 
 def genotype_chain(parents: DataFrame, *, root: str = "root") -> DataFrame:
