@@ -6,6 +6,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from variascope.operators import segments, tree
+from variascope.sources import sinks
 
 
 def plan(df):
@@ -58,3 +59,31 @@ def test_medians_only_where_half_is_covered(spark):
         assert {(r["sample"], r["start"], r["end"]): r["median"] for r in got.collect()} == expected
     # a sparse sample has short stretches only, so most regions do not meet it
     assert sum(min(r["end"], 60) - max(r["start"], 0) for r in segments.half_covered(cov, 0).where("sample = 0").collect()) < 40
+
+
+def test_matrix_of_more_samples_than_csv_has_columns(spark, tmp_path):
+    """Spark reads at most 20 480 CSV columns; the matrix has one line a site and any number of samples."""
+    n = 21_000
+    calls = spark.range(n).select((F.col("id") % 2).alias("p"), F.concat(F.lit("s"), "id").alias("sample"), (F.col("id") % 4).cast("int").alias("call"))
+    sinks.write_call_matrix(calls, str(tmp_path / "m"), samples=[f"s{i}" for i in range(n)])
+    back = sinks.read_call_matrix(spark, str(tmp_path / "m"))
+    assert back.count() == 2 * n and back.where("nt = '?'").count() == n
+    assert back.join(calls, ["p", "sample"]).where("nt <> substr('ATCG', call + 1, 1)").count() == 0
+    wide = spark.read.csv(str(tmp_path / "m"), header=True, maxColumns=30_000)
+    assert wide.columns == ["p", *sorted(f"s{i}" for i in range(n))]
+
+
+def test_pseudogenome_edits_chunks(spark):
+    rnd = random.Random(5)
+    seqs = {i: "".join(rnd.choice("ATCG") for _ in range(rnd.choice([1, 7, 8, 40, 61]))) for i in range(6)}
+    snvs = {(s, i, p): rnd.choice("ATCGN") for s in range(5) for i, q in seqs.items() for p in range(len(q)) if s and rnd.random() < s * s * 0.01}
+    got = sinks.pseudogenome(
+        spark.createDataFrame(list(seqs.items()), "contig_idx int, seq string"),
+        spark.createDataFrame([(*k, v) for k, v in snvs.items()], "sample long, contig_idx int, pos long, nt string"),
+        spark.range(5).withColumnRenamed("id", "sample"), padding=2, chunk=8,
+    )
+    assert {r["sample"]: r["seq"] for r in got.collect()} == {
+        s: "NN".join("".join(snvs.get((s, i, p), x) for p, x in enumerate(seqs[i])) for i in sorted(seqs)) for s in range(5)
+    }
+    # chunks without changes are no rows
+    assert "posexplode" not in plan(got)
