@@ -315,6 +315,16 @@ def test_passages_at_the_threshold_are_met(spark):
     assert {(r.other_id, r.doc_id) for r in rows} >= {(2 * k, 2 * k + 1) for k in range(200)}
 
 
+def test_passages_neither_end_of_a_key_has(spark, monkeypatch):
+    """One key for all documents, the first and the last of which share nothing with the eleven pairs between."""
+    middle = [f"{prose(10 + k % 7, 8000 + k)} {prose(60, 8100 + k % 11)}" for k in range(22)]
+    texts = [prose(70, 8200), *middle, prose(70, 8201)]
+    one = lambda docs, *, key, text, **_: docs.where(f"{key} IS NOT NULL").select(F.lit(1).cast("long").alias("_key"), F.col(key).alias("_id"))
+    monkeypatch.setattr(passages, "keyed", one)
+    rows = passages.shared(table(spark, texts)).collect()
+    assert sorted((r.other_id, r.doc_id) for r in rows) == [(k, k + 11) for k in range(1, 12)]
+
+
 def test_pieces_round_trip(spark):
     texts = [*odd_texts(), "▁ lower one eighth", "\x00\x01\x7f tab\t\r\n", " lead", "trail ", "a" * 5000, "𓀀𓀁"]
     docs = table(spark, texts).withColumns({"ids": F.lit("own"), "more": F.lit(2)})
