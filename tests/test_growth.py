@@ -87,3 +87,36 @@ def test_pseudogenome_edits_chunks(spark):
     }
     # chunks without changes are no rows
     assert "posexplode" not in plan(got)
+
+
+def test_profile_and_presence_of_overlapping_regions(spark):
+    """Against plain medians and sums; for shares by time, pairs of sample and region are not shuffled."""
+    rnd = random.Random(11)
+    depth = {(s, p): rnd.choice([1, 1, 2, 3, 9]) for s in range(8) for p in range(50) if rnd.random() < (0.0, 0.04, 0.3, 0.45, 0.55, 0.7, 0.9, 1.0)[s]}
+    spans = {100 * a + b: (a, b) for a in range(0, 56, 3) for b in range(a + 1, 60, 4)}
+    cov = spark.createDataFrame([(s, p, c) for (s, p), c in depth.items()], "sample long, p long, cov long")
+    regions = spark.createDataFrame([(r, a, b) for r, (a, b) in spans.items()], "region long, start long, end long")
+    stats = spark.createDataFrame([(s, 0.0 if s == 2 else 1.5 + s) for s in range(7)], "sample long, mean double")
+    mean = {r["sample"]: r["mean"] for r in stats.collect()}
+    want = {}
+    for r, (a, b) in spans.items():
+        for s, m in mean.items():
+            values = [depth.get((s, p), 0) for p in range(a, b)]
+            # without a mean there is no ratio, and the cap is left of the last value
+            ratio, median = (round(sum(values) / (b - a) / m, 9), min(round(statistics.median(values) / m), 4)) if m else (None, 4)
+            want[r, s] = (ratio, round(sum(v > 0 for v in values) / (b - a), 9), median)
+    profile = segments.region_profile(cov, regions, stats, width=16)
+    got = {(r.region, r["sample"]): (None if r.mean_ratio is None else round(r.mean_ratio, 9), round(r.breadth, 9), r.median_ratio) for r in profile.collect()}
+    assert got == want
+    times = spark.createDataFrame([(s, s % 3) for s in range(8)], "sample long, time long")
+    table = {}
+    for (r, s), v in want.items():
+        table.setdefault((r, s % 3), []).append(v[0])
+    expected = {}
+    for k, v in table.items():
+        known = [x for x in v if x is not None]
+        expected[k] = (len(v), round(sum((x or 0) > 0.2 for x in v) / len(v), 6), round(sum(known) / len(known), 6))
+    presence = segments.region_presence(cov, regions, stats, times, min_ratio=0.2, width=16)
+    assert {(r.region, r.time): (r.n, round(r.share_present, 6), round(r.avg_ratio, 6)) for r in presence.collect()} == expected
+    dealt = [x.split(")")[0] for x in plan(presence).split("hashpartitioning(")[1:]]
+    assert not [x for x in dealt if "region" in x and "sample" in x]
