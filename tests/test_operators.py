@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,21 @@ def test_quality_trim(spark):
         assert r.end == slow_quality_end(r.qual)
 
 
+def test_quality_trim_holds_few_bases_at_once(monkeypatch):
+    """A batch of reads is trimmed in slices, an empty batch and a read longer than a slice too."""
+    rnd = random.Random(9)
+    quals = ["".join(chr(33 + rnd.randrange(10, 41)) for _ in range(n)) for n in (30, 0, 70, 500, 1, 99, 100, 12)] * 5
+    slices = []
+    whole = reads.read_ends
+    monkeypatch.setattr(reads, "read_ends", lambda raw, *rest: slices.append(raw) or whole(raw, *rest))
+    made = []
+    monkeypatch.setattr(reads.F, "pandas_udf", lambda kind: lambda run: lambda qual: made.append(run) or qual)
+    reads.quality_end("qual", bases=100)
+    assert made[0](pd.Series([*quals, None])).tolist() == [*(slow_quality_end(q) if q else 0 for q in quals), 0]
+    assert made[0](pd.Series([], dtype=object)).tolist() == []
+    assert all(len(raw) == 1 or sum(map(len, raw)) <= 100 for raw in slices) and sum(map(len, slices)) == len(quals) + 1
+
+
 def test_pileup_decoding(spark):
     row = ("s", "c", 10, "A", 7, ".^],$+12ACGTACGTACGTg-2NN*T", "IIIHG", "55555", "1,2,3,4,5")
     df = spark.createDataFrame([row], "sample string, chrom string, p long, ref string, depth int, bases string, bq string, mq string, tails string")

@@ -16,6 +16,8 @@ from variascope.sources.text import base_name, numbered_lines
 LETTERS = "ATCGatcg"
 # Fixed value: 3' adapter of the library preparation.
 ADAPTER = "CTGTCTCTTAT"
+#: Bases whose prefix sums are held at once, about 60 bytes each.
+BASES_AT_ONCE = 1 << 18
 
 
 def parse_fastq(lines: DataFrame) -> DataFrame:
@@ -49,28 +51,42 @@ def cut_adapter(seq: Column, qual: Column, adapter: str = ADAPTER) -> tuple[Colu
     return F.substring(seq, F.lit(1), keep), F.substring(qual, F.lit(1), keep)
 
 
-def quality_end(qual: Column, *, min_quality: int = 20, offset: int = 33) -> Column:
+def read_ends(raw: list[bytes], min_quality: int, offset: int) -> np.ndarray:
+    """Lengths to keep of reads, all at once: ``row`` is the read of a base, ``at`` its place in the read."""
+    n = np.array([len(q) for q in raw], dtype=np.int64)
+    score = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) - offset
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(score)) - np.repeat(np.cumsum(n) - n, n)
+    width = np.where(n < 10, n, n // 10)
+    sums = np.concatenate(([0], np.cumsum(score)))
+    whole = at + width[row] <= n[row]
+    ends = np.minimum(np.arange(len(score)) + width[row], len(score))
+    bad = whole & (sums[ends] - sums[:-1] < min_quality * width[row])
+    begin, end = n - width, n.copy()
+    np.minimum.at(begin, row[bad], at[bad])
+    low = (at >= begin[row]) & (at < (begin + width)[row]) & (score < min_quality)
+    np.minimum.at(end, row[low], at[low])
+    return end
+
+
+def quality_end(qual: Column, *, min_quality: int = 20, offset: int = 33, bases: int = BASES_AT_ONCE) -> Column:
     """Length to keep from the 5' end: windows of a tenth of the read slide until one averages below the limit (or is
-    the last); the read ends at the first low base of that window. Linear in the read through prefix sums."""
+    the last); the read ends at the first low base of that window. Linear in the read through prefix sums, which are made
+    for ``bases`` bases at once (or one longer read), whatever the reads of a batch add up to."""
 
     @F.pandas_udf("int")
     def run(quals: pd.Series) -> pd.Series:
-        # all reads of a batch at once: ``row`` is the read of a base, ``at`` its place in the read
-        raw = [(q or "").encode("latin-1") for q in quals]
-        n = np.array([len(q) for q in raw], dtype=np.int64)
-        score = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) - offset
-        row = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(score)) - np.repeat(np.cumsum(n) - n, n)
-        width = np.where(n < 10, n, n // 10)
-        sums = np.concatenate(([0], np.cumsum(score)))
-        whole = at + width[row] <= n[row]
-        ends = np.minimum(np.arange(len(score)) + width[row], len(score))
-        bad = whole & (sums[ends] - sums[:-1] < min_quality * width[row])
-        begin, end = n - width, n.copy()
-        np.minimum.at(begin, row[bad], at[bad])
-        low = (at >= begin[row]) & (at < (begin + width)[row]) & (score < min_quality)
-        np.minimum.at(end, row[low], at[low])
-        return pd.Series(end, dtype="int32")
+        out, raw, held = [np.zeros(0, np.int64)], [], 0
+        for q in quals:
+            one = (q or "").encode("latin-1")
+            if raw and held + len(one) > bases:
+                out.append(read_ends(raw, min_quality, offset))
+                raw, held = [], 0
+            raw.append(one)
+            held += len(one)
+        if raw:
+            out.append(read_ends(raw, min_quality, offset))
+        return pd.Series(np.concatenate(out), dtype="int32")
 
     return run(qual)
 
