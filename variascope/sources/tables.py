@@ -38,17 +38,22 @@ def parse_fai(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_vcf(lines: DataFrame) -> DataFrame:
-    """Body rows of a variant file with the FQ value of INFO; ``simple`` marks unambiguous single-base changes."""
-    body = lines.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    f = F.split("value", "\t")
+    """Body rows of a variant file with the FQ value of INFO; ``simple`` marks unambiguous single-base changes.
+
+    A line is made and split once and INFO is searched once: each goes through a generator, below which Spark does not move
+    the filters on parsed columns. Moved further down they would make or split a line again for every column that they name.
+    """
     rest = [c for c in lines.columns if c != "value"]
-    rows = body.select(
+    body = lines.select(*rest, F.explode(F.array("value")).alias("value")).where(~F.col("value").startswith("#") & (F.col("value") != ""))
+    f = F.col("_f")
+    rows = body.select(*rest, F.explode(F.array(F.split("value", "\t"))).alias("_f")).select(
         *rest, f[0].alias("chrom"), (f[1].cast("long") - 1).alias("pos"), f[3].alias("ref"), f[4].alias("alt"), f[7].alias("info")
     )
-    fq = F.regexp_extract(F.concat(F.lit(";"), F.col("info")), ";FQ[^=;]*=([^;]+)", 1)
-    return rows.withColumn("fq", F.when(fq != "", fq.cast("double"))).withColumn(
+    found = F.regexp_extract(F.concat(F.lit(";"), F.col("info")), ";FQ[^=;]*=([^;]+)", 1)
+    rows = rows.select("*", F.explode(F.array(found)).alias("_fq"))
+    return rows.withColumn("fq", F.when(F.col("_fq") != "", F.col("_fq").cast("double"))).withColumn(
         "simple", (F.length("ref") == 1) & (F.length("alt") == 1)
-    )
+    ).drop("_fq")
 
 
 def read_vcf_fq(spark: SparkSession, path: str, *, sample: str = r"([^./]+)[^/]*$") -> DataFrame:
