@@ -2,6 +2,7 @@
 
 import re
 
+from variascope import bindings
 from variascope.operators import reads
 from variascope.sources import tables
 
@@ -20,3 +21,18 @@ def test_variant_lines_are_split_once(spark):
     assert {(r["sample"], r["pos"], r["fq"]) for r in best.collect()} == {("s0", 4, -30), ("s1", 6, -12)}
     seen = optimized(best)
     assert len(re.findall(r"(?<!\w)split\(", seen)) == 1 and seen.count("regexp_extract(") == 1
+
+
+def test_reads_are_trimmed_once_for_pairs(spark):
+    good, bad = ("A" * 60, "I" * 60), ("A" * 60, "+" * 60)
+    sides = [[("s", 1, *good), ("s", 1, *good), ("s", 2, *bad), ("s", 3, *good), (None, 4, *good)], [("s", 1, *good), ("s", 2, *good), (None, 4, *good)]]
+    first, second = (reads.trim_reads(spark.createDataFrame(x, "sample string, record long, seq string, qual string")) for x in sides)
+    parts = reads.keep_pairs(first, second)
+    assert [sorted(r["record"] for r in p.collect()) for p in parts] == [[1, 1], [1], [2, 3, 4, 4]]
+    assert all(p.columns == ["sample", "record", "seq", "qual"] and "trim" not in optimized(p) and "EvalPython" not in optimized(p) for p in parts)
+
+
+def test_sequences_are_made_once(spark):
+    seqs = bindings.sequences(spark, "/root/testdata/sf0.001")
+    used = seqs.where("length(seq) > 8 AND instr(seq, 'N') = 0").selectExpr("doc_id", "substr(seq, 1, length(seq) - 1) AS a", "translate(seq, 'A', 'T') AS b")
+    assert optimized(used).count("regexp_replace(") == 1

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variascope import schemas
 from variascope.functions import tails
 from variascope.functions.bases import half_up
+from variascope.plans.lineage import stored
 from variascope.sources.text import base_name, numbered_lines
 
 # Order of the eight count fields.
@@ -111,10 +112,21 @@ def trim_reads(
 
 
 def keep_pairs(first: DataFrame, second: DataFrame, *, keys=("sample", "record")) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(first of pairs, second of pairs, reads whose mate was dropped)."""
+    """(first of pairs, second of pairs, reads whose mate was dropped). The reads of both sides are made once and stored with
+    a mark for a mate; the three results are parts of that table. A read with a missing key has no mate."""
     keys = list(keys)
-    single = first.join(second, keys, "left_anti").unionByName(second.join(first, keys, "left_anti"))
-    return first.join(second, keys, "left_semi"), second.join(first, keys, "left_semi"), single
+    both = first.withColumn("_side", F.lit(1)).unionByName(second.withColumn("_side", F.lit(2)))
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    one = Window.partitionBy(*keys)
+    rows = stored(both.withColumn("_mate", known & (F.min("_side").over(one) != F.max("_side").over(one))))
+
+    def part(which: Column) -> DataFrame:
+        return rows.where(which).drop("_side", "_mate")
+
+    mate = F.col("_mate")
+    return part(mate & (F.col("_side") == 1)), part(mate & (F.col("_side") == 2)), part(~mate)
 
 
 def dedup_fragments(alignments: DataFrame) -> DataFrame:
