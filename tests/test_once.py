@@ -36,3 +36,25 @@ def test_sequences_are_made_once(spark):
     seqs = bindings.sequences(spark, "/root/testdata/sf0.001")
     used = seqs.where("length(seq) > 8 AND instr(seq, 'N') = 0").selectExpr("doc_id", "substr(seq, 1, length(seq) - 1) AS a", "translate(seq, 'A', 'T') AS b")
     assert optimized(used).count("regexp_replace(") == 1
+
+
+def test_pileup_reads_are_dealt_once(spark):
+    bases, n = "AAAA....TTTaaaa,,,,tttCg", 24
+    row = ("s", "c", 5, "G", n, bases, "".join(chr(33 + 7 * i % 40) for i in range(n)), "".join(chr(33 + i) for i in range(n)), ",".join(str(i * i % 11) for i in range(n)))
+    decoded = reads.decode_pileup(spark.createDataFrame([row], "sample string, chrom string, p long, ref string, depth int, bases string, bq string, mq string, tails string"))
+    stats = reads.bias_statistics(decoded, min_strand=2)
+    assert optimized(stats).count("filter(") <= 8 + 4 and optimized(stats).count("aggregate(") == 4  # eight bases and the characters of three texts and the pileup
+    got = stats.first()
+
+    def t(x, y):
+        mean = [sum(v) / len(v) for v in (x, y)]
+        spread = sum((a - m) ** 2 for v, m in zip((x, y), mean) for a in v)
+        return (mean[0] - mean[1]) / (spread / (len(x) + len(y) - 2) * (1 / len(x) + 1 / len(y))) ** 0.5
+
+    letters = [{".": "G", ",": "g"}.get(c, c) for c in bases]
+    score = {"bq": [7 * i % 40 for i in range(n)], "mq": list(range(n)), "td": [i * i % 11 for i in range(n)]}
+    of = lambda field, wanted: [v for v, c in zip(score[field], letters) if c in wanted]
+    assert (got.major, got.minor, got.xf, got.yf, got.xr, got.yr) == (3, 0, 4, 4, 5, 4)
+    want = {"bq": ("bq", "Gg", "Aa"), "mq": ("mq", "Gg", "Aa"), "tf": ("td", "G", "A"), "tr": ("td", "g", "a")}
+    for name, (field, x, y) in want.items():
+        assert abs(got[f"t_{name}"] - t(of(field, x), of(field, y))) < 1e-9

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -190,10 +192,20 @@ def _of(letter: str) -> Column:
     return F.filter("reads", lambda r: r["b"] == letter)
 
 
-def _sum(arr: Column, field: str, power: int = 1) -> Column:
-    return F.aggregate(
-        arr, F.lit(0).cast("long"), lambda a, r: a + (r[field].cast("long") if power == 1 else r[field].cast("long") * r[field].cast("long"))
-    )
+def _sum(arr: Column, field: str) -> Column:
+    return F.aggregate(arr, F.lit(0).cast("long"), lambda a, r: a + r[field].cast("long"))
+
+
+def _moments(arr: Column) -> Column:
+    """Sums ``s_`` and sums of squares ``q_`` of the three scores of reads, in one pass."""
+    parts = [(part, field) for part in "sq" for field in ("bq", "mq", "td")]
+
+    def add(a: Column, r: Column) -> Column:
+        value = {field: r[field].cast("long") for field in ("bq", "mq", "td")}
+        return F.struct(*[(a[f"{part}_{f}"] + (value[f] if part == "s" else value[f] * value[f])).alias(f"{part}_{f}") for part, f in parts])
+
+    # a missing score makes a sum NULL, so the zeros have to be nullable
+    return F.aggregate(arr, F.struct(*[F.lit(0).cast("long").alias(f"{part}_{f}") for part, f in parts]).cast("struct<" + ", ".join(f"{part}_{f}: bigint" for part, f in parts) + ">"), add)
 
 
 def pileup_counts(decoded: DataFrame) -> DataFrame:
@@ -235,10 +247,11 @@ def bias_statistics(decoded: DataFrame, *, min_strand: int = 20, ratio: int = 20
     """Per site the major and minor base and the t statistics for base quality, mapping quality and both tail
     distances, with the 2 x 2 strand table. Only sites with enough reads on both strands and a real minor base.
     """
-    out = decoded
-    for i, letter in enumerate(LETTERS):
-        out = out.withColumn(f"_a{i}", _of(letter))
-    sizes = [F.size(f"_a{i}") for i in range(8)]
+    # reads are decoded and dealt to bases once: a generator keeps the filter on their numbers above that
+    out = decoded.select(
+        *[c for c in decoded.columns if c != "reads"], F.explode(F.array(F.array(*[_of(x) for x in LETTERS]))).alias("_all")
+    )
+    sizes = [F.size(F.get("_all", F.lit(i))) for i in range(8)]
     fold = F.sort_array(
         F.array(*[F.struct((sizes[i] + sizes[i + 4]).alias("n"), F.lit(i).alias("idx")) for i in range(4)]), asc=False
     )
@@ -246,33 +259,30 @@ def bias_statistics(decoded: DataFrame, *, min_strand: int = 20, ratio: int = 20
     rows = out.withColumn("_r", fold).where(
         (forward > min_strand) & (reverse > min_strand) & (F.col("_r")[1]["n"] * ratio > F.col("_r")[0]["n"])
     )
-    both = F.array(*[F.col(f"_a{i}") for i in range(8)])
-    rows = rows.withColumn("major", F.col("_r")[0]["idx"]).withColumn("minor", F.col("_r")[1]["idx"]).withColumn("_all", both)
+    rows = rows.withColumn("major", F.col("_r")[0]["idx"]).withColumn("minor", F.col("_r")[1]["idx"])
     groups = {
         "xf": F.get("_all", F.col("major")), "xr": F.get("_all", F.col("major") + 4),
         "yf": F.get("_all", F.col("minor")), "yr": F.get("_all", F.col("minor") + 4),
     }
-    for name, arr in groups.items():
-        rows = rows.withColumn(f"_{name}", arr)
+    rows = rows.select("*", *[F.size(arr).alias(name) for name, arr in groups.items()], *[_moments(arr).alias(f"_{name}") for name, arr in groups.items()])
 
-    def t_value(x: Column, y: Column, field: str) -> tuple[Column, Column]:
-        n1, n2 = F.size(x), F.size(y)
-        s1, s2, q1, q2 = _sum(x, field), _sum(y, field), _sum(x, field, 2), _sum(y, field, 2)
+    def t_value(x: Sequence[str], y: Sequence[str], field: str) -> tuple[Column, Column]:
+        n1, n2 = (sum((F.col(k) for k in side[1:]), F.col(side[0])) for side in (x, y))
+        s1, s2, q1, q2 = (
+            sum((F.col(f"_{k}.{part}_{field}") for k in side[1:]), F.col(f"_{side[0]}.{part}_{field}")) for part in "sq" for side in (x, y)
+        )
         df = (n1 + n2 - 2).cast("double")
         spread = (q1 - s1 * s1 / n1) + (q2 - s2 * s2 / n2)
         var = spread / df * (1 / n1 + 1 / n2)
         ok = (n1 > 0) & (n2 > 0) & (df > 0) & (var > 0)
         return F.when(ok, (s1 / n1 - s2 / n2) / F.sqrt(var)), F.when(ok, df)
 
-    x, y = F.concat("_xf", "_xr"), F.concat("_yf", "_yr")
-    tests = {"bq": t_value(x, y, "bq"), "mq": t_value(x, y, "mq"), "tf": t_value(F.col("_xf"), F.col("_yf"), "td"), "tr": t_value(F.col("_xr"), F.col("_yr"), "td")}
+    x, y = ("xf", "xr"), ("yf", "yr")
+    tests = {"bq": t_value(x, y, "bq"), "mq": t_value(x, y, "mq"), "tf": t_value(x[:1], y[:1], "td"), "tr": t_value(x[1:], y[1:], "td")}
     cols = []
     for name, (t, df) in tests.items():
         cols += [t.alias(f"t_{name}"), df.alias(f"df_{name}")]
-    return rows.select(
-        "sample", "chrom", "p", "major", "minor", *cols,
-        F.size("_xf").alias("xf"), F.size("_yf").alias("yf"), F.size("_xr").alias("xr"), F.size("_yr").alias("yr"),
-    )
+    return rows.select("sample", "chrom", "p", "major", "minor", *cols, "xf", "yf", "xr", "yr")
 
 
 def allele_bias_tests(statistics: DataFrame) -> DataFrame:
