@@ -58,3 +58,12 @@ def test_pileup_reads_are_dealt_once(spark):
     want = {"bq": ("bq", "Gg", "Aa"), "mq": ("mq", "Gg", "Aa"), "tf": ("td", "G", "A"), "tr": ("td", "g", "a")}
     for name, (field, x, y) in want.items():
         assert abs(got[f"t_{name}"] - t(of(field, x), of(field, y))) < 1e-9
+
+
+def test_p_values_of_bias_tests_stand_once(spark):
+    fields = ", ".join(f"t_{k} double, df_{k} double" for k in ("bq", "mq", "tf", "tr"))
+    rows = spark.createDataFrame([("s", "c", 1, 0, 1, *[2.5, 20.0] * 4, 9, 1, 2, 8)], f"sample string, chrom string, p long, major int, minor int, {fields}, xf int, yf int, xr int, yr int")
+    out = reads.allele_bias_tests(rows.repartition(1))
+    # log10 of a column, not of the expression that makes it
+    assert optimized(out).count("LOG10(_") == 5
+    assert out.first()[5:] == (2, 2, 2, 2, 2)

@@ -291,12 +291,12 @@ def allele_bias_tests(statistics: DataFrame) -> DataFrame:
     def level(p: Column) -> Column:
         return F.when(p > 0, half_up(-F.log10(p))).otherwise(-1).cast("int")
 
-    rows = statistics
-    for name in ("bq", "mq", "tf", "tr"):
-        rows = rows.withColumn(f"p_{name}", level(F.coalesce(tails.t_two_sided(F.col(f"t_{name}"), F.col(f"df_{name}")), F.lit(0.0))))
-    strand = tails.fisher_two_sided(*[F.col(c) for c in ("xf", "yf", "xr", "yr")])
-    return rows.withColumn("p_strand", level(strand)).select(
-        "sample", "chrom", "p", "major", "minor", "p_strand", "p_bq", "p_mq", "p_tf", "p_tr"
+    # a level names its p value twice, so p values are columns of their own first
+    tests = {k: F.coalesce(tails.t_two_sided(F.col(f"t_{k}"), F.col(f"df_{k}")), F.lit(0.0)) for k in ("bq", "mq", "tf", "tr")}
+    tests["strand"] = tails.fisher_two_sided(*[F.col(c) for c in ("xf", "yf", "xr", "yr")])
+    rows = statistics.select("sample", "chrom", "p", "major", "minor", *[p.alias(f"_{k}") for k, p in tests.items()])
+    return rows.select(
+        "sample", "chrom", "p", "major", "minor", *[level(F.col(f"_{k}")).alias(f"p_{k}") for k in ("strand", "bq", "mq", "tf", "tr")]
     )
 
 
