@@ -2,6 +2,7 @@
 
 import re
 
+from __spark_entry__ import queries
 from variascope import bindings
 from variascope.operators import reads
 from variascope.sources import tables
@@ -67,3 +68,9 @@ def test_p_values_of_bias_tests_stand_once(spark):
     # log10 of a column, not of the expression that makes it
     assert optimized(out).count("LOG10(_") == 5
     assert out.first()[5:] == (2, 2, 2, 2, 2)
+
+
+def test_indels_are_derived_once(spark):
+    out = queries()["an8_annotate_indel"](spark, "/root/testdata/sf0.001")
+    # indels and genes are stored tables, which annotation reads more than once
+    assert "regexp_replace" not in optimized(out) and "lineitem" not in optimized(out) and "l_partkey" not in optimized(out)
