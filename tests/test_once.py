@@ -5,7 +5,7 @@ import re
 from __spark_entry__ import queries
 from variascope import bindings
 from variascope.operators import reads
-from variascope.sources import tables
+from variascope.sources import tables, text
 
 
 def optimized(df):
@@ -74,3 +74,18 @@ def test_indels_are_derived_once(spark):
     out = queries()["an8_annotate_indel"](spark, "/root/testdata/sf0.001")
     # indels and genes are stored tables, which annotation reads more than once
     assert "regexp_replace" not in optimized(out) and "lineitem" not in optimized(out) and "l_partkey" not in optimized(out)
+
+
+def test_lines_are_numbered_without_a_shuffle(spark, tmp_path):
+    for name, n in (("a", 700), ("b", 1), ("c", 300)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(n)))
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        lines = text.numbered_lines(spark, str(tmp_path))
+        got = lines.collect()
+        # only splits are counted and put in order
+        assert optimized(lines).count("Window [") == 1 and "row_number" not in optimized(lines)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    assert len(got) == 1001 and all(r["value"] == f"{r['file'][-1]} {r['line_no']}" for r in got)
