@@ -82,3 +82,16 @@ def test_null_ids_repeats_columns_and_empty_tables(spark):
 
 def test_query(spark):
     assert compare(entry.queries()["op13_jaccard_join"](spark, FOLDER), connect(FOLDER), entry.oracle_sql()["op13_jaccard_join"]) is None
+
+
+def test_shingles_are_stored_once_and_copies_alone_are_shuffled(spark, monkeypatch):
+    stored = []
+    keep = tries.written
+    monkeypatch.setattr(tries, "written", lambda df, name: stored.append((name, df.columns)) or keep(df, name))
+    texts = [prose(40, k % 30) for k in range(60)] + crowd()
+    assert rows_of(tries.classes(table(spark, texts))) == brute.components(list(enumerate(texts)), 90, 3)
+    assert [name for name, columns in stored if "low" in columns] == ["sketches"]
+    made = tries.sketches(table(spark, texts), key="doc_id", text="text", size=3, percent=90)
+    least = made.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("_id").alias("_id"))
+    found = tries.representatives(made, least)
+    assert sorted(r[0] for r in found.select("_id").collect()) == sorted(r[0] for r in least.select("_id").collect())

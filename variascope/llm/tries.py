@@ -83,13 +83,24 @@ def sketches(docs: DataFrame, *, key: str, text: str, size: int, percent: int) -
     return written(map_columns(rows, "_text", make, added, ["_id"]), "sketches")
 
 
-def matchable(same: DataFrame, percent: int) -> DataFrame:
-    """Written keys (token, _id, n): pairs of the classes ``same`` (_id, n, low) that can be similar have one in common."""
+def representatives(made: DataFrame, least: DataFrame) -> DataFrame:
+    """(_id, low) of the rows that stand for their class. A Bloom filter of the few other rows' ids keeps the shingles of most
+    rows out of a shuffle."""
+    facts = ["_id", "n", "p1", "p2"]
+    some = made.where("n > 0 and _id is not null")
+    copies = written(some.select(*facts).join(least, facts, "left_anti").distinct(), "copies")
+    bits = bloom.bits_for(copies.count())
+    flagged = bloom.flag(some, "_id", bloom.present(copies, "_id", bits), bits, "_maybe")
+    return flagged.where("not _maybe").select("_id", "low").unionByName(flagged.where("_maybe").join(copies, facts, "left_anti").select("_id", "low"))
+
+
+def matchable(same: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Written keys (token, _id, n): pairs of the classes ``same`` (_id, low) of ``sizes`` (_id, n) that can be similar have one in common."""
     need = slack(smallest_partner(F.col("n"), percent), percent)
     rows = same.select("_id", F.explode("low").alias("token"))
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     mine = Window.partitionBy("_id")
-    hits = rows.join(common, "token").join(same.select("_id", "n"), "_id")
+    hits = rows.join(common, "token").join(sizes, "_id")
     ranked = hits.withColumns({"r": F.count(F.lit(1)).over(mine), "k": F.row_number().over(mine.orderBy("many", "token"))})
     keys = written(ranked.where((F.col("r") >= need) & (F.col("k") <= F.col("r") - need + 1)).select("token", "_id", "n"), "ranked")
     shared = keys.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -361,8 +372,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: i
     made = sketches(docs, key=key, text=text, size=size, percent=percent)
     least = made.where("n > 0 and _id is not null").groupBy("n", "p1", "p2").agg(F.min("_id").alias("_id"))
     least = written(least, "least")
-    same = written(made.join(least, ["_id", "n", "p1", "p2"], "left_semi").select("_id", "n", "low"), "classes")
-    keys = matchable(same, percent)
+    keys = matchable(representatives(made, least), least.select("_id", "n"), percent)
     ids = written(keys.select("_id").distinct(), "ids")
     labels = ids.where("false").select("_id", F.col("_id").alias("c"))
     links = None
