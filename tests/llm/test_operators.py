@@ -131,6 +131,26 @@ def test_tensored_keys_need_few_hashes():
 ITEMS = "item_id long, text string"
 
 
+def test_near_counts_recurring_shingles_exactly(spark):
+    texts = ["a b c d e f g", "x b c d e f y", "k l m n o p q", "a b c d e", None, ""]
+    docs = table(spark, texts)
+    found = near.recurring(docs, docs.select(F.col("doc_id").alias("_id")), key="doc_id", text="text", size=3)
+    assert {r["_id"]: r["v"] for r in found.collect()} == {0: 4, 1: 3, 3: 3}
+
+
+def test_near_makes_keys_of_shared_pieces_only(spark):
+    texts = [prose(80, 300 + k) for k in range(40)] + [prose(80, 300) + " end"]
+    made = near.sketches(table(spark, texts), key="doc_id", text="text", size=5, pieces=10)
+    keys = near.keyed(made, 10)
+    # texts of their own make none of their 100 keys
+    assert {r["_id"] for r in keys.select("_id").distinct().collect()} == {0, 40}
+    both = keys.groupBy("key").count().where("count > 1").count()
+    full = sum(a == b for a, b in zip(*[r.sig[:10] for r in made.where("_id in (0, 40)").collect()])) * sum(
+        a == b for a, b in zip(*[r.sig[10:] for r in made.where("_id in (0, 40)").collect()])
+    )
+    assert both == full > 0
+
+
 def test_contamination(spark):
     item = prose(24, 20)
     words = item.split()
