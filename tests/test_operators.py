@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from variascope.operators import annotate, assay, calls, reads, tree
+from variascope.operators import annotate, assay, calls, reads, taxa, tree
 from variascope.sources import fasta, tables
 
 from tests import scalar_tails as tails
@@ -44,6 +44,13 @@ def test_site_quality_equals_all_pairs(spark):
             assert ca != cb and min(qa, qb) == r.mut_qual
 
 
+def test_n50_with_empty_and_missing_contigs(spark):
+    """An empty contig lies behind half of the bases; it divided by zero. Lengths that are missing are no contigs."""
+    sizes = {"a": [5, 3, 2, 0, 0], "b": [0, 0], "c": [4, None, 4, 1], "d": [None]}
+    df = spark.createDataFrame([(k, x) for k, v in sizes.items() for x in v], "assembly string, len long")
+    assert {(r.assembly, r.n50, r.l50) for r in taxa.n50_l50(df).collect()} == {("a", 5, 1), ("b", 0, 1), ("c", 4, 1)}
+
+
 def slow_quality_end(qual, limit=20):
     scores = [ord(c) - 33 for c in qual]
     n = len(scores)

@@ -132,8 +132,8 @@ def target_vs_other(hits: DataFrame, targets: DataFrame, *, max_evalue: float =
 
 
 def n50_l50(contigs: DataFrame, *, tile: int = 4096) -> DataFrame:
-    """N50 and L50 per assembly from the histogram of lengths, so equal lengths are one row."""
-    hist = contigs.groupBy("assembly", "len").agg(F.count(F.lit(1)).alias("n"))
+    """N50 and L50 per assembly from the histogram of lengths, so equal lengths are one row; null lengths do not count."""
+    hist = contigs.where("len IS NOT NULL").groupBy("assembly", "len").agg(F.count(F.lit(1)).alias("n"))
     rows = hist.withColumn("neg", -F.col("len")).withColumn("bases", F.col("len") * F.col("n"))
     cum = running(
         rows, keys=["assembly"], order="neg", tile=F.floor(F.col("neg") / tile),
@@ -141,7 +141,8 @@ def n50_l50(contigs: DataFrame, *, tile: int = 4096) -> DataFrame:
     )
     half = contigs.groupBy("assembly").agg(F.bround(F.sum("len") / 2, 0).alias("half"))
     reached = cum.join(half, "assembly").where(F.col("before") + F.col("bases") >= F.col("half"))
-    need = F.greatest(F.ceil((F.col("half") - F.col("before")) / F.col("len")), F.lit(1))
+    # all rows behind half the bases are here, empty contigs too; of those the first one is enough
+    need = F.when(F.col("len") > 0, F.greatest(F.ceil((F.col("half") - F.col("before")) / F.col("len")), F.lit(1))).otherwise(1)
     return reached.groupBy("assembly").agg(F.max(F.struct("len", (F.col("rank") + need).cast("long").alias("l50"))).alias("m")).select(
         "assembly", F.col("m.len").alias("n50"), F.col("m.l50").alias("l50")
     )
