@@ -345,6 +345,46 @@ def test_passages_neither_end_of_a_key_has(spark, monkeypatch):
     assert sorted((r.other_id, r.doc_id) for r in rows) == [(k, k + 11) for k in range(1, 12)]
 
 
+@pytest.mark.parametrize("places", [False, True])
+def test_passages_beside_those_of_the_smallest_document(spark, monkeypatch, places):
+    """One key for three documents; what two of them share is met though one, or both, share another passage with the smallest."""
+    one, two, first = prose(60, 8300), prose(60, 8301), prose(60, 8302)
+    texts = [f"{first} {prose(20, 8303)}", f"{first} {prose(80, 8304)} {one} {two}", f"{two} {one} {prose(80, 8305)}" + (f" {first}" if places else "")]
+
+    def keyed(docs, *, key, text, **_):
+        rows = docs.select(F.lit(1).cast("long").alias("_key"), F.col(key).alias("_id"))
+        at = F.element_at(F.array(F.lit(0), F.lit(145), F.lit(65)), (F.col("_id") + 1).cast("int"))
+        return rows.withColumns({"_from": at, "_to": at + 3}) if places else rows
+
+    monkeypatch.setattr(passages, "keyed", keyed)
+    found = {(r.other_id, r.doc_id, r.first_word) for r in passages.shared(table(spark, texts)).collect()}
+    assert found == {(0, 1, 0), (1, 2, 0), (1, 2, 60)} | ({(0, 2, 200), (1, 2, 200)} if places else set())
+
+
+def test_passage_keys_of_recurring_stretches_only(spark):
+    """Keys come from stretches of which enough recurs elsewhere; a crowd that shares a key but no passage with its smallest is met."""
+    same = prose(70, 8400)
+    texts = [prose(400, 8401), f"{prose(300, 8402)} {same}", f"{same} {prose(300, 8403)}", "word " * 200 + "end " * 100]
+    docs = table(spark, texts)
+    seen = spark.sparkContext.broadcast(passages.recurring(docs, key="doc_id", text="text", size=5))
+    keys = passages.keyed(docs, key="doc_id", text="text", size=5, least=50, percent=80, tables=12, seen=seen).collect()
+    assert {r["_id"] for r in keys} == {1, 2}
+    assert all(300 <= r["_from"] <= r["_to"] < 366 for r in keys if r["_id"] == 1) and all(0 <= r["_from"] <= r["_to"] < 66 for r in keys if r["_id"] == 2)
+    places = [{r["_key"] for r in keys if r["_id"] == k} for k in (1, 2)]
+    assert places[0] & places[1]
+
+
+def test_passages_of_a_crowded_key(spark, monkeypatch):
+    """50 documents of one key, more than meet at once: the smallest shares nothing, two families and one document between them do."""
+    left, right = prose(60, 8500), prose(60, 8501)
+    texts = [prose(70, 8502), *(f"{prose(9, 8600 + k)} {left if k % 2 else right}" for k in range(48)), f"{left} {prose(20, 8503)} {right}"]
+    one = lambda docs, *, key, text, **_: docs.select(F.lit(1).cast("long").alias("_key"), F.col(key).alias("_id"))
+    monkeypatch.setattr(passages, "keyed", one)
+    links = {(r.other_id, r.doc_id) for r in passages.shared(table(spark, texts)).collect()}
+    assert {(1, k) for k in range(3, 49, 2)} | {(2, k) for k in range(4, 49, 2)} | {(1, 49), (2, 49)} <= links
+    assert not any((a + b) % 2 for a, b in links if b < 49) and not any(0 in x for x in links)
+
+
 def test_pieces_round_trip(spark):
     texts = [*odd_texts(), "▁ lower one eighth", "\x00\x01\x7f tab\t\r\n", " lead", "trail ", "a" * 5000, "𓀀𓀁"]
     docs = table(spark, texts).withColumns({"ids": F.lit("own"), "more": F.lit(2)})
