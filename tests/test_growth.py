@@ -94,7 +94,7 @@ def test_pseudogenome_shuffles_edits_only(spark):
     contigs = spark.createDataFrame([(1, "ACGTACGTAC"), (4, "é" * 5), (2, None), (3, "TTT")], "contig_idx int, seq string")
     rows = [(0, 1, 9, "N"), (0, 3, 0, "G"), (0, 3, 3, "C"), (0, 3, -1, "C"), (0, 7, 0, "C"), (1, 4, 4, "A"), (9, 1, 1, "N")]
     snvs = spark.createDataFrame(rows, "sample long, contig_idx int, pos long, nt string")
-    got = sinks.pseudogenome(contigs, snvs, spark.range(3).withColumnRenamed("id", "sample"), padding=1, chunk=4, blocks=3)
+    got = sinks.pseudogenome(contigs, snvs, spark.range(3).withColumnRenamed("id", "sample"), padding=1, chunk=4)
     assert {r["sample"]: r["seq"] for r in got.collect()} == {0: "ACGTACGTANNGTTNééééé", 1: "ACGTACGTACNTTTNééééA", 2: "ACGTACGTACNTTTNééééé"}
     dealt = [x.split(")")[0] for x in plan(got).split("hashpartitioning(")[1:]]
     assert dealt and not [x for x in dealt if "sample" in x]
